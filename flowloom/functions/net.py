@@ -40,7 +40,6 @@ PRIVATE_V6 = [
     ("2001:0:0:0:0:0:0:0", 23),
     ("2001:db8:0:0:0:0:0:0", 32),
     ("2002:0:0:0:0:0:0:0", 16),
-    ("3fff:0:0:0:0:0:0:0", 20),
     ("fc00:0:0:0:0:0:0:0", 7),
     ("fe80:0:0:0:0:0:0:0", 10),
 ]
@@ -120,16 +119,13 @@ def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _private_v4(ip: Column) -> Column:
-    def inside_a_block(number: Column) -> Column:
-        inside = F.lit(False)
-        for cidr in PRIVATE_V4:
-            inside = inside | number.between(*_v4_block(cidr))
-        for cidr in PUBLIC_V4_EXCEPTIONS:
-            inside = inside & ~number.between(*_v4_block(cidr))
-        return F.coalesce(inside, F.lit(False))
-
-    return _once(ipv4_number(ip), inside_a_block)
+def _private_v4_number(number: Column) -> Column:
+    inside = F.lit(False)
+    for cidr in PRIVATE_V4:
+        inside = inside | number.between(*_v4_block(cidr))
+    for cidr in PUBLIC_V4_EXCEPTIONS:
+        inside = inside & ~number.between(*_v4_block(cidr))
+    return F.coalesce(inside, F.lit(False))
 
 
 def ipv6_groups(ip: Column) -> Column:
@@ -170,7 +166,9 @@ def _private_v6(ip: Column) -> Column:
             inside = inside | _in_v6_block(groups, block)
         for block in PUBLIC_V6_EXCEPTIONS:
             inside = inside & ~_in_v6_block(groups, block)
-        return F.coalesce(inside, F.lit(False))
+        mapped = _in_v6_block(groups, ("0:0:0:0:0:ffff:0:0", 96))
+        v4 = groups[6].cast("bigint") * 65536 + groups[7]
+        return F.coalesce(F.when(mapped, _private_v4_number(v4)).otherwise(inside), F.lit(False))
 
     return _once(ipv6_groups(ip), inside_a_block)
 
@@ -178,8 +176,7 @@ def _private_v6(ip: Column) -> Column:
 def is_private_ip(ip: Column) -> Column:
     """True for an address that is not globally reachable; a malformed one is not private."""
     mapped = F.regexp_extract(ip, _MAPPED_V4, 1)
-    return (
-        F.when(~ip.contains(":"), _private_v4(ip))
-        .when(mapped != "", _private_v4(mapped))
-        .otherwise(_private_v6(ip))
+    quad = F.when(mapped != "", mapped).otherwise(ip)
+    return F.when(quad.contains(":"), _private_v6(ip)).otherwise(
+        _once(ipv4_number(quad), _private_v4_number)
     )

@@ -21,6 +21,21 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> Da
     return counts.filter(F.col("_n") > total * F.lit(share)).select(*keys)
 
 
+def salted(df: DataFrame, heavy: DataFrame, spread_by: list[str], salts: int = SALTS) -> DataFrame:
+    """Add `_salt`: rows of a heavy key are spread over `salts` values, others get 0."""
+    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salt = F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+    return df.join(hot, heavy.columns, "left").withColumn("_salt", salt).drop("_hot")
+
+
+def repeated(df: DataFrame, heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The other side of `salted`: rows of a heavy key once per salt, others once."""
+    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return df.join(hot, heavy.columns, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -33,16 +48,16 @@ def lookup_join(
     """Join a large, possibly skewed `left` to a `right` with few rows per key.
 
     Rows of a heavy key are spread over `salts` sub-keys by a hash of `spread_by`, and
-    only the right rows of those keys are repeated.  `how` is inner, left or left_semi
-    /left_anti: each left row meets each right row of its key exactly once.
+    only the right rows of those keys are repeated.  `how` is inner, left, left_semi or
+    left_anti: each left row meets each right row of its key exactly once.
     """
-    hot = F.broadcast((heavy if heavy is not None else heavy_keys(left, keys)).withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    if heavy is None:
+        heavy = heavy_keys(left, keys)
+    return (
+        salted(left, heavy, spread_by, salts)
+        .join(repeated(right, heavy, salts), [*keys, "_salt"], how)
+        .drop("_salt")
+    )
 
 
 def top_k_per_key(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:
