@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import hashing, net, text, vectors
-from flowloom.operators.skew import lookup_join, top_k_per_key
+from flowloom.operators.skew import heavy_keys, lookup_join, top_k_per_key
 from flowloom.schema import FEATURE_META, LEAKAGE_COLUMNS
 from flowloom.sources.flows import ROW_NUMBER, _field, normalize_endpoints
 
@@ -89,14 +89,16 @@ def graph_features(meta: DataFrame, embeddings: DataFrame, dim: int) -> DataFram
     """B: endpoint vectors of both sides, their absolute difference and product, two missing flags.
 
     `embeddings` has `endpoint_id`, `emb`.  An unknown endpoint counts as a zero vector.
-    Both lookups spread a heavy endpoint over many tasks.
+    Both lookups spread a heavy endpoint over many tasks.  Heavy endpoints are counted on
+    `meta` itself, so give a stored table.
     """
     out = meta.select(*FEATURE_META)
     for side in ("src", "dst"):
+        heavy = heavy_keys(meta, [f"{side}_endpoint"])
         table = embeddings.select(
             F.col("endpoint_id").alias(f"{side}_endpoint"), F.col("emb").cast("array<float>").alias(f"_{side}")
         )
-        out = lookup_join(out, table, [f"{side}_endpoint"], ["record_id"])
+        out = lookup_join(out, table, [f"{side}_endpoint"], ["record_id"], heavy=heavy)
     src, dst = (F.coalesce(F.col(f"_{s}"), vectors.zeros(dim)) for s in ("src", "dst"))
     blocks = dict(zip(HCG_BLOCKS, (src, dst, vectors.abs_diff(src, dst), vectors.product(src, dst))))
     flags = dict(zip(HCG_FLAGS, (F.col("_src").isNull(), F.col("_dst").isNull())))

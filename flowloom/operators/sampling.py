@@ -73,8 +73,8 @@ def alignment(tables: dict[str, DataFrame], base: str) -> DataFrame:
         sides = tagged.groupBy("record_id").agg(F.sum("own").alias("own"), F.sum("ref").alias("ref"))
         return sides.agg(
             F.coalesce(F.sum("own"), F.lit(0)).alias("rows"),
-            F.count_if("own = 0").alias("missing"),
-            F.count_if("ref = 0").alias("extra"),
+            F.count_if(F.expr("own = 0")).alias("missing"),
+            F.count_if(F.expr("ref = 0")).alias("extra"),
         ).select(F.lit(name).alias("table"), "*")
 
     return reduce(DataFrame.unionAll, [against(name) for name in tables])

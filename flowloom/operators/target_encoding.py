@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import TRAIN, fold_of
-from flowloom.operators.skew import lookup_join
+from flowloom.operators.skew import heavy_keys, lookup_join
 
 FOLDS = 5
 SMOOTHING = 10.0
@@ -120,7 +120,7 @@ def target_encoding(
     out = folded
     for key, name in keys.items():
         table = encodings(folded, key, classes, smoothing).withColumnRenamed("te", "_te")
-        joined = lookup_join(out, table, [key, "fold"], ["record_id"])
+        joined = lookup_join(out, table, [key, "fold"], ["record_id"], heavy=heavy_keys(meta, [key]))
         out = (
             joined.join(priors, "fold", "left")
             .withColumn(name, F.coalesce("_te", "prior"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from flowloom.functions import hashing
 from flowloom.operators import subgraph
 from flowloom.operators.skew import heavy_keys, lookup_join, repeated, salted
-from flowloom.session import cut_lineage
+from flowloom.session import checkpoint_layout, cut_lineage
 from flowloom.sources.flows import ROW_NUMBER, with_order_row_number
 
 CHUNK_ROWS = 4096
@@ -52,7 +52,7 @@ def prepare_graph(weighted: DataFrame, second_order: bool = False, chunk_rows: i
     """
     heavy = cut_lineage(heavy_keys(weighted.select(F.col("dst").alias("cur")), ["cur"]))
     partitions = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = cut_lineage(
+    pieces = checkpoint_layout(
         repeated(subgraph.adjacency(weighted, chunk_rows), heavy).repartition(partitions, "cur", "chunk", "_salt")
     )
     hubs = (
@@ -67,7 +67,7 @@ def prepare_graph(weighted: DataFrame, second_order: bool = False, chunk_rows: i
     pairs = None
     if second_order:
         edge_set = weighted.select(F.col("src").alias("prev"), "dst").distinct()
-        pairs = cut_lineage(edge_set.repartition(partitions, "prev", "dst"))
+        pairs = checkpoint_layout(edge_set.repartition(partitions, "prev", "dst"))
     return WalkGraph(pieces, heavy, hubs if hubs.count() else None, pairs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,16 +35,36 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`, a temporary one where none is set."""
+    global _local_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="flowloom-")
+    return _local_folder
+
+
+_local_folder: str | None = None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and continue from the files.
+    """Write `df` once as a parquet table in the shared folder and continue from that table.
+
+    Later readers prune its columns, and a lost executor costs a re-read, not a re-run.
+    """
+    path = f"{shared_folder(df.sparkSession)}/flowloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_layout(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, which unlike a written table keeps the hash partitioning.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`.  Only where
-    none is configured (tests, a laptop) a temporary folder is used.
+    For the fixed side of a join that is repeated many times.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowloom-ckpt-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -32,9 +32,9 @@ def normalise(columns: list[str], rows: list) -> list[tuple]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
-def compare(df, con, sql: str) -> str | None:
+def compare(df, con, sql: str, rows: list | None = None) -> str | None:
     """None when equal, else what differs."""
-    got_columns, got = df.columns, [tuple(r) for r in df.collect()]
+    got_columns, got = df.columns, [tuple(r) for r in (rows if rows is not None else df.collect())]
     cursor = con.execute(sql)
     want_columns = [d[0] for d in cursor.description]
     want = cursor.fetchall()
