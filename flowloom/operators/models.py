@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import TEST, TRAIN, VALID, draw
@@ -36,17 +36,18 @@ def predict_majority(df: DataFrame) -> DataFrame:
 
 
 def predict_stratified(df: DataFrame, seed: int) -> DataFrame:
-    """A class drawn by training frequency, from a hash of the record id."""
-    running = Window.orderBy("target")  # one row per class
-    shares = (
-        _class_counts(df)
-        .withColumn("upto", F.sum("n").over(running))
-        .agg(F.array_sort(F.collect_list(F.struct("upto", "target"))).alias("ranges"), F.sum("n").alias("total"))
-    )
-    point = F.floor(draw(F.lit(seed), F.col("record_id")) * F.col("total"))
-    hit = F.filter("ranges", lambda r: r["upto"] > point)[0]["target"]
-    # A single row of at most `classes` ranges.
-    return df.join(F.broadcast(shares)).withColumn("prediction", hit).drop("ranges", "total")
+    """A class drawn by training frequency, from a hash of the record id.
+
+    Brings one count per class to the driver.
+    """
+    counts = _class_counts(df).orderBy("target").collect()
+    point = F.floor(draw(F.lit(seed), F.col("record_id")) * F.lit(sum(row.n for row in counts)))
+    drawn = F.lit(None).cast("string")
+    upto = sum(row.n for row in counts)
+    for row in reversed(counts):
+        drawn = F.when(F.col("_point") < upto, F.lit(row.target)).otherwise(drawn)
+        upto -= row.n
+    return df.withColumn("_point", point).withColumn("prediction", drawn).drop("_point")
 
 
 def scaling(df: DataFrame, columns: list[str], centre: bool = True) -> dict[str, tuple[float, float]]:
