@@ -14,6 +14,17 @@ from flowloom.operators.skew import top_k_per_key
 BLOCK_ROWS = 4096
 
 
+def _k_smallest(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k smallest values per row; equal values go by column."""
+    k = min(k, values.shape[1])
+    limit = np.partition(values, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(values <= limit[:, None])
+    order = np.lexsort((column, values[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def neighbours(
     train: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -46,15 +57,14 @@ def neighbours(
             rows = a[first : first + 512]
             d2 = (rows * rows).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * rows @ b.T
             d2 = np.round(np.maximum(d2, 0.0), digits) + 0.0
-            best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            line = np.repeat(np.arange(len(rows)), best.shape[1])
+            line, column = _k_smallest(d2, k)
             parts.append(
                 pd.DataFrame(
                     {
                         "query_id": q["id"].to_numpy()[first : first + 512][line],
-                        "train_id": t["id"].to_numpy()[best.ravel()],
-                        "label": t["label"].to_numpy()[best.ravel()],
-                        "distance2": d2[line, best.ravel()],
+                        "train_id": t["id"].to_numpy()[column],
+                        "label": t["label"].to_numpy()[column],
+                        "distance2": d2[line, column],
                     }
                 )
             )

@@ -153,36 +153,51 @@ def _cell_keys(band: _Band) -> list[str]:
     return [f"k{i}" for i in range(len(band.a_keys))] + ["bucket"]
 
 
-def _hot_cells(a: DataFrame, b: DataFrame, band: _Band, cell_rows: int) -> DataFrame:
+def _hot_cells(flows: DataFrame, band: _Band, cell_rows: int) -> DataFrame:
     """Buckets that need a grid: their keys and its size `na` x `nb`."""
     keys = _cell_keys(band)
-    counts = (
-        a.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionAll(b.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .groupBy(*keys)
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    )
-    crowded = (F.greatest("a", "b") > cell_rows) & (F.least("a", "b") > 0)
-    return counts.filter(crowded).select(
+    a = _side(flows, "a", band.a_keys, band.window).select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = _side(flows, "b", band.b_keys, band.window).select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b"))
+    counts = a.unionAll(b).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return counts.filter(_crowded(cell_rows)).select(
         *keys,
         F.ceil(F.col("a") / cell_rows).cast("int").alias("na"),
         F.ceil(F.col("b") / cell_rows).cast("int").alias("nb"),
     )
 
 
+def _crowded(cell_rows: int) -> Column:
+    return (F.greatest("a", "b") > cell_rows) & (F.least("a", "b") > 0)
+
+
 def _find_hot_cells(flows: DataFrame, bands: list[_Band], cell_rows: int) -> None:
-    """Count the hot buckets of every band in one job (a handful of rows comes back)."""
-    for band in bands:
-        band.hot = _hot_cells(
-            _side(flows, "a", band.a_keys, band.window), _side(flows, "b", band.b_keys, band.window), band, cell_rows
-        )
-    counts = reduce(
-        DataFrame.unionAll,
-        [band.hot.agg(F.count(F.lit(1)).alias("n")).select(F.lit(band.name).alias("name"), "n") for band in bands],
+    """Count the hot buckets of all bands in one pass; one number per band comes back.
+
+    Every flow is expanded to its buckets on both sides of every band, keyed by a hash, and
+    counted map-side.  A hash collision can only make a bucket look fuller than it is.
+    """
+    visits = []
+    for i, band in enumerate(bands):
+        for side, keys in ((1, band.a_keys), (0, band.b_keys)):
+            own = F.lit(0).cast("bigint")
+            if band.window is not None:
+                own = F.floor(F.col("timestamp_epoch") / F.lit(band.window)).cast("bigint")
+            buckets = (own, own + 1) if side and band.window is not None else (own,)
+            for bucket in buckets:
+                cell = F.xxhash64(*[F.col(k) for k in keys], bucket)
+                visits.append(F.struct(F.lit(i).alias("band"), F.lit(side).alias("a"), cell.alias("cell")))
+    counted = (
+        flows.select(F.explode(F.array(*visits)).alias("v"))
+        .groupBy("v.band", "v.cell")
+        .agg(F.sum("v.a").alias("a"), F.sum(1 - F.col("v.a")).alias("b"))
+        .filter(_crowded(cell_rows))
+        .groupBy("band")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = {row.name: row.n for row in counts.collect()}
-    for band in bands:
-        band.hot_rows = found[band.name]
+    found = {row.band: row.n for row in counted.collect()}
+    for i, band in enumerate(bands):
+        band.hot_rows = found.get(i, 0)
+        band.hot = _hot_cells(flows, band, cell_rows) if band.hot_rows else None
 
 
 def _pairs(flows: DataFrame, band: _Band) -> DataFrame:
@@ -204,7 +219,8 @@ def _pairs(flows: DataFrame, band: _Band) -> DataFrame:
         a = a.join(hot, keys, "left").withColumn("ca", spread(na, "a_id")).withColumn("cb", every(nb)).drop("na", "nb")
         b = b.join(hot, keys, "left").withColumn("cb", spread(nb, "b_id")).withColumn("ca", every(na)).drop("na", "nb")
         keys = keys + ["ca", "cb"]
-    ordered = F.struct(F.col("a_ts"), F.col("a_id")) < F.struct(F.col("b_ts"), F.col("b_id"))
+    tie = (F.col("a_ts") == F.col("b_ts")) & (F.col("a_id") < F.col("b_id"))
+    ordered = (F.col("a_ts") < F.col("b_ts")) | tie
     keep = ordered if band.window is None else ordered & (_delta() <= band.window)
     if band.residual is not None:
         keep = keep & band.residual

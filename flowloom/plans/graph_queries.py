@@ -159,7 +159,7 @@ def ts_parse(spark, sf_dir):
 )
 def record_ids(spark, sf_dir):
     """Ids from file order: the test file is written in event order."""
-    numbered = sources.with_file_row_number(views.table(spark, sf_dir, "events"))
+    numbered = sources.with_file_row_number(views.scan(spark, sf_dir, "events"))
     return numbered.select("event_id", hashing.record_id_from_row(F.col("row_number")).alias("record_id"))
 
 
@@ -181,7 +181,7 @@ FROM (SELECT ip, port, (split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(i
     ),
 )
 def hcg_endpoints(spark, sf_dir):
-    return hcg.endpoints(views.flows(spark, sf_dir))
+    return hcg.endpoints(views.stored_flows(spark, sf_dir))
 
 
 _HCG_EDGE_BODY = """, p AS (
@@ -271,7 +271,7 @@ def _register_estimate(relation: str) -> None:
 
     @query(f"est_{relation.lower()}", sql)
     def run(spark, sf_dir):
-        return estimate.relation_estimate(views.flows(spark, sf_dir), WINDOWS, [relation])
+        return estimate.relation_estimate(views.stored_flows(spark, sf_dir), WINDOWS, [relation])
 
 
 for _relation in RELATION_PRIORITY:
@@ -289,7 +289,7 @@ FROM (SELECT *, "CR" + "PR" + "DHR" + "SHR" AS total FROM ("""
     ),
 )
 def est_total(spark, sf_dir):
-    return estimate.estimate_summary(views.flows(spark, sf_dir), WINDOWS)
+    return estimate.estimate_summary(views.stored_flows(spark, sf_dir), WINDOWS)
 
 
 @query(
@@ -308,7 +308,7 @@ def est_total(spark, sf_dir):
     ),
 )
 def est_top_groups(spark, sf_dir):
-    return estimate.top_risk_groups(views.flows(spark, sf_dir), WINDOWS)
+    return estimate.top_risk_groups(views.stored_flows(spark, sf_dir), WINDOWS)
 
 
 @query(
@@ -326,7 +326,7 @@ UNION ALL SELECT 'SHR', (SELECT sum(n * (n - 1) // 2) FROM s)::BIGINT""".lstrip(
     ).replace("))\n, h AS", ")),\nh AS"),
 )
 def est_unlimited(spark, sf_dir):
-    return estimate.relation_estimate(views.flows(spark, sf_dir), dict.fromkeys(WINDOWS))
+    return estimate.relation_estimate(views.stored_flows(spark, sf_dir), dict.fromkeys(WINDOWS))
 
 
 # ---------------------------------------------------------------- causal graph
@@ -367,7 +367,7 @@ CAUSES = tcg_sql(WINDOWS, ALL)
 
 
 def causes(spark, sf_dir) -> DataFrame:
-    return tcg.edges(views.flows(spark, sf_dir), WINDOWS)
+    return tcg.edges(views.stored_flows(spark, sf_dir), WINDOWS)
 
 
 @query("tcg_edges", with_ctes(["flows"], "SELECT * FROM causes", CAUSES))
@@ -377,14 +377,14 @@ def tcg_edges(spark, sf_dir):
 
 @query("tcg_edges_subset", with_ctes(["flows"], "SELECT * FROM causes", tcg_sql(WINDOWS, ["CR", "SHR"])))
 def tcg_edges_subset(spark, sf_dir):
-    return tcg.edges(views.flows(spark, sf_dir), WINDOWS, tcg.parse_relations("SHR,CR"))
+    return tcg.edges(views.stored_flows(spark, sf_dir), WINDOWS, tcg.parse_relations("SHR,CR"))
 
 
 @query(
     "tcg_edges_no_cr", with_ctes(["flows"], "SELECT * FROM causes", tcg_sql(WINDOWS, ["PR", "DHR", "SHR"]))
 )
 def tcg_edges_no_cr(spark, sf_dir):
-    return tcg.edges(views.flows(spark, sf_dir), WINDOWS, tcg.parse_relations("PR,DHR,SHR"))
+    return tcg.edges(views.stored_flows(spark, sf_dir), WINDOWS, tcg.parse_relations("PR,DHR,SHR"))
 
 
 _UNLIMITED = tcg.relation_windows(0, "PR=60,DHR=60,SHR=0")
@@ -394,7 +394,7 @@ _UNLIMITED = tcg.relation_windows(0, "PR=60,DHR=60,SHR=0")
     "tcg_edges_unlimited", with_ctes(["flows"], "SELECT * FROM causes", tcg_sql(_UNLIMITED, ["CR", "SHR"]))
 )
 def tcg_edges_unlimited(spark, sf_dir):
-    return tcg.edges(views.flows(spark, sf_dir), _UNLIMITED, ["CR", "SHR"])
+    return tcg.edges(views.stored_flows(spark, sf_dir), _UNLIMITED, ["CR", "SHR"])
 
 
 @query(
@@ -402,7 +402,7 @@ def tcg_edges_unlimited(spark, sf_dir):
 )
 def tcg_edges_crowded(spark, sf_dir):
     """The whole graph with every crowded bucket cut into small grid cells."""
-    return tcg.edges(views.flows(spark, sf_dir), WINDOWS, cell_rows=8)
+    return tcg.edges(views.stored_flows(spark, sf_dir), WINDOWS, cell_rows=8)
 
 
 _SHR_CAPPED = f"""shr AS (
@@ -417,7 +417,7 @@ _SHR_CAPPED = f"""shr AS (
 
 @query("tcg_shr_capped", with_ctes(["flows"], "SELECT * FROM shr", _SHR_CAPPED))
 def tcg_shr_capped(spark, sf_dir):
-    return tcg.capped_shr_edges(views.flows(spark, sf_dir), 3, WINDOWS["SHR"])
+    return tcg.capped_shr_edges(views.stored_flows(spark, sf_dir), 3, WINDOWS["SHR"])
 
 
 @query(
@@ -431,4 +431,4 @@ def tcg_shr_capped(spark, sf_dir):
     ),
 )
 def tcg_shrcr_capped(spark, sf_dir):
-    return tcg.capped_edges(views.flows(spark, sf_dir), 3, WINDOWS["SHR"], WINDOWS["CR"])
+    return tcg.capped_edges(views.stored_flows(spark, sf_dir), 3, WINDOWS["SHR"], WINDOWS["CR"])

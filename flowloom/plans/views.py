@@ -11,17 +11,28 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import net
 from flowloom.schema import FLOW_FIELDS
-from flowloom.session import prepare
+from flowloom.session import cut_lineage, prepare
 
 WINDOWS = {"CR": 604800, "PR": 7200, "DHR": 86400, "SHR": 259200}
 SEED = 20260525
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; one that is too small to split is dealt out to all cores.
+
+    The test files are single row groups, which one task would read and then parse alone.
+    A table of many files or row groups is left as it is.
+    """
+    found = scan(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+
+
 def ip_of(n: Column) -> Column:
     head = F.when(n % 10 == 9, "200.").otherwise("10.")
     return F.concat(head, F.lit("0."), F.floor(n / 256).cast("string"), F.lit("."), (n % 256).cast("string"))
@@ -75,6 +86,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_flows(_events(spark, sf_dir))
 
 
+def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows as a stored table, for queries that scan them many times."""
+    return cut_lineage(flows(spark, sf_dir))
+
+
 def dense_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with addresses folded onto ten hosts: many flows per edge."""
     folded = _events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 10).withColumn("k", F.col("k") % 10)
@@ -82,10 +98,13 @@ def dense_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flows as a raw CSV would show them: text, raw names, some damaged cells."""
+    """The flows as a raw CSV would show them: text, raw names, some damaged cells.
+
+    Stored, as a CSV would be: parsing must not repeat the work that made the text.
+    """
     base = flows(spark, sf_dir).withColumn("n", F.substring("record_id", 5, 20).cast("bigint") - 1)
     stamp = F.date_format(F.timestamp_seconds("timestamp_epoch"), "dd/MM/yyyyHH:mm:ss")
-    return base.select(
+    raw = base.select(
         F.col("flow_id").alias("Flow.ID"),
         F.col("src_ip").alias("Source.IP"),
         F.when(F.col("n") % 50 == 0, "").otherwise(F.col("src_port").cast("string")).alias("Source.Port"),
@@ -104,6 +123,7 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("protocol_name").alias("ProtocolName"),
         (F.col("n") + 1).alias("row_number"),
     )
+    return cut_lineage(raw)
 
 
 def endpoint_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on; all of them can be changed at run time.
 
     Epochs and hours are read in UTC.  Adaptive execution coalesces small shuffle
-    partitions, picks broadcast joins from measured sizes and splits skewed ones.
+    partitions, picks broadcast joins from measured sizes and splits skewed ones.  Few rows
+    can mean much work here (a walk step, a list of neighbours), so partitions are merged
+    only while cores stay busy.  The JVM
+    does not compile methods above 8000 bytes of bytecode: a wide projection runs faster
+    in split methods than fused into one interpreted loop.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
