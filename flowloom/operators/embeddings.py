@@ -15,7 +15,7 @@ from flowloom.functions import hashing, vectors
 from flowloom.operators.skew import heavy_keys, histogram_positions, lookup_join, top_k_per_key
 
 # MLlib keeps the whole vector table on the driver while it learns.  Above this many
-# numbers (2 GB) the caller must split the corpus, e.g. by source network.
+# numbers (2 GB) use `skipgram.train_skipgram`, which has no such limit.
 MAX_MODEL_NUMBERS = 500_000_000
 # Query vectors sent to every task: at most this many numbers (32 MB).
 MAX_QUERY_NUMBERS = 4_000_000

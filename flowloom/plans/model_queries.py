@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators import checks, embeddings, features, hcg, metrics, models, walks
+from flowloom.operators import checks, embeddings, features, hcg, metrics, models, skipgram, walks
 from flowloom.operators import target_encoding as te
 from flowloom.plans import views
 from flowloom.plans.feature_queries import A_CTE, DERIVED, RAW_NAMES, _sql, table_a, table_b, table_d
@@ -36,6 +36,13 @@ def word2vec(spark, sf_dir):
     return learned.select("token", F.size("emb").cast("bigint").alias("dim"))
 
 
+@query("skipgram")
+def skipgram_vectors(spark, sf_dir):
+    corpus = cut_lineage(host_walks(spark, sf_dir, rounds=1, length=6))
+    learned = skipgram.train_skipgram(corpus, dim=16, epochs=1, seed=SEED)
+    return learned.select("token", F.size("emb").cast("bigint").alias("dim"))
+
+
 @query(
     "embedding_table",
     with_ctes(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import hashing
-from flowloom.operators import checks, embeddings, features, knn, metrics, sampling, skew
+from flowloom.operators import checks, embeddings, features, knn, metrics, sampling, skew, skipgram
 from flowloom.operators import target_encoding as te
 
 
@@ -106,6 +106,34 @@ def test_model_size_is_checked(spark, monkeypatch):
         embeddings.train_word2vec(corpus, dim=4)
 
 
+def test_cooccurrences_equal_the_loop(spark):
+    corpus = [list("abcab"), ["a"], ["b", "c"]]
+    df = spark.createDataFrame([(w,) for w in corpus], "tokens array<string>")
+    want = defaultdict(float)
+    for tokens in corpus:
+        for i, a in enumerate(tokens):
+            for j, b in enumerate(tokens):
+                if i != j and abs(i - j) <= 3:
+                    want[a, b] += (3 - abs(i - j) + 1) / 3
+    got = {(r.center, r.context): r.w for r in skipgram.cooccurrences(df, 3).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_skipgram_brings_communities_together(spark):
+    """Walks stay in one of three groups; the vectors must show it, however many blocks there are."""
+    rng = random.Random(4)
+    corpus = [([f"g{g}_{rng.randrange(8)}" for _ in range(10)],) for g in range(3) for _ in range(120)]
+    df = spark.createDataFrame(corpus, "tokens array<string>")
+    for block_tokens in (1000, 7):
+        learned = skipgram.train_skipgram(df, 8, 3, epochs=6, sample=0, seed=3, rate=0.2, block_tokens=block_tokens)
+        vectors = {r.token: np.array(r.emb) for r in learned.collect()}
+        assert len(vectors) == 24 and all(np.isfinite(v).all() for v in vectors.values())
+        unit = {t: v / np.linalg.norm(v) for t, v in vectors.items()}
+        for a in unit:
+            near = sorted((b for b in unit if b != a), key=lambda b: -(unit[a] @ unit[b]))[:7]
+            assert sum(b[:2] == a[:2] for b in near) >= 6, (block_tokens, a, near)
+
+
 def test_metrics_with_a_label_never_true(spark):
     rows = [("a", "a"), ("a", "b"), ("b", "b"), ("b", "c")]
     df = spark.createDataFrame(rows, "target string, prediction string")
