@@ -261,14 +261,16 @@ def edges(
     return reduce(DataFrame.unionByName, [_project(_pairs(flows, band), band.relation) for band in bands])
 
 
-def capped_shr_edges(flows: DataFrame, k: int = 15, window: int = 5, block_seconds: int = 3600) -> DataFrame:
+def capped_shr_edges(
+    flows: DataFrame, k: int = 15, window: int = 5, block_seconds: int | None = None
+) -> DataFrame:
     """Each flow to the next k flows of its source endpoint within `window` seconds.
 
     No join: a look-ahead of k rows per endpoint.  The endpoint's rows are cut into time
-    blocks, and flows within `window` after a block's end are repeated into it as
-    candidates, so a busy endpoint is spread over many tasks.
+    blocks (eight windows long by default), and flows within `window` after a block's end
+    are repeated into it as candidates, so a busy endpoint is spread over many tasks.
     """
-    width = max(block_seconds, window)
+    width = max(block_seconds or 8 * window, window)
     ts = F.col("timestamp_epoch")
 
     def block(seconds: Column) -> Column:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from flowloom.plans import feature_queries, graph_queries, model_queries, view_queries  # noqa: F401
+from flowloom.plans import (  # noqa: F401
+    feature_queries,
+    graph_queries,
+    model_queries,
+    storage_queries,
+    view_queries,
+)
 from flowloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
