@@ -7,9 +7,9 @@
    shared.  A class whose prefix (n - ceil(0.8 n) + 1 shingles) is all unique links with
    nothing, which settles most texts.  For the rest the prefixes under several orders (rarest
    first; then by bands of frequency, ties by other hashes) are kept.
-4. A pair is verified only if its prefixes meet under every order.  Under each order rows
-   meet on the shared prefix shingle, within the length and the positional filter.
-5. Large groups of near copies are not paired out.  First each class meets one partner
+4. Rows meet on a shared prefix shingle of the first order, within the length and the
+   positional filter; a pair is verified only if its prefixes meet under every order.
+5. Large groups of near copies are not paired out.  First each class meets a few partners
    per prefix shingle, drawn by hash; components of the links found are taken, and then only
    classes of different components meet, so no link that could join two components is lost.
 
@@ -38,6 +38,7 @@ from flowloom.session import cut_lineage
 
 ORDERS = 3
 RING_ROWS = 20_000
+RINGS = ((1, 1), (2, 8))  # seed and reach of the drawn partners of each round
 _FEW = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -155,102 +156,113 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(shared: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
-    """(class, n, tokens, prefix): all shared shingles and, per order, those in the prefix with their places."""
+    """(class, n, tokens, prefix, others): all shared shingles, the prefix under the first order with
+    its places, and the prefixes under the other orders."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(b, _SHARED) for b in rows["rows"]])
         x = x[np.argsort(x["class"], kind="stable")]
         start = np.flatnonzero(np.concatenate([[True], x["class"][1:] != x["class"][:-1]]))
-        out: dict[str, list] = {"class": [], "n": [], "tokens": [], "prefix": []}
+        out: dict[str, list] = {"class": [], "n": [], "tokens": [], "prefix": [], "others": []}
         for a, b in zip(start, np.append(start[1:], len(x))):
             n, unique = int(x["n"][a]), int(x["n"][a]) - (b - a)
             length = int(prefix_length(np.int64(n), percent)) - unique
             if length <= 0:
                 continue
             token, df = x["token"][a:b], x["df"][a:b].astype(np.int64)
-            prefix = []
+            cuts = []
             for k in range(orders):
                 band = df if k == 0 else np.frexp(df)[1] // k
                 tie = arrays.mix(token ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (2**64 - 1)))
-                for place, i in enumerate(np.lexsort((tie, band))[:length]):
-                    prefix.append({"o": k, "token": int(token[i].astype(np.int64)), "place": unique + place})
+                cuts.append(token[np.lexsort((tie, band))[:length]].astype(np.int64))
             out["class"].append(int(x["class"][a]))
             out["n"].append(n)
             out["tokens"].append(token.astype(np.int64))
-            out["prefix"].append(prefix)
+            out["prefix"].append([{"token": int(t), "place": unique + i} for i, t in enumerate(cuts[0])])
+            out["others"].append([list(map(int, c)) for c in cuts[1:]])
         return pd.DataFrame(out)
 
-    return shared.groupBy("part").applyInPandas(run, "class long, n long, tokens array<long>, prefix array<struct<o:int,token:long,place:long>>")
+    return shared.groupBy("part").applyInPandas(run, "class long, n long, tokens array<long>, prefix array<struct<token:long,place:long>>, others array<array<long>>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length filter and positional filter of two prefix rows that share a shingle.
+def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Length filter and positional filter of two rows that share a prefix shingle.
 
-    The first shingle that two sets share under an order bounds their overlap by what follows it.
+    At the first shingle that two sets share under the order, their overlap is no more than
+    what follows it in either; so a linked pair passes there, and passing once is enough.
     """
-    na, nb, pa_, pb = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place"))
-    least, most = F.least(na, nb), F.greatest(na, nb)
     overlap = F.least(na - pa_, nb - pb)
-    return (least * 100 >= most * percent) & (overlap * (100 + percent) >= (na + nb) * percent)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (overlap * (100 + percent) >= (na + nb) * percent)
 
 
-def _met(pairs: DataFrame, orders: int) -> DataFrame:
-    """Pairs that met under every order; the positional filter holds at their first shared shingle."""
-    return pairs.groupBy("a", "b").agg(F.countDistinct("o").alias("orders")).where(F.col("orders") == orders).select("a", "b")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs whose prefixes meet under the other orders too and whose similarity reaches the threshold.
 
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose Jaccard similarity reaches the threshold.  All shared shingles are in `tokens`."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    All shared shingles of a class are in `tokens`, so the overlap is exact.
+    """
+    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("others").alias("oa"))
+    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("others").alias("ob"))
+    meet = F.lit(True)
+    for k in range(orders - 1):
+        meet = meet & F.arrays_overlap(F.col("oa")[k], F.col("ob")[k])
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sizes"))
-        .where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent)
-        .select("a", "b")
-    )
+    sizes = F.col("na") + F.col("nb")
+    return pairs.join(left, "a").join(right, "b").where(meet & (both * 100 >= (sizes - both) * percent)).select("a", "b")
 
 
-def class_links(entries: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(class, root) of all classes that have a link."""
-    # First round: within a prefix shingle a class meets the class that a hash of both draws.
+def _ring(entries: DataFrame, percent: int, seed: int, reach: int) -> DataFrame:
+    """Pairs of classes of different components that lie close in a drawn order within a prefix shingle."""
     # Shingles of very many classes are dealt out, so that no task orders a whole such group.
-    rarest = entries.where(F.col("o") == 0).select("class", "n", "token")
-    sizes = rarest.groupBy("token").count().where(F.col("count") > RING_ROWS).select("token", F.ceil(F.col("count") / RING_ROWS).alias("salts"))
-    rarest = rarest.join(sizes, "token", "left").withColumn("salt", F.pmod(F.xxhash64("class"), F.coalesce("salts", F.lit(1))))
-    by = Window.partitionBy("token", "salt").orderBy(F.xxhash64("class", "token"), "class")
-    ring = rarest.withColumn("b", F.lag("class").over(by)).withColumn("nb", F.lag("n").over(by))
-    first = (
-        ring.where(F.col("b").isNotNull() & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
-        .select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
+    sizes = entries.groupBy("token").count().where(F.col("count") > RING_ROWS).select("token", F.ceil(F.col("count") / RING_ROWS).alias("salts"))
+    dealt = entries.join(sizes, "token", "left").withColumn("salt", F.pmod(F.xxhash64("class", F.lit(seed)), F.coalesce("salts", F.lit(1))))
+    by = Window.partitionBy("token", "salt").orderBy(F.xxhash64("class", "token", F.lit(seed)), "class")
+    near = F.array_compact(F.array(*(F.lag(F.struct("class", "n", "place", "comp"), i).over(by) for i in range(1, reach + 1))))
+    met = dealt.withColumn("x", near).select("class", "n", "place", "comp", F.explode("x").alias("x"))
+    return (
+        met.where((F.col("comp") != F.col("x.comp")) & _may_link(F.col("n"), F.col("place"), F.col("x.n"), F.col("x.place"), percent))
+        .select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b"))
         .distinct()
     )
-    found = cut_lineage(verify(first, sets, percent))
-    roots = cut_lineage(components(found, "a", "b"))
-    # Second round: only members of different components meet.
-    placed = entries.join(roots, F.col("class") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "class")).drop("node", "root")
-    placed = cut_lineage(placed)
-    comps = placed.groupBy("o", "token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = comps.groupBy("o", "token").agg(F.count("*").alias("comps")).where("comps > 1").select("o", "token")
-    comps = comps.join(several, ["o", "token"])
+
+
+def _placed(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries with the component of their class by the links so far."""
+    roots = components(links, "a", "b")
+    joined = entries.join(roots, F.col("class") == F.col("node"), "left")
+    return cut_lineage(joined.withColumn("comp", F.coalesce("root", "class")).drop("node", "root"))
+
+
+def class_links(entries: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(node, root) of all classes that have a link."""
+    placed, links = entries.withColumn("comp", F.col("class")), None
+    for seed, reach in RINGS:
+        found = cut_lineage(verify(_ring(placed, percent, seed, reach), sets, percent, orders))
+        links = found if links is None else links.unionByName(found)
+        placed = _placed(entries, links)
+    # Last, only members of different components meet.
+    comps = placed.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"))
+    several = comps.groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1").select("token")
+    comps = cut_lineage(comps.join(several, "token"))
     x, y = comps.alias("x"), comps.alias("y")
     meet = x.join(
         y,
-        (F.col("x.o") == F.col("y.o")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-        & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent),
-    ).select(F.col("x.o").alias("o"), F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
+        & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
+        & (F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.least") + F.col("y.least")) * percent),
+    ).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
     p, q = placed.alias("p"), placed.alias("q")
     pairs = (
-        meet.join(p, (F.col("p.o") == meet["o"]) & (F.col("p.token") == meet["token"]) & (F.col("p.comp") == meet["ca"]))
-        .join(q, (F.col("q.o") == meet["o"]) & (F.col("q.token") == meet["token"]) & (F.col("q.comp") == meet["cb"]))
-        .select(meet["o"], F.col("p.class").alias("p"), F.col("q.class").alias("q"), _may_link("p", "q", percent).alias("ok"), F.col("p.place").alias("pp"))
+        meet.join(p, (F.col("p.token") == meet["token"]) & (F.col("p.comp") == meet["ca"]))
+        .join(
+            q,
+            (F.col("q.token") == meet["token"]) & (F.col("q.comp") == meet["cb"])
+            & _may_link(F.col("p.n"), F.col("p.place"), F.col("q.n"), F.col("q.place"), percent),
+        )
+        .select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b"))
+        .distinct()
     )
-    # The positional filter is valid at the first shared shingle, the one of the least place.
-    pairs = pairs.groupBy("o", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("ok").alias("ok")).where("ok")
-    more = verify(_met(pairs, orders), sets, percent)
-    return components(cut_lineage(found.unionByName(more)), "a", "b")
+    more = cut_lineage(verify(pairs, sets, percent, orders))
+    return components(links.unionByName(more), "a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5, orders: int = ORDERS) -> DataFrame:
@@ -263,7 +275,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5, orders: i
     packed = packed_shingles(docs, bits, k).repartition(1 << bits, "bucket")
     sets = cut_lineage(prefixes(shared_shingles(packed, parts, bits), percent, orders))
     entries = sets.select("class", "n", F.explode("prefix").alias("x")).select("class", "n", "x.*")
-    roots = class_links(entries, sets.select("class", "n", "tokens"), percent, orders)
+    roots = class_links(entries, sets.select("class", "n", "tokens", "others"), percent, orders)
     placed = members.groupBy("class").agg(F.min("doc_id").alias("least")).where(F.col("class").isNotNull())
     placed = placed.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
