@@ -11,9 +11,14 @@ from flowloom.llm.decontamination import op5_decontamination
 from flowloom.llm.language_id import op7_language_id
 from flowloom.llm.ngram_join import op6_ngram_join
 from flowloom.llm.packing import op9_packing
+from flowloom.llm.sharding import op2_sharding
 from flowloom.llm.toxicity import op3_toxicity
+from flowloom.llm.url_filter import ORACLE as URL_ORACLE
+from flowloom.llm.url_filter import op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_ngram_join": op6_ngram_join,
@@ -22,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": URL_ORACLE}

@@ -94,7 +94,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     owes = {0: shards}  # shards that a cell is still to be cut into; a cell is named by its first shard
     while max(owes.values()) > 1:
         cells = {r["cell"]: r for r in rows.groupBy("cell").agg(*spread.values(), F.sum("size").alias("bytes")).collect()}
-        active = [c for c, n in owes.items() if n > 1 and c in cells]
+        owes = {c: n if c in cells else 1 for c, n in owes.items()}  # a cell without rows is not cut
+        active = [c for c, n in owes.items() if n > 1]
+        if not active:
+            break
         widest = {c: max(DIMENSIONS, key=lambda d: (cells[c][d] / (whole[d] or 1.0), d)) for c in active}
         # The key of a cell: the widest dimension, then the group of equal texts.
         value = F.lit(None).cast("long")
@@ -127,8 +130,6 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             moved = F.when((F.col("cell") == c) & right, F.lit(c + low_side)).otherwise(moved)
             owes[c + low_side] = owes[c] - low_side
             owes[c] = low_side
-        for c in owes:
-            owes[c] = owes[c] if c in cells or c in active or owes[c] == 1 or c not in cells and any(c == a + owes[a] for a in active) else 1
         rows = cut_lineage(rows.withColumn("cell", moved.cast("int")))
     return rows.select("doc_id", "size", "text_crc32", F.col("cell").alias("shard"))
 
