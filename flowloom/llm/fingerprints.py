@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import arrays
 from flowloom.llm.common import ddl, table
-from flowloom.session import cut_lineage
 
 BINS_LOG2 = 9
 BINS = 1 << BINS_LOG2
 KEPT_BITS = 4
 PARTITION_BYTES = 32_000_000
+MOST_RANGES = 4096  # beyond it ranges grow; a range is sorted on disk and read as a stream
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -120,23 +120,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit(2**64).cast("decimal(20,0)"))
+    order = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))  # falls as the id rises
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    ranges = max(1, (size["bytes"] or 0) // PARTITION_BYTES)
+    ranges = min(MOST_RANGES, max(1, (size["bytes"] or 0) // PARTITION_BYTES))
     cuts = sorted(set(rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)), reverse=True) if ranges > 1 else []
-    # Range r holds the ids below cut r - 1 and from cut r on: a row finds it by binary search over the cuts.
-    edges = [int(-c) for c in cuts]
-    bounds = F.array(*(F.lit(e).cast("decimal(20,0)") for e in edges)) if edges else F.array().cast("array<decimal(20,0)>")
-    narrow = rows.select("doc_id", order.alias("o"), F.xxhash64("text").alias("h"))
-    number = F.size(F.filter(bounds, lambda e: e < order)) if edges else F.lit(0)
-    rows = rows.withColumns({"range": number.cast("int"), "o": order})
+    edges = F.array(*(F.lit(~int(c)) for c in cuts)).cast("array<long>")
+    number = F.size(F.filter(edges, lambda e: e < F.col("o"))).cast("int")
+    rows = rows.withColumn("o", order).withColumn("range", number)
     # The first row of each range, known by its order, text hash; one row per range.
-    firsts = narrow.withColumn("range", (F.size(F.filter(bounds, lambda e: e < F.col("o"))) if edges else F.lit(0)).cast("int"))
-    firsts = sorted((r["range"], r["x"]["o"], r["x"]["h"]) for r in firsts.groupBy("range").agg(F.min(F.struct("o", "h")).alias("x")).collect())
+    firsts = rows.groupBy("range").agg(F.min(F.struct("o", F.xxhash64("text").alias("h"))).alias("x")).collect()
+    firsts = sorted((r["range"], r["x"]["o"], r["x"]["h"]) for r in firsts)
     if not firsts:
         return rows.select("range", "doc_id", "text", F.lit(False).alias("guest"))
     to = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}  # the first range's first row goes to the last range
-    lead = spark.createDataFrame([(r, o, h, to[r]) for r, o, h in firsts], "of int, fo decimal(20,0), fh long, goes int")
+    lead = spark.createDataFrame([(r, o, h, to[r]) for r, o, h in firsts], "of int, fo long, fh long, goes int")
     guests = (
         rows.join(F.broadcast(lead), (F.col("range") == F.col("of")) & (F.col("o") == F.col("fo")) & (F.xxhash64("text") == F.col("fh")))
         .select(F.col("goes").alias("range"), "doc_id", "text", F.lit(True).alias("guest"), "o")

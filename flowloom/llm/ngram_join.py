@@ -38,7 +38,7 @@ from flowloom.session import cut_lineage
 
 ORDERS = 3
 RING_ROWS = 20_000
-RINGS = ((1, 1), (2, 8))  # seed and reach of the drawn partners of each round
+RINGS = ((1, 1), (2, 8), (3, 16))  # seed and reach of the drawn partners of each round
 _FEW = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -217,12 +217,9 @@ def _ring(entries: DataFrame, percent: int, seed: int, reach: int) -> DataFrame:
     dealt = entries.join(sizes, "token", "left").withColumn("salt", F.pmod(F.xxhash64("class", F.lit(seed)), F.coalesce("salts", F.lit(1))))
     by = Window.partitionBy("token", "salt").orderBy(F.xxhash64("class", "token", F.lit(seed)), "class")
     near = F.array_compact(F.array(*(F.lag(F.struct("class", "n", "place", "comp"), i).over(by) for i in range(1, reach + 1))))
-    met = dealt.withColumn("x", near).select("class", "n", "place", "comp", F.explode("x").alias("x"))
-    return (
-        met.where((F.col("comp") != F.col("x.comp")) & _may_link(F.col("n"), F.col("place"), F.col("x.n"), F.col("x.place"), percent))
-        .select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b"))
-        .distinct()
-    )
+    other = F.filter(near, lambda x: (F.col("comp") != x["comp"]) & _may_link(F.col("n"), F.col("place"), x["n"], x["place"], percent))
+    met = dealt.select("class", F.explode(other).alias("x"))
+    return met.select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b")).distinct()
 
 
 def _placed(entries: DataFrame, links: DataFrame) -> DataFrame:

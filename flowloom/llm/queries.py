@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from flowloom.llm.decontamination import op5_decontamination
+from flowloom.llm.fingerprints import op10_fingerprints
 from flowloom.llm.language_id import op7_language_id
+from flowloom.llm.license_scan import op8_license_scan
 from flowloom.llm.ngram_join import op6_ngram_join
 from flowloom.llm.packing import op9_packing
 from flowloom.llm.sharding import op2_sharding
@@ -23,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 
