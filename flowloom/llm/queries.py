@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from flowloom.llm.context_mixing import op4_context_mixing
 from flowloom.llm.decontamination import op5_decontamination
 from flowloom.llm.fingerprints import op10_fingerprints
 from flowloom.llm.language_id import op7_language_id
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_context_mixing": op4_context_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
