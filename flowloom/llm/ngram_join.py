@@ -217,8 +217,8 @@ def _ring(entries: DataFrame, percent: int, seed: int, reach: int) -> DataFrame:
     dealt = entries.join(sizes, "token", "left").withColumn("salt", F.pmod(F.xxhash64("class", F.lit(seed)), F.coalesce("salts", F.lit(1))))
     by = Window.partitionBy("token", "salt").orderBy(F.xxhash64("class", "token", F.lit(seed)), "class")
     near = F.array_compact(F.array(*(F.lag(F.struct("class", "n", "place", "comp"), i).over(by) for i in range(1, reach + 1))))
-    other = F.filter(near, lambda x: (F.col("comp") != x["comp"]) & _may_link(F.col("n"), F.col("place"), x["n"], x["place"], percent))
-    met = dealt.select("class", F.explode(other).alias("x"))
+    other = F.filter("near", lambda x: (F.col("comp") != x["comp"]) & _may_link(F.col("n"), F.col("place"), x["n"], x["place"], percent))
+    met = dealt.withColumn("near", near).select("class", F.explode(other).alias("x"))
     return met.select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b")).distinct()
 
 
