@@ -46,10 +46,10 @@ from flowloom.llm.common import remainder, table
 from flowloom.session import cut_lineage
 
 FREQUENT = 1 / 1024  # a token of at least this share of the training tokens is a group
-GROUPS = 512
+GROUPS = 256
 SLOT_BITS = 19
 SEGMENT = 256
-LANES = 2048
+LANES = 4096
 SMOOTHING = 0.1
 RATE = 0.02
 START_WEIGHT = 0.35
@@ -68,7 +68,7 @@ class Block:
         for j in range(3):
             at = np.maximum(last - j, w.start)
             three = three * np.uint64(257) + arrays.LOWER[w.data[at]]
-        suffix = (arrays.mix(three) >> np.uint64(64 - 9)).astype(np.int32) % GROUPS
+        suffix = (arrays.mix(three) >> np.uint64(32)).astype(np.int64) % GROUPS
         # An end after the words of each text.
         place = np.arange(len(w.hash)) + w.doc
         total = len(w.hash) + n
@@ -240,6 +240,9 @@ def _groups_of(b: Block, model: dict) -> np.ndarray:
     return np.where(model["frequent"][at] == b.hash, GROUPS + at, b.suffix).astype(np.int32)
 
 
+_NODE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _contexts(group: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the group before and of the two groups before; nothing reaches across texts."""
     before = np.concatenate([[0], group[:-1] + 1]).astype(np.uint64)
@@ -250,7 +253,8 @@ def _contexts(group: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """Slot of a hashed context at a node; `node` is already scrambled."""
+    return ((context + node) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 def _context_counts(texts: DataFrame, shared) -> np.ndarray:
@@ -260,16 +264,20 @@ def _context_counts(texts: DataFrame, shared) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        scrambled = model["nodes"].ravel().astype(np.uint64) * _NODE
         counts = np.zeros(4 * slots, np.int64)
         for batch in batches:
             for _, _, b in _blocks(batch):
                 group = _groups_of(b, model)
                 contexts = _contexts(group, b.first)
-                for j in range(model["nodes"].shape[1]):
-                    at = np.flatnonzero(model["length"][group] > j)
-                    node, bit = model["nodes"][group[at], j], model["bits"][group[at], j].astype(np.int64)
-                    for c, context in enumerate(contexts):
-                        counts[2 * c * slots : 2 * (c + 1) * slots] += np.bincount(bit * slots + _slot(context[at], node), minlength=2 * slots)
+                # All decisions of the block at once: each token as often as its path is long.
+                length = model["length"][group]
+                at = np.repeat(np.arange(len(group)), length)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+                path = group[at] * model["nodes"].shape[1] + step
+                node, bit = scrambled[path], model["bits"].ravel()[path].astype(np.int64) * slots
+                for c, context in enumerate(contexts):
+                    counts[2 * c * slots : 2 * (c + 1) * slots] += np.bincount(bit + _slot(context[at], node), minlength=2 * slots)
         ranges = counts.reshape(-1, chunk)
         used = np.flatnonzero(ranges.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(ranges[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], ["range", "counts"])
@@ -288,44 +296,50 @@ def _context_counts(texts: DataFrame, shared) -> np.ndarray:
 def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts: list[tuple[int, int]], model: dict) -> np.ndarray:
     """Natural log probability of the group of each token; cuts are the segments."""
     out = np.zeros(len(group))
-    tables, ones, n_nodes, depth = model["logits"], model["ones"], len(model["ones"]), model["nodes"].shape[1]
+    ones, n_nodes, depth = model["ones"], len(model["ones"]), model["nodes"].shape[1]
+    table1, table2 = model["logits"]
+    nodes, bits = np.ascontiguousarray(model["nodes"].T), np.ascontiguousarray(model["bits"].T.astype(np.float32))
+    scrambled = np.arange(n_nodes, dtype=np.uint64) * _NODE
+    pace = (4.0 / (np.arange(256) + 3.0)).astype(np.float32)
     cuts = sorted(cuts, key=lambda c: c[0] - c[1])  # longest first: those that still run are a prefix
     for low in range(0, len(cuts), LANES):
         lanes = cuts[low : low + LANES]
         start, length = np.array([a for a, _ in lanes]), np.array([b - a for a, b in lanes])
         weights = np.full((depth, 4, len(lanes)), START_WEIGHT, np.float32)
         weights[:, 3] = 0.15
-        adapting = np.broadcast_to(ones, (len(lanes), n_nodes)).copy()
-        seen = np.zeros((len(lanes), n_nodes), np.uint8)
+        adapting = np.tile(ones, len(lanes))
+        seen = np.zeros(len(adapting), np.uint8)
         for step in range(int(length.max())):
             running = int(np.searchsorted(-length, -step, side="left"))
             at = start[:running] + step
             g = group[at]
             deep = model["length"][g]
             c1, c2 = contexts[0][at], contexts[1][at]
-            cost = np.zeros(running)
+            probability = np.ones(running)
             for j in range(int(deep.max(initial=0))):
                 lane = np.flatnonzero(deep > j)
-                node, bit = model["nodes"][g[lane], j], model["bits"][g[lane], j]
+                here = g.take(lane)
+                node, bit = nodes[j].take(here), bits[j].take(here)
+                hashed, cell = scrambled.take(node), lane * n_nodes + node
+                own, times = adapting.take(cell), seen.take(cell)
+                w = weights[j].take(lane, axis=1)
                 x = np.empty((4, len(lane)), np.float32)
-                x[0] = ones[node]
-                x[1] = tables[0][_slot(c1[lane], node)]
-                x[2] = tables[1][_slot(c2[lane], node)]
-                own = adapting[lane, node]
+                ones.take(node, out=x[0], mode="clip")
+                table1.take(_slot(c1.take(lane), hashed), out=x[1], mode="clip")
+                table2.take(_slot(c2.take(lane), hashed), out=x[2], mode="clip")
                 x[3] = own
-                w = weights[j][:, lane]
-                mixed = np.clip((w * x).sum(axis=0), -12, 12)
+                mixed = np.clip(np.einsum("ij,ij->j", w, x), -12, 12)
                 p = 1 / (1 + np.exp(-mixed))
-                right = np.where(bit == 1, p, 1 - p)
-                cost[lane] += np.log(right)
+                probability[lane] *= np.abs(1 - bit - p)
                 # Gradient of the coding cost.
-                weights[j][:, lane] = w + (RATE * (bit - p)) * x
+                x *= np.float32(RATE) * (bit - p)
+                w += x
+                weights[j][:, lane] = w
                 # The adapting predictor moves by its own error, less as it has seen more.
-                times = seen[lane, node]
                 q = 1 / (1 + np.exp(-own))
-                adapting[lane, node] = np.clip(own + (bit - q) * (4.0 / (times + 3.0)), -8, 8)
-                seen[lane, node] = np.minimum(times, 250) + 1
-            out[at] = cost
+                adapting[cell] = np.clip(own + (bit - q) * pace.take(times), -8, 8)
+                seen[cell] = np.minimum(times, 250) + np.uint8(1)
+            out[at] = np.log(probability)
     return out
 
 
