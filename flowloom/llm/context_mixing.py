@@ -54,6 +54,7 @@ SMOOTHING = 0.1
 RATE = 0.02
 START_WEIGHT = 0.35
 BLOCK_BYTES = 4_000_000
+WORK_BYTES = 1_000_000  # what a task has as arrays at once
 _END = np.uint64(0x2545F4914F6CDD1D)  # hash of the end token
 
 
@@ -61,27 +62,32 @@ class Block:
     """Tokens of some texts: hash, hashed group and text of each; ends included."""
 
     def __init__(self, texts: list[bytes]):
-        w = arrays.words(texts)
         n = len(texts)
-        last = w.end - 1
-        three = np.zeros(len(last), np.uint64)
-        for j in range(3):
-            at = np.maximum(last - j, w.start)
-            three = three * np.uint64(257) + arrays.LOWER[w.data[at]]
-        suffix = (arrays.mix(three) >> np.uint64(32)).astype(np.int64) % GROUPS
+        hashes, suffixes, docs = [], [], []
+        for low, high in arrays.pieces(texts, WORK_BYTES):
+            w = arrays.words(texts[low:high])
+            last = w.end - 1
+            three = np.zeros(len(last), np.uint64)
+            for j in range(3):
+                at = np.maximum(last - j, w.start)
+                three = three * np.uint64(257) + arrays.LOWER[w.data[at]]
+            hashes.append(w.hash)
+            suffixes.append((arrays.mix(three) >> np.uint64(32)).astype(np.int32) % GROUPS)
+            docs.append(w.doc + low)
+        hash_, suffix, doc = (np.concatenate([*x, np.zeros(0, k)]) for x, k in ((hashes, np.uint64), (suffixes, np.int32), (docs, np.int64)))
         # An end after the words of each text.
-        place = np.arange(len(w.hash)) + w.doc
-        total = len(w.hash) + n
-        ends = w.first[1:] + np.arange(n)
+        place = np.arange(len(hash_)) + doc
+        ends = np.searchsorted(doc, np.arange(n), side="right") + np.arange(n)
+        total = len(hash_) + n
         self.hash, self.suffix, self.doc = np.empty(total, np.uint64), np.zeros(total, np.int32), np.empty(total, np.int64)
-        self.hash[place], self.suffix[place], self.doc[place] = w.hash, suffix, w.doc
+        self.hash[place], self.suffix[place], self.doc[place] = hash_, suffix, doc
         self.hash[ends], self.doc[ends] = _END, np.arange(n)
         self.first = np.concatenate([[0], ends + 1])
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Block]]:
     texts = arrays.byte_list(batch["text"])
-    for low, high in arrays.pieces(texts, BLOCK_BYTES):
+    for low, high in arrays.pieces(texts, WORK_BYTES):
         yield low, high, Block(texts[low:high])
 
 

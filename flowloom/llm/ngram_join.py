@@ -131,7 +131,7 @@ def shared_shingles(packed: DataFrame, parts: int, bits: int) -> DataFrame:
         keep[1:] = (hashes[1:] != hashes[:-1]) | (cls[1:] != cls[:-1])
         hashes, cls, n = hashes[keep], cls[keep], n[keep]
         if not len(hashes):
-            return pd.DataFrame({"part": [], "rows": []})
+            return pd.DataFrame({"part": pd.Series([], dtype="int32"), "rows": pd.Series([], dtype=object)})
         start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         df = np.diff(np.append(start, len(hashes)))
         df = np.repeat(df, df)
@@ -143,7 +143,8 @@ def shared_shingles(packed: DataFrame, parts: int, bits: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         out, to = out[order], to[order]
         used, cut = np.unique(to, return_index=True)
-        return pd.DataFrame({"part": used.astype(np.int32), "rows": [x.tobytes() for x in np.split(out, cut[1:])] if len(used) else []})
+        packed = [x.tobytes() for x in np.split(out, cut[1:])] if len(used) else []
+        return pd.DataFrame({"part": used.astype(np.int32), "rows": pd.Series(packed, dtype=object)})
 
     return packed.groupBy("bucket").applyInPandas(run, "part int, rows binary")
 
@@ -180,7 +181,7 @@ def prefixes(shared: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame
             out["tokens"].append(token.astype(np.int64))
             out["prefix"].append([{"token": int(t), "place": unique + i} for i, t in enumerate(cuts[0])])
             out["others"].append([list(map(int, c)) for c in cuts[1:]])
-        return pd.DataFrame(out)
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
 
     return shared.groupBy("part").applyInPandas(run, "class long, n long, tokens array<long>, prefix array<struct<token:long,place:long>>, others array<array<long>>")
 
