@@ -148,6 +148,15 @@ def ipv6_groups(ip: Column) -> Column:
     return F.when(well_formed, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
 
 
+def _plain_v6(ip: Column) -> Column:
+    """An IPv6 text without its scope id, a dotted tail written as two groups."""
+    bare = F.regexp_replace(ip, r"%[^%]+$", "")
+    tail = F.regexp_extract(bare, r":([0-9.]+)$", 1)
+    number = ipv4_number(F.when(tail.contains("."), tail))
+    groups = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
+    return F.when(number.isNotNull(), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), groups)).otherwise(bare)
+
+
 def _in_v6_block(groups: Column, block: tuple[str, int]) -> Column:
     address, prefix = block
     inside = F.lit(True)
@@ -177,6 +186,6 @@ def is_private_ip(ip: Column) -> Column:
     """True for an address that is not globally reachable; a malformed one is not private."""
     mapped = F.regexp_extract(ip, _MAPPED_V4, 1)
     quad = F.when(mapped != "", mapped).otherwise(ip)
-    return F.when(quad.contains(":"), _private_v6(ip)).otherwise(
+    return F.when(quad.contains(":"), _private_v6(_plain_v6(ip))).otherwise(
         _once(ipv4_number(quad), _private_v4_number)
     )

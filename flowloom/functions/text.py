@@ -18,7 +18,9 @@ def first_present(*columns: Column) -> Column:
 def try_number(text: Column) -> Column:
     """DOUBLE value of a text, NULL when it is empty or not a number."""
     text = text.cast("string")
-    return F.when(~text.rlike(_JAVA_ONLY_NUMBER), text.try_cast("double"))
+    # An underscore between two digits groups them.
+    plain = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
+    return F.when(~text.rlike(_JAVA_ONLY_NUMBER), plain.try_cast("double"))
 
 
 def parse_int(text: Column, default: int = 0) -> Column:
@@ -40,12 +42,12 @@ def finite_number(text: Column) -> Column:
 def parse_timestamp(text: Column) -> tuple[Column, Column]:
     """(ISO text, epoch seconds) of `26/04/201711:11:17` or `26/04/2017 11:11:17`.
 
+    Day, month, hour, minute and second may have one digit.
+
     A text that fits neither format is passed through with epoch 0.
     """
-    moment = F.coalesce(
-        F.try_to_timestamp(text, F.lit("d/M/yyyyHH:mm:ss")),
-        F.try_to_timestamp(text, F.lit("d/M/yyyy HH:mm:ss")),
-    )
+    spaced = F.regexp_replace(text, r"^(\d{1,2}/\d{1,2}/\d{4})(?=\d)", "$1 ")
+    moment = F.try_to_timestamp(spaced, F.lit("d/M/yyyy H:m:s"))
     iso = F.coalesce(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), text, F.lit(""))
     return iso, F.coalesce(F.unix_timestamp(moment), F.lit(0).cast("bigint"))
 

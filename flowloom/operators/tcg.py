@@ -269,12 +269,14 @@ def capped_shr_edges(
     No join: a look-ahead of k rows per endpoint.  The endpoint's rows are cut into time
     blocks (eight windows long by default), and flows within `window` after a block's end
     are repeated into it as candidates, so a busy endpoint is spread over many tasks.
+    A window of 0 is unlimited: then all flows of an endpoint are one block.
     """
-    width = max(block_seconds or 8 * window, window)
+    limited = window > 0
+    width = max(block_seconds or 8 * window, window, 1)
     ts = F.col("timestamp_epoch")
 
     def block(seconds: Column) -> Column:
-        return F.floor(seconds / F.lit(width)).cast("bigint")
+        return F.floor(seconds / F.lit(width)).cast("bigint") if limited else F.lit(0).cast("bigint")
 
     placed = flows.select(
         "src_ip",
@@ -294,7 +296,7 @@ def capped_shr_edges(
             F.col("next.id").alias("b_id"),
             (F.col("next.ts") - F.col("flow.ts")).alias("delta"),
         )
-        .filter(F.col("delta") <= window)
+        .filter((F.col("delta") <= window) if limited else F.lit(True))
     )
     return _project(pairs, "SHR")
 

@@ -696,7 +696,7 @@ def check_graph(spark, sf_dir):
 @query(
     "check_results",
     """SELECT g || '/' || m AS "check", m = 'dummy_stratified' OR g = 'A' AS ok,
-  CASE WHEN m = 'dummy_stratified' OR g = 'A' THEN 0.0 ELSE 7.0 END::DOUBLE AS value
+  CASE WHEN m = 'dummy_stratified' OR g = 'A' THEN 0.0 ELSE 5.0 END::DOUBLE AS value
 FROM (VALUES ('A'), ('B'), ('C'), ('E'), ('F')) t(g), (VALUES ('dummy_stratified'), ('dummy_most_frequent')) s(m)""",
 )
 def check_results(spark, sf_dir):

@@ -42,11 +42,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`, a temporary one where none is set."""
+    """The folder the cluster names in `spark.checkpoint.dir`.
+
+    Where none is set, a temporary one, but only in local mode: other machines would not see it.
+    """
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="flowloom-")
     return _local_folder

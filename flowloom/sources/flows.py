@@ -31,15 +31,16 @@ ALIASES = {
 }
 
 
-def read_flows_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_flows_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Every column as text under its header name; bytes that are not UTF-8 are replaced.
 
     Types are never inferred: that would read 100 TB twice, and a later file could
-    disagree.  The header is taken from the first file.
+    disagree.  The header is taken from the first file.  A quote within a field is doubled.
+    Fields with line breaks need `multi_line`, which reads each file in one task.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8", mode="PERMISSIVE").na.fill("")
+    return spark.read.csv(path, schema=schema, header=True, encoding="UTF-8", mode="PERMISSIVE", escape='"', multiLine=multi_line).na.fill("")
 
 
 def read_flows_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

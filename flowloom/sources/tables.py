@@ -60,7 +60,7 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """Fixed column order, a missing value becomes the empty string."""
     text_columns = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias(f) for f in fields]
-    df.select(*text_columns).write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
+    df.select(*text_columns).write.mode("overwrite").option("emptyValue", "").option("escape", '"').csv(path, header=True)
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "snappy") -> None:
