@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NOT_ALPHANUMERIC = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b in range(256)])
 # Letters A-Z are words too: they are lower-cased before the separators are applied.
