@@ -41,6 +41,8 @@ def _draws(low: int, high: int) -> np.ndarray:
 
 
 _FIRST_DRAWS = _draws(0, 16)
+# Few shingles fill many bins with one value; salted by bin, their kept bits agree by chance one by one.
+_SALT = arrays.mix(np.arange(BINS, dtype=np.uint64) + np.uint64(99))
 
 
 def densify(bins: np.ndarray) -> np.ndarray:
@@ -74,7 +76,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         np.minimum.at(bins, doc * BINS + (h >> np.uint64(64 - BINS_LOG2)).astype(np.int64), h & np.uint64((1 << (64 - BINS_LOG2)) - 1))
         bins = bins.reshape(n, BINS)
         for d in np.flatnonzero((bins != _EMPTY).any(axis=1)):
-            out[low + d] = arrays.mix(densify(bins[d])) & np.uint64((1 << KEPT_BITS) - 1)
+            out[low + d] = arrays.mix(densify(bins[d]) + _SALT) & np.uint64((1 << KEPT_BITS) - 1)
     return out
 
 
