@@ -13,8 +13,11 @@ ids and other columns do no harm.  An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import compress
+from operator import add, not_
 
 import numpy as np
 import pandas as pd
@@ -31,49 +34,87 @@ LENGTH = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
 MERGED_PARTITIONS = 64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+WORDS_AT_ONCE = 1000
+PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+# The letter that stands for each byte in the vocabulary: printable ones for themselves, the
+# others from 256 on; the space between words is kept.
+_OWN = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+BYTE_ALPHABET = np.where(_OWN, np.arange(256), 255 + np.cumsum(~_OWN)).astype("<u4")
+BYTE_ALPHABET[0x20] = 0x20
 
 
 class WordIds:
     """Ids of texts by way of a bounded cache of the ids of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in turn.  A full stop or comma after a letter is an own token as well.
+    its words in turn.  A run of punctuation after letters is an own pre-token as well.  A word of
+    letters alone is one pre-token in lower case, whose last id ends a word; so new ones are
+    encoded many at a time and cut apart at those ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        # The same merges for words that are normal, in lower case and in the alphabet of bytes.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letter_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters."""
+        out: list[bytes] = []
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            some = words[low : low + WORDS_AT_ONCE]
+            text = unicodedata.normalize("NFC", b" ".join(some).decode())
+            small = text.lower()
+            if "\u03a3" in text or not small.replace(" ", "").isalpha():
+                # A sigma's or another letter's lower case needs the whole tokenizer.
+                out += self._ids([w.decode() for w in some])
+                continue
+            (got,) = self.merges.encode_batch_fast([BYTE_ALPHABET[np.frombuffer(small.encode(), np.uint8)].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            packed = ids.tobytes()
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            out += [packed[a:b] for a, b in zip(cut, cut[1:])]
+        return out
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        ask = []
-        for word in words - self.new.keys():
-            ids = self.old.get(word)
-            if ids is None:
-                ask.append(word)
-            else:
-                self.new[word] = ids
-        stems = {w[:-1] if w[-1] in b".," and len(w) > 1 and chr(w[-2]).isascii() and chr(w[-2]).isalpha() else w for w in ask} - self.new.keys()
-        stems = list(stems)
-        for word, got in zip(stems, self.tokenizer.encode_batch([w.decode() for w in [*stems, b".", b","]], add_special_tokens=False)):
-            self.new[word] = np.array(got.ids, "<u4").tobytes()
-        for mark in (b".", b","):
-            self.new[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for word in ask:
-            if word not in self.new:
-                self.new[word] = self.new[word[:-1]] + self.new[word[-1:]]
+        fresh = list(self._missing(words))
+        if not fresh:
+            return
+        stems = [w.rstrip(PUNCTUATION) for w in b" ".join(fresh).lower().split(b" ")]
+        lettered = list(map(str.isalpha, b" ".join(stems).decode().split(" ")))
+        stems, whole = list(compress(stems, lettered)), list(compress(fresh, lettered))
+        tails = [w[len(s) :] for w, s in zip(whole, stems)]
+        other = list(self._missing({*compress(fresh, map(not_, lettered)), *tails}))
+        self.new.update(zip(other, self._ids([w.decode() for w in other]), strict=True))
+        asked = list(self._missing(set(stems)))
+        self.new.update(zip(asked, self._letter_ids(asked), strict=True))
+        self.new.update(zip(whole, map(add, map(self.new.__getitem__, stems), map(self.new.__getitem__, tails))))
+
+    def _missing(self, words: set[bytes]) -> set[bytes]:
+        """Words not in the cache; those of its older half go over to the newer."""
+        words = words.difference(self.new)
+        again = [w for w in words if w in self.old]
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return words.difference(again)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        unknown = set().union(*split)
-        self.learn(unknown)
+        self.learn(set().union(*split))
         return [b"".join(map(self.new.__getitem__, words)) for words in split]
 
 
