@@ -103,22 +103,34 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def nearest(queries: DataFrame, table: DataFrame, key: str, k: int = 5, digits: int = 6) -> DataFrame:
     """`query`, `neighbour`, `similarity`, `rank`: the k most similar rows of each query by cosine.
 
-    The queries are few by definition (a report on the first ten tokens, a sample of some
-    thousand) and their size is checked; the table stays where it is.  Each batch of the
-    table keeps its own k best per query, so k rows per query and batch are shuffled, not
-    all pairs.  Ties go to the smaller key; a row is no neighbour of itself.
+    Queries go to the table in blocks of a checked size, however many there are; the table
+    stays where it is.  Each batch of the table keeps its own k best per query, so k rows per
+    query and batch are shuffled, not all pairs.  Ties go to the smaller key; a row is no
+    neighbour of itself.
     """
-    picked = queries.select(F.col(key).cast("string").alias("q"), "emb").toPandas()
-    if not len(picked):
-        dim = 0
-    else:
-        dim = len(picked["emb"].iloc[0])
-    if len(picked) * dim > MAX_QUERY_NUMBERS:
-        raise ValueError(f"{len(picked)} query vectors exceed {MAX_QUERY_NUMBERS} numbers; run them in parts")
-    picked = picked.sort_values("q", ignore_index=True)
+    slim = table.select(F.col(key).cast("string").alias("n"), "emb")
+    candidates = None
+    for picked in _blocks(queries.select(F.col(key).cast("string").alias("q"), "emb")):
+        found = _best_per_batch(picked, slim, k, digits)
+        candidates = found if candidates is None else candidates.unionByName(found)
+    order = [F.desc("similarity"), F.col("neighbour")]
+    best = top_k_per_key(candidates, "query", order, k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+
+
+def _blocks(vectors_: DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows (q, emb) in blocks of about MAX_QUERY_NUMBERS numbers, one at a time, by a hash of q."""
+    size = vectors_.agg(F.coalesce(F.sum(F.size("emb")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // MAX_QUERY_NUMBERS))
+    for block in range(blocks):
+        mine = vectors_.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else vectors_
+        yield mine.toPandas().sort_values("q", ignore_index=True)
+
+
+def _best_per_batch(picked: pd.DataFrame, slim: DataFrame, k: int, digits: int) -> DataFrame:
     names = picked["q"].to_numpy(dtype=object)
-    unit = _unit(_matrix(picked["emb"], dim))
-    shared = table.sparkSession.sparkContext.broadcast((names, unit))
+    unit = _unit(_matrix(picked["emb"], len(picked["emb"].iloc[0]) if len(picked) else 0))
+    shared = slim.sparkSession.sparkContext.broadcast((names, unit))
 
     def best_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, unit = shared.value
@@ -136,11 +148,7 @@ def nearest(queries: DataFrame, table: DataFrame, key: str, k: int = 5, digits:
             )
             yield out[np.isfinite(out["similarity"])]
 
-    slim = table.select(F.col(key).cast("string").alias("n"), "emb")
-    candidates = slim.mapInPandas(best_of_batch, "query string, neighbour string, similarity double")
-    order = [F.desc("similarity"), F.col("neighbour")]
-    best = top_k_per_key(candidates, "query", order, k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+    return slim.mapInPandas(best_of_batch, "query string, neighbour string, similarity double")
 
 
 def sample_rows(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -149,11 +157,12 @@ def sample_rows(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def pca_variance(
-    table: DataFrame, key: str, k: int = 10, sample: int | None = 100_000, seed: int = 42
+    table: DataFrame, key: str, k: int = 10, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
     """`component`, `ratio`: variance share of the first k principal components.
 
-    Only the dim x dim covariance reaches the driver.
+    Over the whole table unless a sample is asked for.  Only the dim x dim covariance reaches
+    the driver.
     """
     rows = sample_rows(table, key, sample, seed) if sample else table
     dim = rows.select(F.size("emb").alias("n")).first().n
@@ -162,23 +171,31 @@ def pca_variance(
     return table.sparkSession.createDataFrame(values, "component int, ratio double")
 
 
-def pair_cosine_spread(sample: DataFrame, key: str, digits: int = 6) -> DataFrame:
-    """Median and mean cosine over all pairs of a bounded sample, and the pair count.
+def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """Median and mean cosine over all pairs of the table, and the pair count.
 
-    The sample (its size is checked) goes to every task; a task turns its rows into counts
-    of rounded cosines against the rows with a larger key, so pairs are never rows.
+    Blocks of a checked size go to every task; a task turns its rows into counts of rounded
+    cosines against the block's rows with a larger key, so pairs are never rows.  The work is
+    that of all pairs: give a sample (`sample_rows`) where that is too much.
     """
-    everything = sample.select(F.col(key).cast("string").alias("q"), "emb").toPandas().sort_values("q", ignore_index=True)
-    dim = len(everything["emb"].iloc[0]) if len(everything) else 0
-    if len(everything) * dim > MAX_QUERY_NUMBERS:
-        raise ValueError(f"a sample of {len(everything)} vectors exceeds {MAX_QUERY_NUMBERS} numbers")
-    names = everything["q"].to_numpy(dtype=object)
-    shared = sample.sparkSession.sparkContext.broadcast((names, _unit(_matrix(everything["emb"], dim))))
+    slim = table.select(F.col(key).cast("string").alias("q"), "emb")
+    counts = None
+    for block in _blocks(slim):
+        found = _cosine_counts(block, slim, digits)
+        counts = found if counts is None else counts.unionByName(found)
+    counts = counts.groupBy("cosine").agg(F.sum("pairs").alias("n"))
+    return _weighted_median(counts, "cosine", "cosine").withColumnRenamed("total", "pairs")
+
+
+def _cosine_counts(block: pd.DataFrame, slim: DataFrame, digits: int) -> DataFrame:
+    names = block["q"].to_numpy(dtype=object)
+    unit = _unit(_matrix(block["emb"], len(block["emb"].iloc[0]) if len(block) else 0))
+    shared = slim.sparkSession.sparkContext.broadcast((names, unit))
 
     def count_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, unit = shared.value
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(names):
                 continue
             # A few rows at a time: the score block stays small.
             for first in range(0, len(batch), 256):
@@ -188,9 +205,7 @@ def pair_cosine_spread(sample: DataFrame, key: str, digits: int = 6) -> DataFram
                 values, counts = np.unique(score[later], return_counts=True)
                 yield pd.DataFrame({"cosine": values, "pairs": counts})
 
-    slim = sample.select(F.col(key).cast("string").alias("q"), "emb")
-    counts = slim.mapInPandas(count_values, "cosine double, pairs long").groupBy("cosine").agg(F.sum("pairs").alias("n"))
-    return _weighted_median(counts, "cosine", "cosine").withColumnRenamed("total", "pairs")
+    return slim.mapInPandas(count_values, "cosine double, pairs long")
 
 
 def _weighted_median(counts: DataFrame, value: str, name: str) -> DataFrame:
@@ -227,14 +242,31 @@ def mean_pair_cosine(table: DataFrame) -> DataFrame:
 
 
 def norm_spread(table: DataFrame) -> DataFrame:
-    """Median (interpolated) and population standard deviation of the vector length.
+    """Median (interpolated) and population standard deviation of the vector length, over the whole table."""
+    size = table.select(vectors.norm(F.col("emb")).alias("size"))
+    n = size.filter("size IS NOT NULL").count()
+    low, high = (value_at_rank(size, "size", rank) if n else None for rank in ((n - 1) // 2, n // 2))
+    median = F.lit((low + high) / 2 if n else None).cast("double")
+    return size.agg(F.any_value(median).alias("norm_median"), F.stddev_pop("size").alias("norm_std"))
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int, ranges: int = 4096) -> float:
+    """The value at a rank, from 0, of the sorted numbers of a column.
 
-    The exact median keeps one counter per distinct length: give a sample (`sample_rows`).
+    Counts over equal ranges, then again within the range that holds the rank, until it holds
+    one value: each pass is one aggregation and `ranges` rows for the driver, at any size.
     """
-    size = table.select(vectors.norm(F.col("emb")).alias("size"))
-    return size.agg(
-        F.percentile("size", 0.5).alias("norm_median"), F.stddev_pop("size").alias("norm_std")
-    )
+    value = F.col(column).cast("double")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    while low < high:
+        place = F.least(F.floor((value - low) / (high - low) * ranges), F.lit(ranges - 1))
+        counts = df.filter(value.between(low, high)).groupBy(place.alias("at"))
+        for r in counts.agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("at").collect():
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
 
 
 def neighbour_meaning(neighbours: DataFrame, info: DataFrame) -> DataFrame:
@@ -251,9 +283,8 @@ def neighbour_meaning(neighbours: DataFrame, info: DataFrame) -> DataFrame:
             hashing.record_ordinal(F.col("record_id")).alias(f"{prefix}_ordinal"),
         )
 
-    # `nearest` bounds its queries, so the pairs are few and the flow table does not move.
-    pairs = side("query", "q").join(F.broadcast(neighbours), "query")
-    pairs = side("neighbour", "n").join(F.broadcast(pairs), "neighbour")
+    # As many pairs as queries times k: their size is left to adaptive execution.
+    pairs = neighbours.join(side("query", "q"), "query").join(side("neighbour", "n"), "neighbour")
     gap = F.abs(F.col("q_ordinal") - F.col("n_ordinal"))
     seconds = F.abs(F.col("q_timestamp_epoch") - F.col("n_timestamp_epoch"))
     return pairs.agg(

@@ -122,9 +122,8 @@ def pca_variance(spark, sf_dir):
 SELECT round(median(cosine), 5) AS cosine_median, round(avg(cosine), 5) AS cosine_mean, count(*) AS pairs FROM c""",
 )
 def cosine_spread(spark, sf_dir):
-    """All pairs of the reference's 5,000-row sample (here: every row there is)."""
-    table = vector_table(spark, sf_dir)
-    spread = embeddings.pair_cosine_spread(embeddings.sample_rows(table, "id", 5000, SEED), "id")
+    """All pairs of the whole table."""
+    spread = embeddings.pair_cosine_spread(vector_table(spark, sf_dir), "id")
     return rounded(spread, "cosine_median", "cosine_mean", digits=5)
 
 
@@ -142,8 +141,7 @@ def mean_pair_cosine(spark, sf_dir):
     f"""WITH {_UNIT} SELECT round(median(size), 6) AS norm_median, round(stddev_pop(size), 6) AS norm_std FROM v""",
 )
 def norm_spread(spark, sf_dir):
-    table = embeddings.sample_rows(vector_table(spark, sf_dir), "id", 100_000, SEED)
-    return rounded(embeddings.norm_spread(table), "norm_median", "norm_std")
+    return rounded(embeddings.norm_spread(vector_table(spark, sf_dir)), "norm_median", "norm_std")
 
 
 _NEAR_ALL = f"""near AS MATERIALIZED (SELECT a.id AS query, b.id AS neighbour, {_COS} AS similarity,
@@ -168,9 +166,9 @@ JOIN flows b ON b.record_id = 'rec_' || lpad((neighbour::BIGINT + 1)::VARCHAR, 1
     ),
 )
 def nn_meaning(spark, sf_dir):
-    """Five nearest flows of each of 3,000 sampled flows (here: of every flow with a vector)."""
+    """Five nearest flows of every flow with a vector."""
     vectors = views.flow_vectors(spark, sf_dir)
-    near = embeddings.nearest(embeddings.sample_rows(vectors, "record_id", 3000, SEED), vectors, "record_id", 5)
+    near = embeddings.nearest(vectors, vectors, "record_id", 5)
     info = views.flows(spark, sf_dir).select(
         "record_id", "src_endpoint", F.col("label").alias("target"), "timestamp_epoch"
     )
@@ -186,7 +184,7 @@ FROM near JOIN v a ON a.id = query JOIN v b ON b.id = neighbour WHERE rank = 1""
 )
 def nn_same_label(spark, sf_dir):
     table = vector_table(spark, sf_dir)
-    near = embeddings.nearest(embeddings.sample_rows(table, "id", 3000, SEED), table, "id", 5)
+    near = embeddings.nearest(table, table, "id", 5)
     labels = table.select(F.col("id").alias("key"), "label")
     return rounded(embeddings.first_neighbour_agreement(near, labels), "same_label_rate")
 
