@@ -366,3 +366,17 @@ def test_fingerprints(spark, texts, edge, empty, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SF_DIR), connect(SF_DIR), queries.ORACLES[name]) is None
+
+
+def test_word_ids_are_the_tokenizers():
+    texts = [
+        "", "a", "A A. a, a", "it's IT'S don't. c' d's. x.y a., .. , . 12.5, e!!! .!?",
+        "ΑΣΑ ΑΣ ΑΣ. Σ Ŝŝ Ǆ ǅ ŉ ẞ ß ﬁ. ª. İstanbul, İ KelvinK",
+        "H̱ello À. e.́ a.≮ b≮ กำ ñ. 中文, 　가 한",
+        "<|endoftext|> x<|endoftext|> y<|startoftext|>.. \x1ca\x1d. \x85 \x00. a‍.",
+    ]
+    ids = packing.WordIds(packing.tokenizer_path())
+    for text, got in [*zip(texts, ids.encode([t.encode() for t in texts])), *((t, ids.encode([t.encode()])[0]) for t in texts)]:
+        assert list(np.frombuffer(got, "<u4")) == ids.tokenizer.encode(text, add_special_tokens=False).ids
+    ids.new, ids.old = {}, ids.new  # words of the older half are taken over
+    assert list(np.frombuffer(ids.encode([b"A A. a, a"])[0], "<u4")) == ids.tokenizer.encode(texts[2], add_special_tokens=False).ids
