@@ -17,6 +17,14 @@ CSV_BYTES_PER_EDGE = 150
 STORE_BYTES_PER_EDGE = 300
 WALK_BYTES_PER_TOKEN = 15
 GIB = 1024**3
+# A verdict holds up to so many edges and from so many free GiB on; the first that fits counts.
+STORAGE_VERDICTS = [
+    (40_000_000, 60, "FEASIBLE"),
+    (40_000_000, 40, "CAUTIOUS"),
+    (80_000_000, 100, "FEASIBLE"),
+    (80_000_000, 60, "CAUTIOUS"),
+]
+NOT_RECOMMENDED_ABOVE = 100_000_000
 
 
 def within_delta(edges: DataFrame, max_delta: int) -> DataFrame:
@@ -137,14 +145,9 @@ def storage_model(
     embedding_gb = flow_count * dim * 4 / GIB
     peak = edges * CSV_BYTES_PER_EDGE / GIB + edges * STORE_BYTES_PER_EDGE / GIB + F.lit(walk_gb) + F.lit(embedding_gb)
     free = F.lit(float(free_gb))
-    verdict = (
-        F.when((edges <= 40_000_000) & (free >= 60), "FEASIBLE")
-        .when((edges <= 40_000_000) & (free >= 40), "CAUTIOUS")
-        .when((edges <= 80_000_000) & (free >= 100), "FEASIBLE")
-        .when((edges <= 80_000_000) & (free >= 60), "CAUTIOUS")
-        .when(edges > 100_000_000, "NOT_RECOMMENDED")
-        .otherwise("CAUTION")
-    )
+    verdict = F.when(edges > NOT_RECOMMENDED_ABOVE, "NOT_RECOMMENDED").otherwise("CAUTION")
+    for most_edges, least_free, name in reversed(STORAGE_VERDICTS):
+        verdict = F.when((edges <= most_edges) & (free >= least_free), name).otherwise(verdict)
     return capped.select(
         "k",
         edges.alias("edges"),

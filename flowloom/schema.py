@@ -6,12 +6,18 @@ from pyspark.sql import types as T
 
 # Relation precedence, a pair of flows keeps the smallest.
 RELATION_PRIORITY = {"CR": 1, "PR": 2, "DHR": 3, "SHR": 4}
+# Seconds of each relation's window, and of one that is not named.
 DEFAULT_WINDOWS = {"CR": 5, "PR": 1, "DHR": 1, "SHR": 5}
 FALLBACK_WINDOW = 60
 
+# Flow columns and types.
 FLOW_SCHEMA = T.StructType(
-    [T.StructField(name, T.StringType()) for name in ("record_id", "flow_id", "src_endpoint", "dst_endpoint", "src_ip")]
-    + [
+    [
+        T.StructField("record_id", T.StringType()),
+        T.StructField("flow_id", T.StringType()),
+        T.StructField("src_endpoint", T.StringType()),
+        T.StructField("dst_endpoint", T.StringType()),
+        T.StructField("src_ip", T.StringType()),
         T.StructField("src_port", T.LongType()),
         T.StructField("dst_ip", T.StringType()),
         T.StructField("dst_port", T.LongType()),
@@ -30,6 +36,7 @@ FLOW_SCHEMA = T.StructType(
 )
 FLOW_FIELDS = FLOW_SCHEMA.fieldNames()
 
+# Column names.
 ENDPOINT_FIELDS = [
     "endpoint_id",
     "ip",
@@ -40,6 +47,7 @@ ENDPOINT_FIELDS = [
     "is_proxy_port",
 ]
 
+# Column names.
 COMMUNICATES_FIELDS = [
     "edge_id",
     "src_endpoint",
@@ -68,6 +76,7 @@ COMMUNICATES_FIELDS = [
     "l7_protocol_entropy",
 ]
 
+# Column names.
 CAUSES_FIELDS = [
     "relation_id",
     "src_record_id",
@@ -93,4 +102,5 @@ LEAKAGE_COLUMNS = [
     "L7Protocol",
     "ProtocolName",
 ]
+# Columns that every feature table starts with.
 FEATURE_META = ["record_id", "target", "split", "src_endpoint", "dst_endpoint"]
