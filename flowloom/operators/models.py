@@ -21,6 +21,7 @@ from flowloom.functions.hashing import TEST, TRAIN, VALID, draw
 from flowloom.operators import features as feature_ops
 from flowloom.operators import knn, metrics, sampling
 from flowloom.operators.target_encoding import class_list, with_label_index
+from flowloom.session import cut_lineage
 
 MAX_DEPTH = 30  # MLlib refuses deeper trees
 
@@ -178,6 +179,7 @@ def train_boosted(
     no model and is never predicted: rows of other splits are not borrowed for it.
     """
     started = time.perf_counter()
+    assembled = cut_lineage(assembled)  # read again for every class
     fitting = assembled.filter(F.col("split").isin(TRAIN, VALID)).withColumn("hold", F.col("split") == VALID)
     scored = assembled.filter(F.col("split") == split)
     present = {row.target for row in _class_counts(assembled).collect()}
@@ -221,12 +223,12 @@ def history_table(trained: Trained, spark) -> DataFrame:
 def grid(
     tables: dict[str, DataFrame], models: dict[str, dict], split: str = TEST, classes: list[str] | None = None
 ) -> DataFrame:
-    """Result rows of every feature group with every model; each assembled table is cached once."""
+    """Result rows of every feature group with every model; each assembled table is stored once."""
     rows: list[DataFrame] = []
     for group, df in tables.items():
         columns = feature_ops.feature_columns(df)
         labels = classes or class_list(df)
-        assembled = assemble(df, columns, labels).persist()
+        assembled = cut_lineage(assemble(df, columns, labels))
         for name, params in models.items():
             trained = train(name, assembled, labels, split, **params)
             row = metrics.result_row(trained.predictions, group, name, len(columns))
