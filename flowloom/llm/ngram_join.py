@@ -157,14 +157,14 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(shared: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
-    """(class, n, tokens, prefix, others): all shared shingles, the prefix under the first order with
-    its places, and the prefixes under the other orders."""
+    """(class, n, tokens, unique, prefix, others): all shared shingles, the number of those of this class
+    only, the prefix under the first order, in order, and the prefixes under the other orders."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([np.frombuffer(b, _SHARED) for b in rows["rows"]])
         x = x[np.argsort(x["class"], kind="stable")]
         start = np.flatnonzero(np.concatenate([[True], x["class"][1:] != x["class"][:-1]]))
-        out: dict[str, list] = {"class": [], "n": [], "tokens": [], "prefix": [], "others": []}
+        out: dict[str, list] = {"class": [], "n": [], "tokens": [], "unique": [], "prefix": [], "others": []}
         for a, b in zip(start, np.append(start[1:], len(x))):
             n, unique = int(x["n"][a]), int(x["n"][a]) - (b - a)
             length = int(prefix_length(np.int64(n), percent)) - unique
@@ -179,11 +179,12 @@ def prefixes(shared: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame
             out["class"].append(int(x["class"][a]))
             out["n"].append(n)
             out["tokens"].append(token.astype(np.int64))
-            out["prefix"].append([{"token": int(t), "place": unique + i} for i, t in enumerate(cuts[0])])
-            out["others"].append([list(map(int, c)) for c in cuts[1:]])
+            out["unique"].append(unique)
+            out["prefix"].append(cuts[0])
+            out["others"].append(cuts[1:])
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
 
-    return shared.groupBy("part").applyInPandas(run, "class long, n long, tokens array<long>, prefix array<struct<token:long,place:long>>, others array<array<long>>")
+    return shared.groupBy("part").applyInPandas(run, "class long, n long, tokens array<long>, unique long, prefix array<long>, others array<array<long>>")
 
 
 def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
@@ -269,10 +270,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5, orders: i
     total = members.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     # Buckets of about 2 million shingles; the number follows the corpus.
     bits = max(4, int(np.ceil(np.log2(max(1, total["n"] or 0) / 2_000_000))) if total["n"] else 4)
-    parts = max(16, (total["n"] or 0) // 2_000_000)
+    parts = max(16, (total["n"] or 0) // 1_000_000)
     packed = packed_shingles(docs, bits, k).repartition(1 << bits, "bucket")
     sets = cut_lineage(prefixes(shared_shingles(packed, parts, bits), percent, orders))
-    entries = sets.select("class", "n", F.explode("prefix").alias("x")).select("class", "n", "x.*")
+    # Shingles of one class only come before the prefix's first.
+    entries = sets.select("class", "n", "unique", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("class", "n", "token", (F.col("unique") + F.col("pos")).alias("place"))
     roots = class_links(entries, sets.select("class", "n", "tokens", "others"), percent, orders)
     placed = members.groupBy("class").agg(F.min("doc_id").alias("least")).where(F.col("class").isNotNull())
     placed = placed.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
