@@ -6,6 +6,7 @@ from flowloom.plans import (  # noqa: F401
     feature_queries,
     graph_queries,
     model_queries,
+    source_queries,
     storage_queries,
     view_queries,
 )

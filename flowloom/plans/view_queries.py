@@ -88,16 +88,16 @@ def capped_estimate(spark, sf_dir):
     "capped_storage",
     _view(
         """SELECT k, union_estimate AS edges, round(union_estimate * 150 / 1073741824.0, 2) AS csv_input_gb,
-  round(union_estimate * 300 / 1073741824.0, 2) AS store_gb, round(1000000.0 * 300 / 1073741824.0, 2) AS walk_file_gb,
-  round(1000000.0 * 256 / 1048576.0, 2) AS embedding_mb,
-  round(union_estimate * 450 / 1073741824.0 + 1000000.0 * 300 / 1073741824.0 + 1000000.0 * 256 / 1073741824.0, 2) AS total_peak_gb,
-  'CAUTIOUS' AS verdict FROM capped""",
+  round(union_estimate * 300 / 1073741824.0, 2) AS store_gb, round(n * 300 / 1073741824.0, 2) AS walk_file_gb,
+  round(n * 256 / 1048576.0, 2) AS embedding_mb,
+  round(union_estimate * 450 / 1073741824.0 + n * 300 / 1073741824.0 + n * 256 / 1073741824.0, 2) AS total_peak_gb,
+  'CAUTIOUS' AS verdict FROM capped, (SELECT count(*)::DOUBLE AS n FROM flows)""",
         _DEG,
         _CAPPED,
     ),
 )
 def capped_storage(spark, sf_dir):
-    return subgraph.storage_model(subgraph.capped_size(causes(spark, sf_dir), (2, 5, 10)), 1_000_000, 50.0)
+    return subgraph.storage_model(subgraph.capped_size(causes(spark, sf_dir), (2, 5, 10)), views.flows(spark, sf_dir).count(), 50.0)
 
 
 @query("edge_counts", _view("SELECT relation_type, count(*) AS edges FROM causes GROUP BY 1"))
