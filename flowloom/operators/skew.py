@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is heavy when it owns more than this share of the rows, so there are fewer
-# than 1 / HEAVY_SHARE heavy keys however large the data is: safe to broadcast.
+# A key is heavy when it owns more rows than one task should take: TASK_ROWS, on small tables
+# HEAVY_SHARE of the rows.  So there are fewer than 1 / HEAVY_SHARE or rows / TASK_ROWS heavy
+# keys, whichever is more: 250,000 for 10^12 rows, which can be broadcast.
 HEAVY_SHARE = 1 / 400
-SALTS = 64
+TASK_ROWS = 4_000_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys that own more than `share` of the rows: at most 1/share rows.
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Keys with more rows than a task should take, and `_salts`, the tasks to spread them over.
 
     Counts are combined map-side, so a heavy key costs no more than a rare one.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(*keys)
+    most = F.least(total * F.lit(share), F.lit(float(task_rows)))
+    return counts.filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
 
 
-def salted(df: DataFrame, heavy: DataFrame, spread_by: list[str], salts: int = SALTS) -> DataFrame:
-    """Add `_salt`: rows of a heavy key are spread over `salts` values, others get 0."""
-    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salt = F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    return df.join(hot, heavy.columns, "left").withColumn("_salt", salt).drop("_hot")
+def _with_salts(df: DataFrame, heavy: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(heavy), [c for c in heavy.columns if c != "_salts"], "left")
 
 
-def repeated(df: DataFrame, heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+def salted(df: DataFrame, heavy: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Add `_salt`: rows of a heavy key are spread over its `_salts` values, others get 0."""
+    spread = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
+    return _with_salts(df, heavy).withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+
+
+def repeated(df: DataFrame, heavy: DataFrame) -> DataFrame:
     """The other side of `salted`: rows of a heavy key once per salt, others once."""
-    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return df.join(hot, heavy.columns, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    return _with_salts(df, heavy).withColumn("_salt", F.explode(every)).drop("_salts")
 
 
 def lookup_join(
@@ -43,21 +46,16 @@ def lookup_join(
     spread_by: list[str],
     how: str = "left",
     heavy: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large, possibly skewed `left` to a `right` with few rows per key.
 
-    Rows of a heavy key are spread over `salts` sub-keys by a hash of `spread_by`, and
+    Rows of a heavy key are spread over sub-keys by a hash of `spread_by`, and
     only the right rows of those keys are repeated.  `how` is inner, left, left_semi or
     left_anti: each left row meets each right row of its key exactly once.
     """
     if heavy is None:
         heavy = heavy_keys(left, keys)
-    return (
-        salted(left, heavy, spread_by, salts)
-        .join(repeated(right, heavy, salts), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    return salted(left, heavy, spread_by).join(repeated(right, heavy), [*keys, "_salt"], how).drop("_salt")
 
 
 def top_k_per_key(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:

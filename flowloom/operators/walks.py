@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import hashing
 from flowloom.operators import subgraph
-from flowloom.operators.skew import heavy_keys, lookup_join, repeated, salted
+from flowloom.operators.skew import HEAVY_SHARE, lookup_join, repeated, salted
 from flowloom.session import checkpoint_layout, cut_lineage
 from flowloom.sources.flows import ROW_NUMBER, with_order_row_number
 
@@ -39,18 +39,26 @@ class WalkGraph:
     """Adjacency ready for walking; build it once with `prepare_graph` and reuse it."""
 
     pieces: DataFrame  # cur, chunk, nbrs, total, _salt
-    heavy: DataFrame  # vertices that receive a large share of all edges
+    heavy: DataFrame  # cur, _salts: vertices at which a large share of the walks may arrive
     hubs: DataFrame | None  # cur, chunks, heaviest
     pairs: DataFrame | None  # prev, dst: the edge set, for second-order walks
 
 
+def _busy_vertices(weighted: DataFrame) -> DataFrame:
+    """Vertices with a large share of all edges or of all weight, with the tasks to spread them over."""
+    ends = weighted.groupBy(F.col("dst").alias("cur")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    shares = [F.col(c) / ends.agg(F.sum(c)).scalar() for c in ("n", "w")]
+    busy = ends.select("cur", F.greatest(*shares).alias("share")).filter(F.col("share") > HEAVY_SHARE)
+    return busy.select("cur", F.ceil(F.col("share") / HEAVY_SHARE).cast("int").alias("_salts"))
+
+
 def prepare_graph(weighted: DataFrame, second_order: bool = False, chunk_rows: int = CHUNK_ROWS) -> WalkGraph:
     """Write the adjacency, laid out by join key, to the checkpoint folder.
 
     Later steps shuffle only the walks: the checkpoint keeps the partitioning.  Runs the
     jobs that write it and one count.
     """
-    heavy = cut_lineage(heavy_keys(weighted.select(F.col("dst").alias("cur")), ["cur"]))
+    heavy = cut_lineage(_busy_vertices(weighted))
     partitions = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = checkpoint_layout(
         repeated(subgraph.adjacency(weighted, chunk_rows), heavy).repartition(partitions, "cur", "chunk", "_salt")
@@ -130,7 +138,7 @@ def _propose(state: DataFrame, graph: WalkGraph, seed: int, step: int, chunk_row
     else:
         chunk = F.floor(_draw(seed, step, "chunk") * F.col("chunks")).cast("bigint")
         placed = (
-            state.join(graph.hubs, "cur", "left")
+            lookup_join(state, graph.hubs, ["cur"], [*WALK, "try"], heavy=graph.heavy)
             .withColumn("chunk", F.coalesce(chunk, F.lit(0).cast("bigint")))
             .drop("chunks")
         )

@@ -18,7 +18,9 @@ def test_lookup_join_with_one_heavy_key(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(3000)] + [("none", 9000 + i) for i in range(5)]
     left = spark.createDataFrame(rows, "k string, n long")
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v long")
-    assert "hot" in {r.k for r in skew.heavy_keys(left, ["k"], 0.2).collect()}
+    assert {r.k: r._salts for r in skew.heavy_keys(left, ["k"], 0.2).collect()} == {"hot": 2}
+    # With a bound of rows per task the number of salts follows the rows of the key.
+    assert {r.k: r._salts for r in skew.heavy_keys(left, ["k"], 0.2, 90).collect()} == {"hot": 12}
     for how in ("left", "inner", "left_semi", "left_anti"):
         got = skew.lookup_join(left, right, ["k"], ["n"], how).collect()
         want = left.join(right, "k", how).collect()
