@@ -63,6 +63,11 @@ def byte_list(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def release() -> None:
+    """Gives free Arrow memory back at the end of a task, as its worker serves later stages too."""
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes; a longer text is alone."""
     low = size = 0

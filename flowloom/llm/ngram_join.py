@@ -105,6 +105,7 @@ def packed_shingles(docs: DataFrame, bits: int, k: int = 5) -> DataFrame:
                             rows["at"].append(place.astype(np.uint16).tobytes())
                             rows["hashes"].append(_six((h[x:y] << np.uint64(bits)) >> np.uint64(16)))
                     yield pa.RecordBatch.from_pydict(rows, schema=_PACKED)
+        arrays.release()
 
     return docs.select("text").mapInArrow(run, "bucket int, classes binary, sizes binary, at binary, hashes binary")
 

@@ -82,6 +82,8 @@ def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.3, beta: float =
         w = weights(used)
         used, w = used[w != 0], w[w != 0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
+        rows.clear()
+        arrays.release()
 
     sample = map_batches(rows, featurise, "doc_id long, toxic int, x binary")
     ordered = sample.repartition(1).sortWithinPartitions(hash31(F.col("doc_id")), "doc_id", "toxic", F.crc32("x"))
