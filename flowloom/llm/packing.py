@@ -34,7 +34,7 @@ LENGTH = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
 MERGED_PARTITIONS = 64
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 WORDS_AT_ONCE = 1000
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 # The letter that stands for each byte in the vocabulary: printable ones for themselves, the
@@ -195,8 +195,6 @@ def _pieces(docs: DataFrame, path: str, length: int, most: int) -> DataFrame:
             yield batch_of(out, False)
         if waiting:
             yield batch_of([row for rows in waiting.values() for row in rows], True)
-        # The worker lives on: it keeps the newer half of the cache only.
-        ids.old = {}
         arrays.release()
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long, part long, open boolean"
