@@ -1,11 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as a set of words.  It is a match if it holds at least the
-threshold share of a template's distinct words.  Words are ordered by their frequency over
-all lines of the corpus, rarest first.  A match must hold a word of the template's prefix
-(with m distinct words and c wanted, the m - c + 1 rarest); lines too short for c words
-fall to the length filter; and the first prefix word that a line holds bounds what can still
-be found (positional filter).  What is left is counted exactly.
+A block is a run of consecutive words of a text, twice as long as the longest template,
+wherever the lines break.  It is a match if it holds at least the threshold share of a
+template's distinct words.  Every place in a text starts a block; those that start at a word of
+the template give the highest shares, so only they are counted.  Words are ordered by their
+frequency over all lines of the corpus, rarest first.  The rarest word of a block bounds what
+can still be found (positional filter), so a match must hold a word of the template's prefix
+(with m distinct words and c wanted, the m - c + 1 rarest), and only what is near such a word is
+looked at; blocks with fewer than c words of the template fall to the length filter.  What is left
+is counted exactly.  Blocks that overlap are one match, with the highest share.
 
 The templates are a fixed list, so they go to every task; texts are never shuffled.
 
@@ -71,6 +74,46 @@ def _lines(w: arrays.Words) -> np.ndarray:
     return breaks[w.start] + w.doc if len(w.start) else np.zeros(0, np.int64)
 
 
+def block_words(templates: list[tuple[str, str]]) -> int:
+    """Words of a block: room for the longest template and as many words between its own."""
+    return 2 * max((len(text.split()) for _, text in templates), default=0)
+
+
+def occurrences(place: np.ndarray, rank: np.ndarray, size: int, enough: int, block: int) -> list[tuple[int, int]]:
+    """(index of the first word, distinct words) of each match of one template.
+
+    `place` and `rank` of each word of the template that a text holds, ascending by place;
+    texts lie at least a block apart.
+    """
+    rare = place[rank <= size - enough]
+    near = np.flatnonzero(np.searchsorted(rare, place + block) > np.searchsorted(rare, place - block, "right"))
+    place, rank = place[near], rank[near]
+    n = np.arange(len(place))
+    end = np.searchsorted(place, place + block)
+    if not (end - n >= enough).any():  # length filter
+        return []
+    # A word counts for the blocks that start after the same word before it.
+    order = np.lexsort((place, rank))
+    before = np.full(len(place), -1, np.int64)
+    again = np.flatnonzero(rank[order][1:] == rank[order][:-1])
+    before[order[again + 1]] = order[again]
+    first = np.maximum(before + 1, np.searchsorted(place, place - block, "right"))
+    count = np.cumsum(np.bincount(first, minlength=len(place) + 1) - np.bincount(n + 1, minlength=len(place) + 1))[:-1]
+    found = []
+    reach = np.flatnonzero(count >= enough)
+    at = 0
+    while at < len(reach):
+        overlap = reach[at : np.searchsorted(reach, end[reach[at]])]
+        best = overlap[np.argmax(count[overlap])]
+        # From where the block has all its words on back to the last place that still has them.
+        words, ends = np.unique(rank[best : end[best]], return_index=True)
+        last = best + ends.max()
+        start = last - np.unique(rank[best : last + 1][::-1], return_index=True)[1].max()
+        found.append((int(near[start]), len(words)))
+        at = int(np.searchsorted(reach, last, "right"))
+    return found
+
+
 class Vocabulary:
     """Places of words in a fixed list, for arrays of word hashes."""
 
@@ -111,31 +154,33 @@ def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
     """All given columns but the text, with n_words, n_base, first_word, last_word, base_labels,
-    labels, score and matches (label, line, containment) of each text."""
+    labels, score and matches (label, line, containment) of each text; the line is the one that a match starts on."""
     words = vocabulary(templates)
     frequency = word_frequencies(docs, words)
     order = sorted(words, key=lambda w: (frequency[w], w))
     place = {w: i for i, w in enumerate(order)}
     sets = [(label, np.array(sorted(place[w] for w in set(text.split())))) for label, text in templates]
     enough = [wanted(len(s), threshold) for _, s in sets]
+    block = block_words(templates)
     keep = [c for c in docs.columns if c not in ("text", *_RESULT.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(order)
         first_words = Vocabulary(sorted({p.split()[0] for p in phrases}))
         phrase_hashes = [(arrays.words([p.encode()]).hash, label) for p, label in phrases.items()]
-        in_prefix = np.zeros(len(order), bool)
-        for (_, s), c in zip(sets, enough):
-            in_prefix[s[: len(s) - c + 1]] = True
+        # Rank of every word in each template, rarest first; outside it -1.
+        ranks = np.full((len(sets), len(order)), -1)
+        for (_, s), row in zip(sets, ranks):
+            row[s] = np.arange(len(s))
         for batch in batches:
             texts = arrays.byte_list(batch["text"])
             rows: list[tuple] = []
             for low, high in arrays.pieces(texts):
-                rows += judge(texts[low:high], known, first_words, phrase_hashes, in_prefix)
+                rows += judge(texts[low:high], known, first_words, phrase_hashes, ranks)
             result = [pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *result], [*keep, *_RESULT.names])
 
-    def judge(texts, known, first_words, phrase_hashes, in_prefix) -> list[tuple]:
+    def judge(texts, known, first_words, phrase_hashes, ranks) -> list[tuple]:
         w = arrays.words(texts, arrays.NOT_ALPHANUMERIC)
         n = len(texts)
         hits: list[list[tuple[int, str]]] = [[] for _ in range(n)]
@@ -149,24 +194,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                 hits[w.doc[i]].append((int(i - w.first[w.doc[i]]), label))
         line = _lines(w)
         at, word = known.find(w.hash)
-        pairs = np.unique(line[at] * len(order) + word)
-        of, word = pairs // len(order), pairs % len(order)
+        place = at + w.doc[at] * block
         matches: list[list[tuple[str, int, float]]] = [[] for _ in range(n)]
-        for candidate in np.unique(of[in_prefix[word]]):
-            a, b = np.searchsorted(of, [candidate, candidate + 1])
-            have = word[a:b]  # ascending: rarest first
-            for (label, s), c in zip(sets, enough):
-                if len(have) < c:  # length filter
-                    continue
-                here = np.searchsorted(s, have)
-                here = here[(here < len(s)) & (s[np.minimum(here, len(s) - 1)] == have)]
-                # positional filter: the first shared word and what follows it
-                if not len(here) or len(s) - here[0] < c:
-                    continue
-                if len(here) >= c:
-                    first = int(np.searchsorted(line, candidate))
-                    doc = int(w.doc[first])
-                    matches[doc].append((label, int(candidate - line[w.first[doc]]), len(here) / len(s)))
+        for (label, s), c, rank in zip(sets, enough, ranks):
+            own = rank[word]
+            if not ((own >= 0) & (own <= len(s) - c)).any():  # prefix filter
+                continue
+            here = np.flatnonzero(own >= 0)
+            for i, count in occurrences(place[here], own[here], len(s), c, block):
+                first = at[here[i]]
+                doc = int(w.doc[first])
+                matches[doc].append((label, int(line[first] - line[w.first[doc]]), count / len(s)))
         out = []
         for d in range(n):
             at_words = [p for p, _ in hits[d]]

@@ -318,6 +318,44 @@ def test_license_scan(spark, texts, edge, empty):
     assert license_scan.scan(edge).count() == 11 and license_scan.scan(empty).count() == 0
 
 
+WRAPPED = {
+    "apache": "# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES",
+    "gpl": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by",
+    "lgpl": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are\n// met:",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */",
+}
+
+
+def test_license_wrapped(spark):
+    rows = [(label, text) for label, text in WRAPPED.items()]
+    rows += [(f"{label} one line", re.sub(r"\s+", " ", text)) for label, text in WRAPPED.items()]
+    rows += [("narrow", "\n".join(WRAPPED["lgpl"].split())), ("cut", WRAPPED["bsd"][:60])]
+    rows += [("twice", "a b\n\n" + WRAPPED["mpl"] + "\n" + WRAPPED["mpl"])]
+    got = {r["name"]: r for r in license_scan.scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+    for label in WRAPPED:
+        for name in (label, f"{label} one line"):
+            assert label in got[name]["labels"].split(",") and got[name]["score"] == 1.0
+    assert got["narrow"]["score"] == 1.0 and "lgpl" in got["narrow"]["labels"]
+    assert (got["cut"]["labels"], got["cut"]["score"]) == ("", 0.0)
+    assert [m[:2] for m in got["twice"]["matches"]] == [("mpl", 2), ("mpl", 4)]
+
+
+def test_license_blocks(spark):
+    rng = np.random.default_rng(8)
+    templates = [("a", "the red fox ran to the old barn"), ("b", "one of the cats"), ("c", "fox and cats ran of barn old")]
+    pool = sorted({w for _, t in templates for w in t.split()} | set("xyz"))
+    texts = ["".join(str(w) + " \n"[rng.integers(2)] for w in rng.choice(pool, rng.integers(0, 60))) for _ in range(300)]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), templates, {}, 0.8).collect()
+    block = license_scan.block_words(templates)
+    for r in got:
+        w = texts[r["i"]].split()
+        best = {label: max(len(set(t.split()) & set(w[j : j + block])) / len(set(t.split())) for j in range(len(w) + 1)) for label, t in templates}
+        best = {label: share for label, share in best.items() if share >= 0.8}
+        assert r["labels"] == ",".join(sorted(best)) and r["score"] == max(best.values(), default=0.0)
+
+
 def test_packing(spark, texts, edge, empty):
     from tokenizers import Tokenizer
 
