@@ -3,8 +3,9 @@
 Every url is a node.  Edges tie it to its normal form (no scheme, query, fragment, trailing
 slash, `.html` or `index.html`; host in lower case), to the canonical link of its page and to the
 target of a refresh redirect.  Connected components over these edges are the aliases of one
-page.  The longest rule that fits a url decides it; other urls are blocked if an
-alias is blocked by a rule and no alias is allowed by one (an explicit allow wins).
+page.  Link targets are aliases whether they are rows of the table or not, and may be relative to the
+scheme, the host or the path of their page.  The longest rule that fits a url decides it; other urls
+are blocked if an alias is blocked by a rule and no alias is allowed by one (an explicit allow wins).
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no
 rule, has no alias and is allowed.  Null html has no links.  Repeated pages are judged one by one
@@ -65,41 +66,65 @@ def with_rule(df: DataFrame, host: str, path: str, rules: list[tuple[str, str, s
     return df.withColumns({"rule": rule, "by_rule": verdict})
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a url's hash and that of an equivalent one, for urls with a host."""
-    canonical = F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), LINK_TARGET, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_TARGET, 1)
-
-    def absolute(link: Column) -> Column:
-        # Targets may be relative to the scheme or to the host.
-        return (
-            F.when(link.contains("://"), link)
-            .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-            .when(link.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), link))
-        )
-
-    targets = F.array_compact(F.array(normal_form(absolute(canonical)), normal_form(absolute(refresh))))
+def resolve(link: Column, url: Column) -> Column:
+    """`link` in the page `url` without query and fragment as RFC 3986 resolves it; null if it leads to no page."""
+    own_scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    scheme = F.when(own_scheme.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*$"), own_scheme).otherwise(F.lit("http"))
+    origin = F.concat(scheme, F.lit("://"), host_of(url))
+    bare = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    # Up to the last slash of the page's path.
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/?(.*/)?[^/]*$", 1))
+    path = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    parts = F.split(path, "/")
+    # Dot segments: "." is dropped, ".." drops the segment before; the first part is what is before the first slash.
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    # A dot segment at the end leaves a folder.
+    end = F.when(path.rlike(r"(^|/)\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    tidy = F.concat(F.lit("/"), F.array_join(kept, "/"), end)
     return (
-        pages.where(host_of(F.col("url")) != "")
-        .select(normal_form(F.col("url")).alias("own"), F.explode(targets).alias("to"))
-        .select(F.xxhash64("own").alias("a"), F.xxhash64("to").alias("b"))
-        .where("a <> b")
-        .distinct()
+        F.when(link.rlike(r"^[^/?#]*://"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        # Other schemes (mailto:, javascript:) are no pages.
+        .when((link == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(bare == "", F.concat(origin, path_of(url)))
+        .otherwise(F.concat(origin, tidy))
     )
 
 
+def alias_links(pages: DataFrame) -> DataFrame:
+    """(own, host, path, form): a url's normal form, and host, path and normal form of an equivalent one, for
+    urls with a host."""
+    canonical = F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), LINK_TARGET, 1)
+    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_TARGET, 1)
+    targets = F.array_distinct(F.filter(F.array(canonical, refresh), lambda link: link != ""))
+    linked = pages.where(host_of(F.col("url")) != "").select("url", F.explode(targets).alias("link"))
+    linked = linked.select(normal_form(F.col("url")).alias("own"), resolve(F.col("link"), F.col("url")).alias("to"))
+    ends = linked.select("own", host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path"), normal_form(F.col("to")).alias("form"))
+    return ends.where(F.col("form").isNotNull()).distinct()
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, alias_group) of every page.
 
     Urls of one normal form are one node from the start, so edges are only the links between normal forms.
+    A link's target is ruled like a page, so it counts for its group without being one.
     """
     known = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(normal_form(F.col("url"))).alias("form"))
     ruled = with_rule(known, "host", "path", rules).withColumn("form", F.when(F.col("host") != "", F.col("form")))
-    roots = components(alias_edges(pages), "a", "b")
+    links = cut_lineage(alias_links(pages))
+    edges = links.select(F.xxhash64("own").alias("a"), F.xxhash64("form").alias("b")).where("a <> b").distinct()
+    roots = components(edges, "a", "b")
     # One row per normal form: how its urls were ruled.  Aggregated before the shuffle.
     blocked = F.max(F.when(F.col("by_rule") == "block", 1).otherwise(0))
     allowed = F.max(F.when(F.col("by_rule") == "allow", 1).otherwise(0))
-    forms = ruled.where(F.col("form").isNotNull()).groupBy("form").agg(blocked.alias("blocked"), allowed.alias("allowed"))
+    targets = with_rule(links.select("host", "path", F.xxhash64("form").alias("form")), "host", "path", rules)
+    nodes = ruled.where(F.col("form").isNotNull()).select("form", "by_rule").union(targets.select("form", "by_rule"))
+    forms = nodes.groupBy("form").agg(blocked.alias("blocked"), allowed.alias("allowed"))
     forms = forms.join(roots, F.col("form") == F.col("node"), "left").select("form", "blocked", "allowed", F.coalesce("root", "form").alias("group"))
     forms = cut_lineage(forms)
     groups = forms.groupBy("group").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))

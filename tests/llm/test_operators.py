@@ -120,6 +120,29 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_targets(spark):
+    """Targets that are no pages, and relative ones."""
+    rows = [
+        (1, "http://d.net/q", "<link rel=canonical href='http://b.net/es/9'>"),  # blocked target, not crawled
+        (2, "http://f.net/q", "<link rel=canonical href=http://www.g.com/x>"),  # allowed target, not crawled
+        (3, "http://b.net/es/7", '<meta http-equiv=refresh content="0; url=http://f.net/q">'),
+        (4, "http://f.net/q/", None),
+        (5, "http://h.net/a/b/start.html", '<meta http-equiv="refresh" content="0; url=next.html">'),
+        (6, "http://h.net/a/b/next", '<link rel="canonical" href="../../es/./1?x">'),
+        (7, "http://h.net/p", '<link rel="canonical" href="es/2#top">'),
+        (8, "http://h.net", '<link rel="canonical" href="fr/">'),
+        (9, "http://h.net/r", "<link rel=canonical href=mailto:x@b.net/es/1>"),
+        (10, "http://h.net/s/t", '<link rel=canonical href="?u=http://b.net/es/1">'),
+        (11, "http://h.net/v", '<link rel=canonical href="//b.net/es/3">'),
+        (12, "http://h.net/w/", '<link rel=canonical href="../fr/../es/y/..">'),
+        (13, "http://h.net/z/", '<link rel=canonical href="../../../../es/1">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filter.judge(pages).collect()}
+    blocked = {1, 5, 6, 7, 8, 11, 12, 13}
+    assert got == {i: ("block", "net/es/") if i == 3 else ("block" if i in blocked else "allow", None) for i in range(1, 14)}
+
+
 def test_url_rules(spark):
     urls = ["http://x.www.example.com/en/a", "http://example.com/en/", "http://notexample.com/en/", "http://a.net/es/?q", "http://a.net/es", "x://A.NET#/fr/", "http://net/fr/1"]
     got = {r["url"]: r["rule"] for r in url_filter.with_rule(spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.host_of("url").alias("h"), url_filter.path_of("url").alias("p")), "h", "p").collect()}
