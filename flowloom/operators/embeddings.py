@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import hashing, vectors
 from flowloom.operators.skew import heavy_keys, histogram_positions, lookup_join, top_k_per_key
+from flowloom.session import cut_lineage, shared_folder
 
 # MLlib keeps the whole vector table on the driver while it learns.  Above this many
 # numbers (2 GB) use `skipgram.train_skipgram`, which has no such limit.
 MAX_MODEL_NUMBERS = 500_000_000
-# Query vectors sent to every task: at most this many numbers (32 MB).
+# Numbers of a block of vectors, of which a task has two (32 MB each).
 MAX_QUERY_NUMBERS = 4_000_000
+# Blocks that meet the whole table at once: the table is shuffled once for each of them.
+STEP_BLOCKS = 16
 
 
 class ModelTooLarge(ValueError):
@@ -100,55 +104,69 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def nearest(queries: DataFrame, table: DataFrame, key: str, k: int = 5, digits: int = 6) -> DataFrame:
+def nearest(
+    queries: DataFrame, table: DataFrame, key: str, k: int = 5, digits: int = 6, block_numbers: int = MAX_QUERY_NUMBERS
+) -> DataFrame:
     """`query`, `neighbour`, `similarity`, `rank`: the k most similar rows of each query by cosine.
 
-    Queries go to the table in blocks of a checked size, however many there are; the table
-    stays where it is.  Each batch of the table keeps its own k best per query, so k rows per
-    query and batch are shuffled, not all pairs.  Ties go to the smaller key; a row is no
+    Both sides are cut into hashed blocks of bounded size; each pair of blocks is one group and gives its k
+    best per query, so pairs are never rows and no vector passes the driver.  Some query blocks at a
+    time meet the table, and their neighbours are written.  Ties go to the smaller key; a row is no
     neighbour of itself.
     """
-    slim = table.select(F.col(key).cast("string").alias("n"), "emb")
-    candidates = None
-    for picked in _blocks(queries.select(F.col(key).cast("string").alias("q"), "emb")):
-        found = _best_per_batch(picked, slim, k, digits)
-        candidates = found if candidates is None else candidates.unionByName(found)
+    left, n_query = _blocked(queries, key, block_numbers)
+    right, n_table = _blocked(table, key, block_numbers)
     order = [F.desc("similarity"), F.col("neighbour")]
-    best = top_k_per_key(candidates, "query", order, k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
-
-
-def _blocks(vectors_: DataFrame) -> Iterator[pd.DataFrame]:
-    """The rows (q, emb) in blocks of about MAX_QUERY_NUMBERS numbers, one at a time, by a hash of q."""
-    size = vectors_.agg(F.coalesce(F.sum(F.size("emb")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // MAX_QUERY_NUMBERS))
-    for block in range(blocks):
-        mine = vectors_.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else vectors_
-        yield mine.toPandas().sort_values("q", ignore_index=True)
-
-
-def _best_per_batch(picked: pd.DataFrame, slim: DataFrame, k: int, digits: int) -> DataFrame:
-    names = picked["q"].to_numpy(dtype=object)
-    unit = _unit(_matrix(picked["emb"], len(picked["emb"].iloc[0]) if len(picked) else 0))
-    shared = slim.sparkSession.sparkContext.broadcast((names, unit))
-
-    def best_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, unit = shared.value
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            ids = batch["n"].to_numpy(dtype=object)
-            score = np.round(unit @ _unit(_matrix(batch["emb"], unit.shape[1])).T, digits) + 0.0
-            score[names[:, None] == ids[None, :]] = -np.inf
-            by_name = np.argsort(ids, kind="stable")
-            order = by_name[np.argsort(-score[:, by_name], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(names)), order.shape[1])
-            out = pd.DataFrame(
-                {"query": names[rows], "neighbour": ids[order.ravel()], "similarity": score[rows, order.ravel()]}
-            )
-            yield out[np.isfinite(out["similarity"])]
-
-    return slim.mapInPandas(best_of_batch, "query string, neighbour string, similarity double")
+
+    def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query": [], "neighbour": [], "similarity": []})]
+        if len(q) and len(t):
+            t = t.sort_values("q", kind="stable", ignore_index=True)
+            names, ids = q["q"].to_numpy(dtype=object), t["q"].to_numpy(dtype=object)
+            a, b = _unit(_matrix(q["emb"], 0)), _unit(_matrix(t["emb"], 0))
+            rows = max(1, MAX_SCORES // len(t))
+            for first in range(0, len(a), rows):
+                mine = names[first : first + rows]
+                score = np.round(a[first : first + rows] @ b.T, digits) + 0.0
+                score[mine[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                line = np.repeat(np.arange(len(mine)), top.shape[1])
+                out = pd.DataFrame({"query": mine[line], "neighbour": ids[top.ravel()], "similarity": score[line, top.ravel()]})
+                parts.append(out[np.isfinite(out["similarity"])])
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+
+    def step(low: int, high: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_table - 1)))
+        mine = left.filter(F.col("block").between(low, high)).select("q", "emb", F.col("block").alias("qb"), every.alias("tb"))
+        met = right.select("q", "emb", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("qb"), F.col("block").alias("tb"))
+        found = mine.groupBy("qb", "tb").cogroup(met.groupBy("qb", "tb")).applyInPandas(best, "query string, neighbour string, similarity double")
+        return top_k_per_key(found, "query", order, k)
+
+    found = _in_steps(n_query, step)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+
+
+# Scores that a task has at once (32 MB).
+MAX_SCORES = 4_000_000
+
+
+def _blocked(table: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame, int]:
+    """(q, emb, block) of every row, stored, and the number of blocks, by a hash of the key."""
+    rows = table.select(F.col(key).cast("string").alias("q"), "emb")
+    rows = cut_lineage(rows)
+    size = rows.agg(F.coalesce(F.sum(F.size("emb")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // block_numbers))
+    return rows.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), blocks
+
+
+def _in_steps(blocks: int, step: Callable[[int, int], DataFrame]) -> DataFrame:
+    """What `step(first block, last block)` gives for all blocks, written step by step into one table."""
+    for low in range(0, blocks, STEP_BLOCKS):
+        found = step(low, min(low + STEP_BLOCKS, blocks) - 1)
+        if not low:
+            path = f"{shared_folder(found.sparkSession)}/flowloom/{uuid.uuid4().hex}"
+        found.write.mode("append").parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def sample_rows(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -171,43 +189,41 @@ def pca_variance(
     return table.sparkSession.createDataFrame(values, "component int, ratio double")
 
 
-def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6) -> DataFrame:
+def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6, block_numbers: int = MAX_QUERY_NUMBERS) -> DataFrame:
     """Median and mean cosine over all pairs of the table, and the pair count.
 
-    Blocks of a checked size go to every task; a task turns its rows into counts of rounded
-    cosines against the block's rows with a larger key, so pairs are never rows.  The work is
+    Blocks of a checked size meet in Spark, each pair of blocks once; a task turns them into counts
+    of rounded cosines, so pairs are never rows and no vector passes the driver.  The work is
     that of all pairs: give a sample (`sample_rows`) where that is too much.
     """
-    slim = table.select(F.col(key).cast("string").alias("q"), "emb")
-    counts = None
-    for block in _blocks(slim):
-        found = _cosine_counts(block, slim, digits)
-        counts = found if counts is None else counts.unionByName(found)
-    counts = counts.groupBy("cosine").agg(F.sum("pairs").alias("n"))
+    rows, blocks = _blocked(table, key, block_numbers)
+
+    def count_values(pair: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"cosine": np.zeros(0), "pairs": np.zeros(0, np.int64)})]
+        if len(q) and len(t):
+            names, ids = q["q"].to_numpy(dtype=object), t["q"].to_numpy(dtype=object)
+            a, b = _unit(_matrix(q["emb"], 0)), _unit(_matrix(t["emb"], 0))
+            lines = max(1, MAX_SCORES // len(t))
+            for first in range(0, len(a), lines):
+                score = np.round(a[first : first + lines] @ b.T, digits) + 0.0
+                # Within a block each pair once; rows of different blocks have different keys.
+                wanted = score[ids[None, :] > names[first : first + lines, None]] if pair[0] == pair[1] else score
+                values, counts = np.unique(wanted, return_counts=True)
+                parts.append(pd.DataFrame({"cosine": values, "pairs": counts}))
+        return pd.concat(parts[1:] or parts).groupby("cosine", as_index=False)["pairs"].sum()
+
+    def step(low: int, high: int) -> DataFrame:
+        mine = rows.filter(F.col("block").between(low, high))
+        mine = mine.select("q", "emb", F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("b"))
+        met = rows.filter(F.col("block") >= low)
+        met = met.select("q", "emb", F.explode(F.sequence(F.lit(low), F.least("block", F.lit(high)))).alias("a"), F.col("block").alias("b"))
+        found = mine.groupBy("a", "b").cogroup(met.groupBy("a", "b")).applyInPandas(count_values, "cosine double, pairs long")
+        return found.groupBy("cosine").agg(F.sum("pairs").alias("pairs"))
+
+    counts = _in_steps(blocks, step).groupBy("cosine").agg(F.sum("pairs").alias("n"))
     return _weighted_median(counts, "cosine", "cosine").withColumnRenamed("total", "pairs")
 
 
-def _cosine_counts(block: pd.DataFrame, slim: DataFrame, digits: int) -> DataFrame:
-    names = block["q"].to_numpy(dtype=object)
-    unit = _unit(_matrix(block["emb"], len(block["emb"].iloc[0]) if len(block) else 0))
-    shared = slim.sparkSession.sparkContext.broadcast((names, unit))
-
-    def count_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, unit = shared.value
-        for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            # A few rows at a time: the score block stays small.
-            for first in range(0, len(batch), 256):
-                part = batch.iloc[first : first + 256]
-                score = np.round(_unit(_matrix(part["emb"], unit.shape[1])) @ unit.T, digits) + 0.0
-                later = names[None, :] > part["q"].to_numpy(dtype=object)[:, None]
-                values, counts = np.unique(score[later], return_counts=True)
-                yield pd.DataFrame({"cosine": values, "pairs": counts})
-
-    return slim.mapInPandas(count_values, "cosine double, pairs long")
-
-
 def _weighted_median(counts: DataFrame, value: str, name: str) -> DataFrame:
     """`<name>_median`, `<name>_mean`, `total` of a histogram (value, n)."""
     running = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
