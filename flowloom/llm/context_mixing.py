@@ -1,24 +1,25 @@
 """Language-model scores by online logistic context mixing.
 
-A token is coded in two parts.  First its group, as a path of binary decisions in a Huffman
-tree over about a thousand groups: each frequent token is a group, other tokens are grouped by
-a hash of their last bytes.  Then the token within its group, by its share of the group's
-count.  Every decision is predicted by several context predictors at the same node:
+A token is coded in three parts.  First its group, as a path of binary decisions in a Huffman
+tree over several hundred groups: each frequent token is a group, other tokens are grouped by
+a hash of their last bytes.  Then, within a hashed group, the low bits of the token's hash, one by
+one.  Last, where several tokens of a group agree in these bits, the token by its share of their count.
+Every decision is predicted by several context predictors at the same node:
 
 * the node alone, from the corpus;
-* the group before, hashed into a fixed table of counts of the corpus;
-* the two groups before, hashed likewise;
-* the node in this segment so far, adapting after every decision.
+* what is before (groups for the group; words for the bits), hashed into a fixed table of counts of the corpus;
+* the two groups or words before, hashed likewise;
+* the node in this text so far, adapting after every decision.
 
 Their logits are combined by weights, one set per depth of the tree (the gate), and the weights are
 refined after every decision by the gradient of the coding cost.  Weights and the adapting
-predictor restart every SEGMENT tokens, so that segments of all texts run side by side; contexts
-reach across.  Bits over bytes of a text is `bits_per_byte`.
+predictor go through a whole text; many texts run side by side, and when few are left, each
+runs alone.  Bits over bytes of a text is `bits_per_byte`.
 
 What is gathered from the corpus grows with it: each task sends the distinct tokens of its
 blocks, packed, to buckets by hash; a bucket sums the counts and hands back to each block
 the counts of its tokens.  No task or driver holds the vocabulary.  The group tables are of fixed size:
-at most 1 / FREQUENT frequent tokens, GROUPS hashed groups, 2^SLOT_BITS slots.
+at most 1 / FREQUENT frequent tokens, GROUPS hashed groups, 2^SLOT_BITS and 2^REST_SLOT_BITS slots.
 
 Defined results: a null text is empty and has one token, the end.  Null ids count as empty
 text in the split.  Repeated rows get equal scores.  Other columns play no part.  An
@@ -46,9 +47,11 @@ from flowloom.llm.common import remainder, table
 from flowloom.session import cut_lineage
 
 FREQUENT = 1 / 1024  # a token of at least this share of the training tokens is a group
-GROUPS = 256
+GROUPS = 512
 SLOT_BITS = 19
-SEGMENT = 256
+REST_SLOT_BITS = 21
+REST_CELL_BITS = 10  # cells of the adapting predictor of the hash bits, for each text
+NARROW = 12  # texts that are left run alone
 LANES = 4096
 SMOOTHING = 0.1
 RATE = 0.02
@@ -122,7 +125,7 @@ def _block_tokens(texts: DataFrame, buckets: int) -> DataFrame:
             hashes, first, inverse = np.unique(b.hash, return_index=True, return_inverse=True)
             counts = np.bincount(inverse, train, len(hashes)).astype("<i4")
             suffix = b.suffix[first].astype("<i2")
-            to = (hashes % np.uint64(buckets)).astype(np.int64)
+            to = (hashes & np.uint64(buckets - 1)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             used, cut = np.unique(to[order], return_index=True)
             parts = np.split(order, cut[1:])
@@ -149,8 +152,17 @@ def _block_tokens(texts: DataFrame, buckets: int) -> DataFrame:
 _TOKENS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
 
 
-def _summed(tokens: DataFrame) -> DataFrame:
-    """Per bucket the summed counts for each block (kind 0) and, once, all tokens of the bucket (kind 1)."""
+def _leaf(suffix: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What the tokens of a hashed group with equal low bits share."""
+    return (suffix.astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64((1 << bits) - 1))
+
+
+def _summed(tokens: DataFrame, bits: int) -> DataFrame:
+    """Per bucket the summed counts for each block (kind 0) and, once, all tokens of the bucket (kind 1).
+
+    A bucket is given by low bits of the hash, so it has all tokens that share a leaf: `others` is the count
+    of the other tokens of each token's leaf and `types` the number of its tokens.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
@@ -159,12 +171,15 @@ def _summed(tokens: DataFrame) -> DataFrame:
         hashes, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         total = np.bincount(inverse, counts).astype("<i8")
         cut = np.cumsum([len(p) for p in parts])[:-1]
-        out = [(0, int(b), p.tobytes(), total[i].tobytes()) for b, p, i in zip(rows["block"], parts, np.split(inverse, cut))]
+        _, of = np.unique(_leaf(suffix[first], hashes, bits), return_inverse=True)
+        others = (np.bincount(of, total)[of] - total).astype("<i8")
+        types = np.bincount(of, total > 0)[of].astype("<i4")
+        out = [(0, int(b), p.tobytes(), total[i].tobytes(), others[i].tobytes(), types[i].tobytes()) for b, p, i in zip(rows["block"], parts, np.split(inverse, cut))]
         known = total > 0
-        out.append((1, 0, np.stack([hashes[known], suffix[first][known].astype(np.uint64)]).tobytes(), total[known].tobytes()))
-        return pd.DataFrame(out, columns=["kind", "block", "hashes", "counts"])
+        out.append((1, 0, np.stack([hashes[known], suffix[first][known].astype(np.uint64)]).tobytes(), total[known].tobytes(), b"", b""))
+        return pd.DataFrame(out, columns=["kind", "block", "hashes", "counts", "others", "types"])
 
-    return tokens.groupBy("bucket").applyInPandas(run, "kind int, block long, hashes binary, counts binary")
+    return tokens.groupBy("bucket").applyInPandas(run, "kind int, block long, hashes binary, counts binary, others binary, types binary")
 
 
 def _group_statistics(summed: DataFrame) -> dict:
@@ -191,12 +206,12 @@ def _group_statistics(summed: DataFrame) -> dict:
                 total, types = np.bincount(g, counts[~often], GROUPS), np.bincount(g, minlength=GROUPS)
                 keys = [*np.arange(GROUPS), *hashes[often].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([False] * GROUPS + [True] * int(often.sum())), pa.array(keys, pa.int64()), pa.array([*total.astype(np.int64), *counts[often]], pa.int64()), pa.array([*types, *[1] * int(often.sum())], pa.int64())],
-                    ["frequent", "key", "n", "types"],
+                    [pa.array([False] * GROUPS + [True] * int(often.sum())), pa.array(keys, pa.int64()), pa.array([*total.astype(np.int64), *counts[often]], pa.int64()), pa.array([*types, *[1] * int(often.sum())], pa.int64()), pa.array([*[0] * GROUPS, *suffix[often].astype(np.int64)], pa.int64())],
+                    ["frequent", "key", "n", "types", "suffix"],
                 )
 
     # At most 1 / FREQUENT + 1 frequent tokens and GROUPS groups.
-    rows = whole.mapInArrow(groups, "frequent boolean, key long, n long, types long").groupBy("frequent", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
+    rows = whole.mapInArrow(groups, "frequent boolean, key long, n long, types long, suffix long").groupBy("frequent", "key").agg(F.sum("n").alias("n"), F.sum("types").alias("types"), F.max("suffix").alias("suffix")).collect()
     often = {r["key"]: r["n"] for r in rows if r["frequent"]}
     often.setdefault(int(_END.astype(np.int64)), 0)
     frequent = np.array(sorted(often), np.int64).astype(np.uint64)
@@ -206,7 +221,9 @@ def _group_statistics(summed: DataFrame) -> dict:
         if not r["frequent"]:
             total[r["key"]], types[r["key"]] = r["n"], r["types"]
     total[GROUPS:] = [often[int(h.astype(np.int64))] for h in frequent]
-    return {"n": n, "v": v, "frequent": frequent, "total": total, "types": types}
+    suffixes = {r["key"]: r["suffix"] for r in rows if r["frequent"]}
+    suffix = np.array([suffixes.get(int(h.astype(np.int64)), 0) for h in frequent], np.int64)
+    return {"n": n, "v": v, "frequent": frequent, "frequent_suffix": suffix, "total": total, "types": types}
 
 
 def _huffman(total: np.ndarray) -> dict:
@@ -263,15 +280,34 @@ def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((context + node) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
-def _context_counts(texts: DataFrame, shared) -> np.ndarray:
-    """Counts [context, bit, slot] of the decisions of all training texts; a table of fixed size."""
-    slots = 1 << SLOT_BITS
+def _word_contexts(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of no word, the word before and the two words before; nothing reaches across texts."""
+    before = np.concatenate([np.zeros(1, np.uint64), b.hash[:-1]])
+    before[b.first[:-1]] = 0
+    two = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
+    two[b.first[:-1]] = 0
+    return np.zeros(len(before), np.uint64), arrays.mix(before + np.uint64(1)), arrays.mix(before * np.uint64(4099) + arrays.mix(two + np.uint64(2)))
+
+
+def _rest_node(leaf: np.ndarray, level: int) -> np.ndarray:
+    """Scrambled node of each leaf's path at a level: the group, the level and the bits before it."""
+    prefix = leaf & np.uint64((1 << level) - 1)
+    return ((leaf >> np.uint64(32) << np.uint64(32)) | np.uint64(1 << level) | prefix) * _NODE
+
+
+def _rest_slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return ((context + node) >> np.uint64(64 - REST_SLOT_BITS)).view(np.int64)
+
+
+def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Counts [context, bit, slot] of the decisions of all training texts, of groups and of hash bits; tables of fixed size."""
+    slots, rest_slots = 1 << SLOT_BITS, 1 << REST_SLOT_BITS
     chunk = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scrambled = model["nodes"].ravel().astype(np.uint64) * _NODE
-        counts = np.zeros(4 * slots, np.int64)
+        counts = np.zeros(4 * slots + 6 * rest_slots, np.uint32)
         for batch in batches:
             for _, _, b in _blocks(batch):
                 group = _groups_of(b, model)
@@ -283,7 +319,16 @@ def _context_counts(texts: DataFrame, shared) -> np.ndarray:
                 path = group[at] * model["nodes"].shape[1] + step
                 node, bit = scrambled[path], model["bits"].ravel()[path].astype(np.int64) * slots
                 for c, context in enumerate(contexts):
-                    counts[2 * c * slots : 2 * (c + 1) * slots] += np.bincount(bit + _slot(context[at], node), minlength=2 * slots)
+                    counts[2 * c * slots : 2 * (c + 1) * slots] += np.bincount(bit + _slot(context[at], node), minlength=2 * slots).astype(np.uint32)
+                rest = np.flatnonzero(group < GROUPS)
+                leaf = _leaf(group[rest], b.hash[rest], model["rest_bits"])
+                levels = range(model["rest_bits"])
+                node = np.concatenate([_rest_node(leaf, k) for k in levels])
+                bit = np.concatenate([(leaf >> np.uint64(k)) & np.uint64(1) for k in levels]).astype(np.int64) * rest_slots
+                for c, context in enumerate(_word_contexts(b)):
+                    low = 4 * slots + 2 * c * rest_slots
+                    found = np.bincount(bit + _rest_slot(np.tile(context[rest], len(levels)), node), minlength=2 * rest_slots)
+                    counts[low : low + 2 * rest_slots] += found.astype(np.uint32)
         ranges = counts.reshape(-1, chunk)
         used = np.flatnonzero(ranges.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(ranges[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], ["range", "counts"])
@@ -293,20 +338,100 @@ def _context_counts(texts: DataFrame, shared) -> np.ndarray:
         return pd.DataFrame({"range": [rows["range"].iloc[0]], "counts": [total.astype("<f4").tobytes()]})
 
     found = texts.where("train").select("text").mapInArrow(run, "range int, counts binary").groupBy("range").applyInPandas(add, "range int, counts binary")
-    counts = np.zeros((4 * slots // chunk, chunk), np.float32)
-    for r in found.toLocalIterator():  # 4 * 2^SLOT_BITS numbers in all
+    counts = np.zeros(((4 * slots + 6 * rest_slots) // chunk, chunk), np.float32)
+    for r in found.toLocalIterator():  # 4 * 2^SLOT_BITS + 6 * 2^REST_SLOT_BITS numbers in all
         counts[r["range"]] = np.frombuffer(r["counts"], "<f4")
-    return counts.reshape(2, 2, slots)
+    counts = counts.ravel()
+    return counts[: 4 * slots].reshape(2, 2, slots), counts[4 * slots :].reshape(3, 2, rest_slots)
+
+
+_PACE = (4.0 / (np.arange(256) + 3.0)).astype(np.float32)
+
+
+def _alone(x: list[np.ndarray], bit: np.ndarray, cell: np.ndarray, level: np.ndarray, weights: np.ndarray, own: np.ndarray, seen: np.ndarray) -> list[float]:
+    """Probabilities of the decisions of one text, one after the other.
+
+    `x`: logits of the three fixed predictors; an adapting cell that was not used starts as the first.
+    """
+    weights, own, seen, pace, exp = weights.tolist(), own.tolist(), seen.tolist(), _PACE.tolist(), math.exp
+    out = []
+    for a, b, c, y, i, j in zip(x[0].tolist(), x[1].tolist(), x[2].tolist(), bit.tolist(), cell.tolist(), level.tolist()):
+        w, times = weights[j], seen[i]
+        d = own[i] if times else a
+        p = 1 / (1 + exp(-min(max(w[0] * a + w[1] * b + w[2] * c + w[3] * d, -12.0), 12.0)))
+        out.append(p if y else 1 - p)
+        e = RATE * (y - p)
+        weights[j] = (w[0] + e * a, w[1] + e * b, w[2] + e * c, w[3] + e * d)
+        own[i] = min(max(d + (y - 1 / (1 + exp(-d))) * pace[times], -8.0), 8.0)
+        seen[i] = min(times, 250) + 1
+    return out
+
+
+def _step(w: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of one decision of many texts and the adapting predictor after it; refines the weights."""
+    own = x[3].copy()
+    p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->j", w, x), -12, 12)))
+    # Gradient of the coding cost.
+    x *= np.float32(RATE) * (bit - p)
+    w += x
+    # The adapting predictor moves by its own error, less as it has seen more.
+    q = 1 / (1 + np.exp(-own))
+    return np.abs(1 - bit - p), np.clip(own + (bit - q) * _PACE.take(times), -8, 8)
+
+
+def mixed_rest(leaf: np.ndarray, contexts: tuple[np.ndarray, ...], cuts: list[tuple[int, int]], model: dict) -> np.ndarray:
+    """Natural log probability of the hash bits of each token within its group; cuts are the texts."""
+    out = np.zeros(len(leaf))
+    depth, tables = model["rest_bits"], model["rest"]
+    shift = np.uint64(64 - REST_CELL_BITS)
+    cells = 1 << REST_CELL_BITS
+    cuts = sorted((c for c in cuts if c[1] > c[0]), key=lambda c: c[0] - c[1])
+    for low in range(0, len(cuts), LANES):
+        start, length = np.array(cuts[low : low + LANES]).T
+        length = length - start
+        weights = np.full((depth, 4, len(start)), START_WEIGHT, np.float32)
+        weights[:, 3] = 0.15
+        adapting, seen = np.zeros(len(start) * cells, np.float32), np.zeros(len(start) * cells, np.uint8)
+        for step in range(int(length.max())):
+            running = int(np.searchsorted(-length, -step, side="left"))
+            if running <= NARROW:
+                for lane in range(running):
+                    span = slice(int(start[lane]) + step, int(start[lane] + length[lane]))
+                    here = leaf[span]
+                    node = np.stack([_rest_node(here, k) for k in range(depth)], axis=1)
+                    bit = np.stack([(here >> np.uint64(k)) & np.uint64(1) for k in range(depth)], axis=1).astype(np.int8)
+                    x = [t[_rest_slot(c[span, None], node)].ravel() for t, c in zip(tables, contexts)]
+                    mine = slice(lane * cells, (lane + 1) * cells)
+                    p = _alone(x, bit.ravel(), (node >> shift).ravel(), np.tile(np.arange(depth), len(here)), weights[:, :, lane], adapting[mine], seen[mine])
+                    out[span] = np.log(p).reshape(-1, depth).sum(axis=1)
+                break
+            at = start[:running] + step
+            here, before = leaf[at], [c[at] for c in contexts]
+            probability = np.ones(running)
+            base = np.arange(running) * cells
+            for k in range(depth):
+                node = _rest_node(here, k)
+                bit = ((here >> np.uint64(k)) & np.uint64(1)).astype(np.float32)
+                cell = base + (node >> shift).view(np.int64)
+                times = seen.take(cell)
+                x = np.empty((4, running), np.float32)
+                for t, c, line in zip(tables, before, x):
+                    t.take(_rest_slot(c, node), out=line, mode="clip")
+                x[3] = np.where(times > 0, adapting.take(cell), x[0])
+                p, adapting[cell] = _step(weights[k, :, :running], x, bit, times)
+                probability *= p
+                seen[cell] = np.minimum(times, 250) + np.uint8(1)
+            out[at] = np.log(probability)
+    return out
 
 
 def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts: list[tuple[int, int]], model: dict) -> np.ndarray:
-    """Natural log probability of the group of each token; cuts are the segments."""
+    """Natural log probability of the group of each token; cuts are the texts."""
     out = np.zeros(len(group))
     ones, n_nodes, depth = model["ones"], len(model["ones"]), model["nodes"].shape[1]
     table1, table2 = model["logits"]
     nodes, bits = np.ascontiguousarray(model["nodes"].T), np.ascontiguousarray(model["bits"].T.astype(np.float32))
     scrambled = np.arange(n_nodes, dtype=np.uint64) * _NODE
-    pace = (4.0 / (np.arange(256) + 3.0)).astype(np.float32)
     cuts = sorted(cuts, key=lambda c: c[0] - c[1])  # longest first: those that still run are a prefix
     for low in range(0, len(cuts), LANES):
         lanes = cuts[low : low + LANES]
@@ -317,6 +442,18 @@ def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts:
         seen = np.zeros(len(adapting), np.uint8)
         for step in range(int(length.max())):
             running = int(np.searchsorted(-length, -step, side="left"))
+            if running <= NARROW:
+                for lane in range(running):
+                    span = np.arange(start[lane] + step, start[lane] + length[lane])
+                    deep = model["length"][group[span]]
+                    which = np.repeat(np.arange(len(span)), deep)
+                    level = np.arange(len(which)) - np.repeat(np.cumsum(deep) - deep, deep)
+                    node, bit = model["nodes"][group[span][which], level], model["bits"][group[span][which], level]
+                    x = [ones[node], table1[_slot(contexts[0][span][which], scrambled[node])], table2[_slot(contexts[1][span][which], scrambled[node])]]
+                    mine = slice(lane * n_nodes, (lane + 1) * n_nodes)
+                    p = _alone(x, bit, node, level, weights[:, :, lane], adapting[mine], seen[mine])
+                    out[span] = np.bincount(which, np.log(p), len(span))
+                break
             at = start[:running] + step
             g = group[at]
             deep = model["length"][g]
@@ -334,16 +471,9 @@ def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts:
                 table1.take(_slot(c1.take(lane), hashed), out=x[1], mode="clip")
                 table2.take(_slot(c2.take(lane), hashed), out=x[2], mode="clip")
                 x[3] = own
-                mixed = np.clip(np.einsum("ij,ij->j", w, x), -12, 12)
-                p = 1 / (1 + np.exp(-mixed))
-                probability[lane] *= np.abs(1 - bit - p)
-                # Gradient of the coding cost.
-                x *= np.float32(RATE) * (bit - p)
-                w += x
+                p, adapting[cell] = _step(w, x, bit, times)
+                probability[lane] *= p
                 weights[j][:, lane] = w
-                # The adapting predictor moves by its own error, less as it has seen more.
-                q = 1 / (1 + np.exp(-own))
-                adapting[cell] = np.clip(own + (bit - q) * pace.take(times), -8, 8)
                 seen[cell] = np.minimum(times, 250) + np.uint8(1)
             out[at] = np.log(probability)
     return out
@@ -356,14 +486,28 @@ def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.Data
     known_hash = np.concatenate([np.frombuffer(h, np.uint64) for h in words["hashes"]])
     known_count = np.concatenate([np.frombuffer(c, "<i8") for c in words["counts"]])
     order = np.argsort(known_hash)
-    count = known_count[order][np.searchsorted(known_hash[order], b.hash)].astype(np.float64)
+    place = order[np.searchsorted(known_hash[order], b.hash)]
+    count = known_count[place].astype(np.float64)
+    others = np.concatenate([np.frombuffer(c, "<i8") for c in words["others"]])[place].astype(np.float64)
+    types = np.concatenate([np.frombuffer(c, "<i4") for c in words["types"]])[place].astype(np.float64)
     tokens = np.diff(b.first)
     base = np.log10((count + 0.1) / (model["n"] + 0.1 * (model["v"] + 1)))
     group = _groups_of(b, model)
-    # A frequent token is its group; others share theirs by count, with room for unknown ones.
-    total, types = model["total"][group], model["types"][group]
-    inner = np.where(group >= GROUPS, 0.0, np.log((count + SMOOTHING) / (total + SMOOTHING * (types + 1))))
-    cuts = [(a, min(a + SEGMENT, int(z))) for f, z in zip(b.first[:-1], b.first[1:]) for a in range(int(f), int(z), SEGMENT)]
+    # A frequent token is its group and has no part in a leaf.
+    rest = np.flatnonzero(group < GROUPS)
+    leaf = _leaf(group[rest], b.hash[rest], model["rest_bits"])
+    taken, which = np.unique(_leaf(model["frequent_suffix"], model["frequent"], model["rest_bits"]), return_inverse=True)
+    taken_count, taken_types = np.bincount(which, model["total"][GROUPS:]), np.bincount(which, model["total"][GROUPS:] > 0)
+    at = np.minimum(np.searchsorted(taken, leaf), len(taken) - 1)
+    shared = taken[at] == leaf
+    total = (count + others)[rest] - np.where(shared, taken_count[at], 0)
+    types = types[rest] - np.where(shared, taken_types[at], 0)
+    # Tokens of one leaf share it by count, with room for unknown ones.
+    inner = np.zeros(len(group))
+    inner[rest] = np.log((count[rest] + SMOOTHING) / (total + SMOOTHING * (types + 1)))
+    first = np.searchsorted(rest, b.first)
+    inner[rest] += mixed_rest(leaf, tuple(c[rest] for c in _word_contexts(b)), list(zip(first[:-1].tolist(), first[1:].tolist())), model)
+    cuts = list(zip(b.first[:-1].tolist(), b.first[1:].tolist()))
     outer = mixed_bits(group, _contexts(group, b.first), cuts, model)
     score = np.bincount(b.doc, inner + outer, n) / math.log(10)
     size = rows["bytes"].to_numpy()
@@ -382,13 +526,17 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts_by_block(docs)
     total = texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    buckets = max(16, total // 25_000_000)
-    summed = cut_lineage(_summed(_block_tokens(texts, buckets)))
+    # A power of two: buckets go by low bits of the hash, of which a leaf has some more.
+    bucket_bits = max(4, math.ceil(math.log2(max(1, total / 25_000_000))))
+    rest_bits = max(12, bucket_bits + 8)
+    summed = cut_lineage(_summed(_block_tokens(texts, 1 << bucket_bits), rest_bits))
     model = _group_statistics(summed)
+    model["rest_bits"] = rest_bits
     model |= _huffman(model["total"])
-    zeros, ones = _context_counts(texts, spark.sparkContext.broadcast(model)).transpose(1, 0, 2)
+    counts, rest = _context_counts(texts, spark.sparkContext.broadcast(model))
     # Slots of few counts say little: their logits are drawn to none.
-    model["logits"] = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+    model["logits"] = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)).astype(np.float32)
+    model["rest"] = np.log((rest[:, 1] + 0.4) / (rest[:, 0] + 0.4)).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
 
     def run(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -397,7 +545,7 @@ def score(docs: DataFrame) -> DataFrame:
         return score_block(rows.sort_values(["doc_id", "text"]), words, shared.value)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    words = summed.where("kind = 0").select("block", "hashes", "counts")
+    words = summed.where("kind = 0").select("block", "hashes", "counts", "others", "types")
     return texts.select("block", "doc_id", "bytes", "text").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, schema)
 
 

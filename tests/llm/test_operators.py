@@ -205,6 +205,32 @@ def test_context_mixing(spark, texts, edge, empty):
     assert context_mixing.score(empty).count() == 0
 
 
+def test_mixed_rest_is_a_distribution(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = {"rest_bits": 5, "rest": rng.normal(0, 1, (3, 1 << context_mixing.REST_SLOT_BITS)).astype(np.float32)}
+    history = (np.uint64(7) << np.uint64(32)) | rng.integers(0, 32, 600).astype(np.uint64)
+    contexts = tuple(rng.integers(0, 2**63, 601).astype(np.uint64) for _ in range(3))
+    found = []
+    for narrow in (0, 12):  # side by side and alone
+        monkeypatch.setattr(context_mixing, "NARROW", narrow)
+        ends = [(np.uint64(7) << np.uint64(32)) | np.uint64(x) for x in range(32)]
+        found.append([context_mixing.mixed_rest(np.append(history, x), contexts, [(0, 601)], model)[-1] for x in ends])
+        assert np.exp(found[-1]).sum() == pytest.approx(1, rel=1e-4)
+    assert found[0] == pytest.approx(found[1], rel=1e-3)
+
+
+def test_mixing_of_rare_words(spark):
+    """Rare words of one hashed group are told apart by the words before; a long text goes on adapting."""
+    rng = np.random.default_rng(4)
+    run = [" ".join(f"{(j + i) % 3000}zzz" for i in range(50)) for j in rng.integers(0, 3000, 800)]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    docs = [*enumerate(run), (held[0], " ".join(f"{i}zzz" for i in range(700, 900))), (held[1], "17zzz " * 250), (held[2], "17zzz " * 4000)]
+    got = {r["doc_id"]: r for r in context_mixing.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[held[0]]["score"] > 0.7 * got[held[0]]["base_score"]
+    short, long = (got[i]["score"] / got[i]["n_tokens"] for i in held[1:])
+    assert long > 0.5 * short
+
+
 def test_mixed_groups_are_a_distribution():
     """The probabilities of all groups at one place add up to one."""
     model = context_mixing._huffman(np.arange(1.0, 40.0))
