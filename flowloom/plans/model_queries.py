@@ -32,14 +32,14 @@ def vector_table(spark, sf_dir) -> DataFrame:
 
 @query("word2vec")
 def word2vec(spark, sf_dir):
-    learned = embeddings.train_word2vec(host_walks(spark, sf_dir, rounds=1, length=6), dim=16, epochs=1, seed=SEED)
+    learned = embeddings.train_word2vec(host_walks(spark, sf_dir, rounds=5, length=20), seed=SEED)
     return learned.select("token", F.size("emb").cast("bigint").alias("dim"))
 
 
 @query("skipgram")
 def skipgram_vectors(spark, sf_dir):
-    corpus = cut_lineage(host_walks(spark, sf_dir, rounds=1, length=6))
-    learned = skipgram.train_skipgram(corpus, dim=16, epochs=1, seed=SEED)
+    corpus = cut_lineage(host_walks(spark, sf_dir, rounds=5, length=20))
+    learned = skipgram.train_skipgram(corpus, seed=SEED)
     return learned.select("token", F.size("emb").cast("bigint").alias("dim"))
 
 

@@ -53,3 +53,19 @@ def test_empty(spark, no_driver):
     empty = spark.createDataFrame([], "id string, emb array<double>")
     assert embeddings.nearest(empty, empty, "id").count() == 0
     assert embeddings.pair_cosine_spread(empty, "id").collect()[0]["pairs"] is None
+
+
+@pytest.mark.parametrize("name", ["word2vec", "skipgram"])
+def test_trained_at_defaults(spark, monkeypatch, name):
+    """Both queries learn 64 numbers a token, in five epochs, from five rounds of walks of 20 steps."""
+    from flowloom.plans import model_queries
+
+    asked = {}
+
+    def walks(spark, sf_dir, **how):
+        asked.update(how)
+        return spark.createDataFrame([(["a", "b", "c", "a"],)], "tokens array<string>")
+
+    monkeypatch.setattr(model_queries, "host_walks", walks)
+    assert {r["dim"] for r in getattr(model_queries, {"skipgram": "skipgram_vectors"}.get(name, name))(spark, "").collect()} == {64}
+    assert asked == {"rounds": 5, "length": 20}
