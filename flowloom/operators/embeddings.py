@@ -19,8 +19,8 @@ from flowloom.session import cut_lineage, shared_folder
 # MLlib keeps the whole vector table on the driver while it learns.  Above this many
 # numbers (2 GB) use `skipgram.train_skipgram`, which has no such limit.
 MAX_MODEL_NUMBERS = 500_000_000
-# Numbers of a block of vectors, of which a task has two (32 MB each).
-MAX_QUERY_NUMBERS = 4_000_000
+# Numbers of a block of vectors, of which a task has two: 4096 rows of 64, so that small tables are spread too.
+MAX_QUERY_NUMBERS = 262_144
 # Blocks that meet the whole table at once: the table is shuffled once for each of them.
 STEP_BLOCKS = 16
 
