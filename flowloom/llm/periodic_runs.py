@@ -5,7 +5,8 @@ each among its own.  An LCP interval of depth d holds the suffixes that share th
 suffixes d words apart that part within it mark a square that cannot be
 shifted right (a branching tandem repeat); so the smaller side of every split of an interval
 is walked, and for each of its suffixes i the places of i + d and i - d in the suffix order tell
-whether they lie on the other side.  Smaller sides sum to n log n; no tree is built.  A square
+whether they lie on the other side.  Smaller sides sum to n log n; no tree is built.  Words too rare in their
+text to lie in a run are taken out first, which parts texts into stretches sorted each for themselves.  A square
 is rotated to the left as far as its words allow, which gives the run that it ends; squares of
 one run (its multiples) merge into the smallest period.
 
@@ -13,14 +14,16 @@ Defined results: words are runs of bytes outside ASCII white space, compared exa
 their own case.  A null or empty text has no words and no runs.  A run has at least `least_words`
 words and `least_exponent` periods; runs that share their words but not their period are all
 reported.  A null id is an id like any other; repeated rows give repeated results;
-other columns are kept.  An empty table gives no rows.  A task holds about a dozen 4-byte
-numbers per word of one text.
+other columns are kept.  An empty table gives no rows.  A task holds a few dozen
+8-byte numbers per word of one text at most.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ LEAST_WORDS = 6
 LEAST_EXPONENT = 4
 BLOCK_BYTES = 2_000_000
 PAIRS_AT_ONCE = 2_000_000
+FREQUENCY_ROUNDS = 8  # more would only save time
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
@@ -54,7 +58,7 @@ def suffix_order(word: np.ndarray, doc: np.ndarray) -> SuffixOrder:
     """
     n = len(word)
     key = doc.astype(np.int64) * (int(word.max(initial=0)) + 1) + word
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     fresh_group = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(fresh_group, np.arange(n), 0)).astype(np.int32)
@@ -72,7 +76,7 @@ def suffix_order(word: np.ndarray, doc: np.ndarray) -> SuffixOrder:
         follows = np.where(after < ends[suffix], rank[np.minimum(after, n - 1)], -1)
         group = rank[suffix].astype(np.int64)
         key = group * (n + 1) + follows + 1
-        sort = np.argsort(key, kind="stable")
+        sort = np.argsort(key)
         key = key[sort]
         order[at] = suffix[sort]
         fresh_group = fresh_group.copy()
@@ -104,19 +108,17 @@ def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, step: int) ->
     return length
 
 
-def _previous(depth: np.ndarray, strict: bool) -> np.ndarray:
-    """For each place the nearest one before it that is smaller (or equal, unless strict); -1 for none.
-
-    Places between a place and its present guess are known to be no such, so guesses of guesses
-    can be followed, which doubles the reach each round.
-    """
-    low = np.concatenate([depth, [-1]])  # place -1 stops every search
-    guess = np.arange(-1, len(depth) - 1)
-    while True:
-        todo = low[guess] >= depth if strict else low[guess] > depth
-        if not todo.any():
-            return guess
-        guess[todo] = guess[guess[todo]]
+def _extents(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each split, the first suffix behind the last split before it that is no deeper, and the next split that is less deep."""
+    n = len(depth)
+    depths, open_ = memoryview(depth), array("q")
+    left, right = array("q", bytes(8 * n)), array("q", [n]) * n
+    for i, d in enumerate(depths):
+        while open_ and depths[open_[-1]] > d:
+            right[open_.pop()] = i
+        left[i] = open_[-1] + 1 if open_ else 0
+        open_.append(i)
+    return np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
 
 
 def squares(s: SuffixOrder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,8 +129,7 @@ def squares(s: SuffixOrder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     order = s.order.astype(np.int64)
     depth = _common(s.ranks, order[:-1], order[1:], 1)
     # Split p parts suffixes up to place p from those after it.
-    left = _previous(depth, strict=False) + 1
-    right = len(depth) - 1 - _previous(depth[::-1], strict=True)[::-1]
+    left, right = _extents(depth)
     at = np.flatnonzero(depth)
     left, right, depth = left[at], right[at], depth[at]
     smaller_left = at - left < right - at
@@ -149,9 +150,36 @@ def squares(s: SuffixOrder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.minimum(suffix[hit], partner[hit]), depth[split[hit]]
 
 
+def _frequent(word: np.ndarray, doc: np.ndarray, least_words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that can lie in a run, and the number of the stretch each is in.
+
+    All words of a run occur at least `least` times in it.  So a rarer word parts its text in two, a short
+    part holds no run, and what is left is searched for rarer words again, a few times over.
+    """
+    at, part = np.arange(len(word)), doc.astype(np.int64)
+    for _ in range(FREQUENCY_ROUNDS):
+        if not len(at):
+            break
+        key = part * (int(word.max()) + 1) + word[at]
+        order = np.argsort(key)
+        new = np.concatenate([[True], np.diff(key[order]) != 0])
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        keep = np.empty(len(at), bool)
+        keep[order] = np.repeat(size >= least, size)
+        # A stretch ends where a word was taken out or another one began.
+        stretch = np.cumsum(np.concatenate([[True], (np.diff(part) != 0) | ~keep[1:] | ~keep[:-1]]))
+        keep &= (np.bincount(stretch) >= least_words)[stretch]
+        if keep.all():
+            break
+        at, part = at[keep], stretch[keep]
+    return at, part
+
+
 def runs(word: np.ndarray, doc: np.ndarray, least_words: int = LEAST_WORDS, least_exponent: int = LEAST_EXPONENT) -> np.ndarray:
     """(start, end, period) of all runs of texts whose word numbers follow one another, by start and period."""
-    s = suffix_order(word, doc)
+    at, part = _frequent(word, doc, least_words, least_exponent)
+    word = word[at]
+    s = suffix_order(word, part)
     found = []
     for start, period in squares(s):
         # A run of e periods has equal words one period apart through all of them.
@@ -170,6 +198,7 @@ def runs(word: np.ndarray, doc: np.ndarray, least_words: int = LEAST_WORDS, leas
     first = np.ones(len(out), bool)
     first[1:] = (out[1:, :2] != out[:-1, :2]).any(axis=1)
     out = out[first]
+    out[:, 0], out[:, 1] = at[out[:, 0]], at[out[:, 1] - 1] + 1
     return out[np.lexsort((out[:, 2], out[:, 0]))]
 
 
@@ -179,7 +208,7 @@ def find(texts: list[bytes], least_words: int = LEAST_WORDS, least_exponent: int
     numbers = {w: i for i, w in enumerate(set().union(*split))}
     count = [len(words) for words in split]
     total = sum(count)
-    word = np.fromiter((numbers[w] for words in split for w in words), np.int64, total)
+    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, total)
     first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
     all_runs = runs(word, np.repeat(np.arange(len(texts), dtype=np.int32), count), least_words, least_exponent)
     cut = np.searchsorted(all_runs[:, 0], first)
