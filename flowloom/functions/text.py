@@ -15,12 +15,17 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
+def plain_number(text: Column) -> Column:
+    """DOUBLE value of a text, NULL when it is empty or not a number; digits are not grouped."""
+    text = text.cast("string")
+    return F.when(~text.rlike(_JAVA_ONLY_NUMBER), text.try_cast("double"))
+
+
 def try_number(text: Column) -> Column:
-    """DOUBLE value of a text, NULL when it is empty or not a number."""
+    """The same, where an underscore between two digits groups them."""
     text = text.cast("string")
-    # An underscore between two digits groups them.
-    plain = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
-    return F.when(~text.rlike(_JAVA_ONLY_NUMBER), plain.try_cast("double"))
+    ungrouped = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
+    return F.coalesce(plain_number(text), F.when(text.contains("_"), plain_number(ungrouped)))
 
 
 def parse_int(text: Column, default: int = 0) -> Column:
@@ -33,10 +38,10 @@ def parse_float(text: Column, default: float = 0.0) -> Column:
 
 
 def finite_number(text: Column) -> Column:
-    """Coerced FLOAT feature: junk, NaN and both infinities become 0."""
-    value = try_number(text)
-    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-    return F.when(usable, value).otherwise(F.lit(0.0)).cast("float")
+    """Coerced FLOAT feature: junk, grouped digits, NaN and both infinities become 0."""
+    value = plain_number(text)
+    # NaN is larger than infinity here.
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(F.lit(0.0)).cast("float")
 
 
 def parse_timestamp(text: Column) -> tuple[Column, Column]:
@@ -47,7 +52,8 @@ def parse_timestamp(text: Column) -> tuple[Column, Column]:
     A text that fits neither format is passed through with epoch 0.
     """
     spaced = F.regexp_replace(text, r"^(\d{1,2}/\d{1,2}/\d{4})(?=\d)", "$1 ")
-    moment = F.try_to_timestamp(spaced, F.lit("d/M/yyyy H:m:s"))
+    # Two-digit hours without a space are the rule; only other texts are rewritten.
+    moment = F.coalesce(F.try_to_timestamp(text, F.lit("d/M/yyyyHH:mm:ss")), F.try_to_timestamp(spaced, F.lit("d/M/yyyy H:m:s")))
     iso = F.coalesce(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), text, F.lit(""))
     return iso, F.coalesce(F.unix_timestamp(moment), F.lit(0).cast("bigint"))
 

@@ -28,7 +28,7 @@ def numeric_source_columns(raw: DataFrame) -> list[str]:
     """
     candidates = [c for c in raw.columns if c not in LEAKAGE_COLUMNS and c != ROW_NUMBER]
     found = raw.agg(
-        *[F.max(text.try_number(F.col(f"`{c}`")).isNotNull()).alias(f"c{i}") for i, c in enumerate(candidates)]
+        *[F.max(text.plain_number(F.col(f"`{c}`")).isNotNull()).alias(f"c{i}") for i, c in enumerate(candidates)]
     ).first()
     return [c for i, c in enumerate(candidates) if found[f"c{i}"]]
 

@@ -7,19 +7,18 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.hashing import TEST, TRAIN, VALID, draw
+from flowloom.functions.hashing import TEST, TRAIN, draw
 from flowloom.operators import features as feature_ops
-from flowloom.operators import knn, metrics, sampling
+from flowloom.operators import boosting, knn, metrics, sampling
 from flowloom.operators.target_encoding import class_list, with_label_index
 from flowloom.session import cut_lineage
 
@@ -148,7 +147,7 @@ def _named_prediction(df: DataFrame, classes: list[str], index: str) -> DataFram
 
 
 def train(name: str, assembled: DataFrame, classes: list[str], split: str = TEST, **params) -> Trained:
-    """Fit on the training split and predict another; `boosted` is one model per class."""
+    """Fit on the training split and predict another."""
     started = time.perf_counter()
     if name == "boosted":
         return train_boosted(assembled, classes, split, **params)
@@ -163,50 +162,16 @@ def train(name: str, assembled: DataFrame, classes: list[str], split: str = TEST
     return out
 
 
-def train_boosted(
-    assembled: DataFrame,
-    classes: list[str],
-    split: str = TEST,
-    rounds: int = 20,
-    depth: int = 5,
-    step: float = 0.05,
-    tolerance: float = 0.001,
-) -> Trained:
-    """Gradient-boosted trees, one against the rest, stopped early on the validation split.
-
-    MLlib boosts two classes only, so the driver loops over the classes; each fit is a
-    Spark job over all training and validation rows.  A class without training rows keeps
-    no model and is never predicted: rows of other splits are not borrowed for it.
+def train_boosted(assembled: DataFrame, classes: list[str], split: str = TEST, **params) -> Trained:
+    """Gradient-boosted trees of all classes at once, stopped early on the validation split.
+
+    A class without training rows is never predicted: rows of other splits are not borrowed
+    for it.  The history is the validation loss after each round.
     """
-    started = time.perf_counter()
-    assembled = cut_lineage(assembled)  # read again for every class
-    fitting = assembled.filter(F.col("split").isin(TRAIN, VALID)).withColumn("hold", F.col("split") == VALID)
-    scored = assembled.filter(F.col("split") == split)
-    present = {row.target for row in _class_counts(assembled).collect()}
-    importances: list[float] = []
-    history: list[float] = []
-    names: list[str] = []
-    for i, label in enumerate(classes):
-        if label not in present:
-            continue
-        booster = GBTClassifier(
-            featuresCol="features", labelCol="is", maxIter=rounds, maxDepth=depth, stepSize=step, seed=42,
-            validationIndicatorCol="hold", validationTol=tolerance,
-        )
-        model = booster.fit(fitting.withColumn("is", (F.col("y") == i).cast("double")))
-        weights = model.featureImportances.toArray()
-        importances = list(weights) if not importances else [a + b for a, b in zip(importances, weights)]
-        history.append(float(model.getNumTrees))
-        model.setPredictionCol("").setProbabilityCol("").setRawPredictionCol("_raw")
-        scored = model.transform(scored).withColumn(f"s{len(names)}", vector_to_array("_raw")[1]).drop("_raw")
-        names.append(label)
-    seconds = time.perf_counter() - started
-    best = F.array_max(
-        F.array(*[F.struct(F.col(f"s{j}").alias("score"), F.lit(-j).alias("place")) for j in range(len(names))])
-    )["place"]
-    labels = F.array(*[F.lit(n) for n in names])
-    predictions = scored.select("record_id", "target", "split", labels[-best].alias("prediction"))
-    return Trained(predictions, importances, history, seconds)
+    assembled = cut_lineage(assembled)
+    model = boosting.fit(assembled, boosting.Settings(**params))
+    scored = boosting.predict(assembled.filter(F.col("split") == split), model)
+    return Trained(_named_prediction(scored, classes, "place"), list(model.gain), model.valid_loss, model.train_seconds)
 
 
 def importance_table(trained: Trained, spark, names: list[str]) -> DataFrame:
@@ -216,7 +181,7 @@ def importance_table(trained: Trained, spark, names: list[str]) -> DataFrame:
 
 
 def history_table(trained: Trained, spark) -> DataFrame:
-    """`step`, `value`: objective per iteration, or rounds kept per class for boosting."""
+    """`step`, `value`: objective per iteration, for boosting the validation loss after each round."""
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(trained.history)], "step int, value double")
 
 

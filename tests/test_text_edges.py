@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom import session
 from flowloom.functions import net, text
-from flowloom.operators import checks, tcg
+from flowloom.operators import checks, features, tcg
 from flowloom.sources import flows as sources
 from flowloom.sources import tables
 
@@ -83,3 +83,11 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_features_take_no_grouped_digits(spark):
+    """A coercing column parser reads `1_000` as no number, unlike the parser of single fields."""
+    raw = spark.createDataFrame([("1_000", "1_000", "nan"), ("x", "2", "-inf"), (None, "", "1e3")], "a string, b string, c string")
+    got = raw.select(*[text.finite_number(F.col(c)) for c in raw.columns], text.parse_float(F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(0.0, 0.0, 0.0, 1000.0), (0.0, 2.0, 0.0, 2.0), (0.0, 0.0, 1000.0, 0.0)]
+    assert features.numeric_source_columns(raw) == ["b", "c"]
