@@ -1,8 +1,8 @@
 """URL filter: block decisions spread over redirect and canonical-link equivalence.
 
-Every url is a node.  Edges tie it to its normal form (no scheme, query, fragment, trailing
-slash, `.html` or `index.html`; host in lower case), to the canonical link of its page and to the
-target of a refresh redirect.  Connected components over these edges are the aliases of one
+A node is a url in normal form: host in lower case, path and query as they are, without scheme and
+fragment, and without slashes at the end of the path.  Edges tie it to the canonical link of its page and to
+the target of a refresh redirect.  Connected components over these edges are the aliases of one
 page.  Link targets are aliases whether they are rows of the table or not, and may be relative to the
 scheme, the host or the path of their page.  The longest rule that fits a url decides it; other urls
 are blocked if an alias is blocked by a rule and no alias is allowed by one (an explicit allow wins).
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import table
 from flowloom.llm.components import components
+from flowloom.operators.skew import lookup_join
 from flowloom.session import cut_lineage
 
 # Rules as (verdict, host, path); an empty path fits every path.
@@ -48,10 +49,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """`?` and what follows it up to `#` or the end; else empty."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
 def normal_form(url: Column) -> Column:
-    """Host and path without what varies between aliases; null without a host."""
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"(?i)(/index)?\.html?$", ""), r"/+$", "")
-    return F.when(host_of(url) != "", F.concat(host_of(url), path))
+    """Host, path without slashes at its end, and query; null without a host."""
+    path = F.regexp_replace(path_of(url), r"/+$", "")
+    return F.when(host_of(url) != "", F.concat(host_of(url), path, query_of(url)))
 
 
 def with_rule(df: DataFrame, host: str, path: str, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -67,11 +73,11 @@ def with_rule(df: DataFrame, host: str, path: str, rules: list[tuple[str, str, s
 
 
 def resolve(link: Column, url: Column) -> Column:
-    """`link` in the page `url` without query and fragment as RFC 3986 resolves it; null if it leads to no page."""
+    """`link` in the page `url` without its fragment as RFC 3986 resolves it; null if it leads to no page."""
     own_scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     scheme = F.when(own_scheme.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*$"), own_scheme).otherwise(F.lit("http"))
     origin = F.concat(scheme, F.lit("://"), host_of(url))
-    bare = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    bare, asked = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(\?[^#]*)", 1)
     # Up to the last slash of the page's path.
     folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/?(.*/)?[^/]*$", 1))
     path = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
@@ -91,8 +97,9 @@ def resolve(link: Column, url: Column) -> Column:
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         # Other schemes (mailto:, javascript:) are no pages.
         .when((link == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(bare == "", F.concat(origin, path_of(url)))
-        .otherwise(F.concat(origin, tidy))
+        # A query alone replaces the page's; a fragment alone leads to the page itself.
+        .when(bare == "", F.concat(origin, path_of(url), F.when(asked != "", asked).otherwise(query_of(url))))
+        .otherwise(F.concat(origin, tidy, asked))
     )
 
 
@@ -129,10 +136,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     forms = cut_lineage(forms)
     groups = forms.groupBy("group").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
     spread = groups.where("blocked = 1 AND allowed = 0").select("group", F.lit("block").alias("by_alias"))
-    # Only forms that no rule decides need their aliases' verdict.
-    verdicts = forms.join(spread, "group", "left").select(F.col("form").alias("of"), "group", "by_alias")
-    joined = ruled.join(verdicts, F.col("form") == F.col("of"), "left")
-    return joined.select(
+    verdicts = lookup_join(forms, spread, ["group"], ["form"]).select("form", "group", "by_alias")
+    # A url may be that of a large part of all pages, or they may have none.
+    named = lookup_join(ruled.where(F.col("form").isNotNull()), verdicts, ["form"], ["page_id", "url"])
+    nameless = ruled.where(F.col("form").isNull()).withColumns({"group": F.lit(None).cast("long"), "by_alias": F.lit(None).cast("string")})
+    return named.unionByName(nameless).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_alias", F.lit("allow")).alias("verdict"), F.col("group").alias("alias_group")
     )
 
@@ -141,45 +149,57 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
-# Links between pages are as rare as the pages have such tags; urls of one normal form are one
-# group, and the recursive part walks the links.
-ORACLE = """
-WITH RECURSIVE base AS (
-  SELECT page_id, url, html,
-    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-  FROM pages),
-ruled AS (
-  SELECT *,
-    CASE WHEN host = '' THEN NULL ELSE host || regexp_replace(regexp_replace(path, '(?i)(/index)?\\.html?$', ''), '/+$', '') END AS form,
-    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
-         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
-         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
-  FROM base),
-judged AS (
-  SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM ruled),
-targets AS (
-  SELECT DISTINCT form AS own, host AS own_host, unnest([
+def _sql_rule(host: str, path: str) -> str:
+    return f"""CASE WHEN ({host} = 'www.example.com' OR {host} LIKE '%.www.example.com') AND starts_with({path}, '/en/') THEN 'www.example.com/en/'
+         WHEN ({host} = 'example.com' OR {host} LIKE '%.example.com') AND starts_with({path}, '/en/') THEN 'example.com/en/'
+         WHEN ({host} = 'net' OR {host} LIKE '%.net') AND starts_with({path}, '/es/') THEN 'net/es/'
+         WHEN ({host} = 'net' OR {host} LIKE '%.net') AND starts_with({path}, '/fr/') THEN 'net/fr/'
+         WHEN ({host} = 'com' OR {host} LIKE '%.com') AND starts_with({path}, '/') THEN 'com/' END"""
+
+
+def _sql_parts(url: str) -> str:
+    """Host, path and query of a url."""
+    return f"""CASE WHEN contains({url}, '://') THEN translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+    CASE WHEN contains({url}, '://') THEN regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    CASE WHEN contains({url}, '://') THEN regexp_extract({url}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1) ELSE '' END AS query"""
+
+
+_SQL_FORM = "CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || query END"
+_SQL_BY_RULE = "CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END"
+
+# The recursive part walks the links.
+ORACLE = f"""
+WITH RECURSIVE base AS (SELECT page_id, url, html, {_sql_parts('url')} FROM pages),
+judged AS (SELECT *, {_SQL_FORM} AS form, {_sql_rule('host', 'path')} AS rule FROM base),
+links AS (
+  SELECT DISTINCT form AS own, path, query, link,
+    CASE WHEN regexp_matches(regexp_extract(url, '(?s)^(.*?)://', 1), '^[A-Za-z][A-Za-z0-9+.-]*$') THEN regexp_extract(url, '(?s)^(.*?)://', 1) ELSE 'http' END AS scheme, host,
+    regexp_extract(link, '(?s)^([^?#]*)', 1) AS bare, regexp_extract(link, '(?s)^[^?#]*(\\?[^#]*)', 1) AS asked
+  FROM (SELECT *, unnest([
     regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
     regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS link
-  FROM judged WHERE form IS NOT NULL),
-full_links AS (
-  SELECT own, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
-    WHEN starts_with(link, '/') THEN 'http://' || own_host || link END AS link FROM targets),
-target_parts AS (
-  SELECT own, translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-    regexp_extract(link, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p FROM full_links WHERE link IS NOT NULL),
-edges AS (
-  SELECT own AS a, h || regexp_replace(regexp_replace(p, '(?i)(/index)?\\.html?$', ''), '/+$', '') AS b FROM target_parts WHERE h <> ''),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    FROM judged WHERE form IS NOT NULL) WHERE link <> ''),
+joined AS (SELECT *, CASE WHEN starts_with(bare, '/') THEN bare ELSE '/' || regexp_extract(path, '(?s)^/?(.*/)?[^/]*$', 1) || bare END AS whole FROM links),
+walked AS (
+  SELECT *, list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(whole, '/')[2:], lambda x: [x])),
+    lambda done, x: CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN done[1:len(done) - 1] ELSE list_concat(done, x) END) AS kept FROM joined),
+resolved AS (
+  SELECT own, CASE WHEN regexp_matches(link, '^[^/?#]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN bare = '' THEN scheme || '://' || host || path || CASE WHEN asked <> '' THEN asked ELSE query END
+    ELSE scheme || '://' || host || '/' || array_to_string(kept, '/')
+      || CASE WHEN regexp_matches(whole, '(^|/)\\.\\.?$') AND len(kept) > 0 THEN '/' ELSE '' END || asked END AS url FROM walked),
+targets AS (SELECT own, {_SQL_FORM} AS form, {_sql_rule('host', 'path')} AS rule FROM (SELECT own, {_sql_parts('url')} FROM resolved WHERE url IS NOT NULL)),
+nodes AS (
+  SELECT form, {_SQL_BY_RULE} AS by_rule FROM judged WHERE form IS NOT NULL
+  UNION SELECT form, {_SQL_BY_RULE} FROM targets WHERE form IS NOT NULL),
+both_ways AS (SELECT own AS a, form AS b FROM targets WHERE form IS NOT NULL UNION SELECT form, own FROM targets WHERE form IS NOT NULL),
 reach AS (
-  SELECT DISTINCT form AS node, form AS seen FROM judged WHERE form IS NOT NULL
+  SELECT DISTINCT form AS node, form AS seen FROM nodes
   UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a),
 spread AS (
-  SELECT reach.node, bool_or(j.by_rule = 'block') AND NOT bool_or(coalesce(j.by_rule = 'allow', FALSE)) AS blocked
-  FROM reach JOIN judged j ON j.form = reach.seen GROUP BY reach.node)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+  SELECT reach.node, coalesce(bool_or(n.by_rule = 'block'), FALSE) AND NOT coalesce(bool_or(n.by_rule = 'allow'), FALSE) AS blocked
+  FROM reach JOIN nodes n ON n.form = reach.seen GROUP BY reach.node)
+SELECT page_id, host, path, rule, coalesce({_SQL_BY_RULE}, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM judged LEFT JOIN spread ON spread.node = judged.form
 """
