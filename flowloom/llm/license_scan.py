@@ -1,27 +1,30 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a run of consecutive words of a text, twice as long as the longest template,
-wherever the lines break.  It is a match if it holds at least the threshold share of a
-template's distinct words.  Every place in a text starts a block; those that start at a word of
+A block is a run of consecutive words of a text, as long as the template and a fourth of
+that more, wherever the lines break.  It is a match if it holds at least the threshold share of the
+template's distinct words and all words that tell the template from other texts.  Every place in a text starts a block; those that start at a word of
 the template give the highest shares, so only they are counted.  Words are ordered by their
 frequency over all lines of the corpus, rarest first.  The rarest word of a block bounds what
 can still be found (positional filter), so a match must hold a word of the template's prefix
 (with m distinct words and c wanted, the m - c + 1 rarest), and only what is near such a word is
 looked at; blocks with fewer than c words of the template fall to the length filter.  What is left
-is counted exactly.  Blocks that overlap are one match, with the highest share.
+is counted exactly.  Of blocks that overlap only the best counts: the highest share, then the longer
+template, then the one listed first; so a notice that varies another does not bring the other's label.
 
 The templates are a fixed list, so they go to every task; texts are never shuffled.
 
 Phrases are searched besides, as consecutive words, for the base labels.
 
 Defined results: a null or empty text has no words and no labels.  Rows are judged one by
-one, so repeated rows get equal results.  Templates that reach the threshold all count.
+one, so repeated rows get equal results.
 Other columns play no part.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,29 +41,45 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Sentences of well-known licenses and notices and their labels.
+
+
+class Template(NamedTuple):
+    """A text, its label, and the words of it without which a block is no match."""
+
+    label: str
+    text: str
+    required: str = ""
+
+
+# Sentences of well-known licenses and notices.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("apache", "licensed under the apache license version 2 0", "apache"),
+    Template("apache", "you may not use this file except in compliance with the license", "file compliance license"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "license"),
+    Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public"),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser public"),
+    Template("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", "gnu lesser public"),
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "gnu affero public"),
+    Template("mit", "released under the mit license", "mit license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copyright permission software"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution source binary"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions source copyright"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission software fee granted"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public domain"),
 ]
 CONTAINMENT = 0.8
 _NEWLINE = 0x0A
 
 
-def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
-    return sorted({w for _, text in templates for w in text.split()})
+def vocabulary(templates: list[Template]) -> list[str]:
+    return sorted({w for t in templates for w in t.text.split()})
 
 
 def wanted(size: int, threshold: float) -> int:
@@ -74,16 +93,17 @@ def _lines(w: arrays.Words) -> np.ndarray:
     return breaks[w.start] + w.doc if len(w.start) else np.zeros(0, np.int64)
 
 
-def block_words(templates: list[tuple[str, str]]) -> int:
-    """Words of a block: room for the longest template and as many words between its own."""
-    return 2 * max((len(text.split()) for _, text in templates), default=0)
+def block_words(template: Template) -> int:
+    """Words of a block: room for the template and some words between its own."""
+    n = len(template.text.split())
+    return n + max(2, n // 4)
 
 
-def occurrences(place: np.ndarray, rank: np.ndarray, size: int, enough: int, block: int) -> list[tuple[int, int]]:
-    """(index of the first word, distinct words) of each match of one template.
+def occurrences(place: np.ndarray, rank: np.ndarray, size: int, enough: int, block: int, required: list[int] = []) -> list[tuple[int, int, int]]:
+    """(index of the first word, of the last word, distinct words) of each match of one template.
 
     `place` and `rank` of each word of the template that a text holds, ascending by place;
-    texts lie at least a block apart.
+    texts lie at least a block apart.  A match has all words of the `required` ranks.
     """
     rare = place[rank <= size - enough]
     near = np.flatnonzero(np.searchsorted(rare, place + block) > np.searchsorted(rare, place - block, "right"))
@@ -99,8 +119,12 @@ def occurrences(place: np.ndarray, rank: np.ndarray, size: int, enough: int, blo
     before[order[again + 1]] = order[again]
     first = np.maximum(before + 1, np.searchsorted(place, place - block, "right"))
     count = np.cumsum(np.bincount(first, minlength=len(place) + 1) - np.bincount(n + 1, minlength=len(place) + 1))[:-1]
+    fits = count >= enough
+    for r in required:
+        own = np.append(np.flatnonzero(rank == r), len(place))
+        fits &= own[np.searchsorted(own, n)] < end
     found = []
-    reach = np.flatnonzero(count >= enough)
+    reach = np.flatnonzero(fits)
     at = 0
     while at < len(reach):
         overlap = reach[at : np.searchsorted(reach, end[reach[at]])]
@@ -109,7 +133,7 @@ def occurrences(place: np.ndarray, rank: np.ndarray, size: int, enough: int, blo
         words, ends = np.unique(rank[best : end[best]], return_index=True)
         last = best + ends.max()
         start = last - np.unique(rank[best : last + 1][::-1], return_index=True)[1].max()
-        found.append((int(near[start]), len(words)))
+        found.append((int(near[start]), int(near[last]), len(words)))
         at = int(np.searchsorted(reach, last, "right"))
     return found
 
@@ -152,16 +176,28 @@ def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: found.get(w, 0) for w in words}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
+def _apart(candidates: list[tuple]) -> list[tuple]:
+    """The best candidates (share, length, number, first, last, label) that do not overlap a better one, by first word."""
+    taken: list[tuple] = []  # by first word; they do not overlap, so only the neighbours can
+    for c in sorted(candidates):
+        at = bisect_left(taken, c[3], key=lambda t: t[3])
+        if (at == 0 or taken[at - 1][4] < c[3]) and (at == len(taken) or c[4] < taken[at][3]):
+            taken.insert(at, c)
+    return taken
+
+
+def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
     """All given columns but the text, with n_words, n_base, first_word, last_word, base_labels,
     labels, score and matches (label, line, containment) of each text; the line is the one that a match starts on."""
     words = vocabulary(templates)
     frequency = word_frequencies(docs, words)
     order = sorted(words, key=lambda w: (frequency[w], w))
     place = {w: i for i, w in enumerate(order)}
-    sets = [(label, np.array(sorted(place[w] for w in set(text.split())))) for label, text in templates]
+    sets = [(t.label, np.array(sorted(place[w] for w in set(t.text.split())))) for t in templates]
     enough = [wanted(len(s), threshold) for _, s in sets]
-    block = block_words(templates)
+    required = [[int(np.searchsorted(s, place[w])) for w in t.required.split()] for t, (_, s) in zip(templates, sets)]
+    blocks = [block_words(t) for t in templates]
+    apart = max(blocks, default=0)
     keep = [c for c in docs.columns if c not in ("text", *_RESULT.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +230,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                 hits[w.doc[i]].append((int(i - w.first[w.doc[i]]), label))
         line = _lines(w)
         at, word = known.find(w.hash)
-        place = at + w.doc[at] * block
-        matches: list[list[tuple[str, int, float]]] = [[] for _ in range(n)]
-        for (label, s), c, rank in zip(sets, enough, ranks):
+        place = at + w.doc[at] * apart
+        candidates: list[list[tuple]] = [[] for _ in range(n)]
+        for number, ((label, s), c, rank) in enumerate(zip(sets, enough, ranks)):
             own = rank[word]
             if not ((own >= 0) & (own <= len(s) - c)).any():  # prefix filter
                 continue
             here = np.flatnonzero(own >= 0)
-            for i, count in occurrences(place[here], own[here], len(s), c, block):
-                first = at[here[i]]
-                doc = int(w.doc[first])
-                matches[doc].append((label, int(line[first] - line[w.first[doc]]), count / len(s)))
+            for i, j, count in occurrences(place[here], own[here], len(s), c, blocks[number], required[number]):
+                first, last = int(at[here[i]]), int(at[here[j]])
+                candidates[w.doc[first]].append((-count / len(s), -blocks[number], number, first, last, label))
+        matches = [[(label, int(line[first] - line[w.first[d]]), -share) for share, _, _, first, last, label in _apart(found)] for d, found in enumerate(candidates)]
         out = []
         for d in range(n):
             at_words = [p for p, _ in hits[d]]
