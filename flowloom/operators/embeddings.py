@@ -151,9 +151,8 @@ MAX_SCORES = 4_000_000
 
 
 def _blocked(table: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame, int]:
-    """(q, emb, block) of every row, stored, and the number of blocks, by a hash of the key."""
-    rows = table.select(F.col(key).cast("string").alias("q"), "emb")
-    rows = cut_lineage(rows)
+    """(q, emb, block) of every row with a vector, stored, and the number of blocks, by a hash of the key."""
+    rows = cut_lineage(table.select(F.col(key).cast("string").alias("q"), "emb").filter("emb IS NOT NULL"))
     size = rows.agg(F.coalesce(F.sum(F.size("emb")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_numbers))
     return rows.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), blocks
@@ -180,10 +179,14 @@ def pca_variance(
     """`component`, `ratio`: variance share of the first k principal components.
 
     Over the whole table unless a sample is asked for.  Only the dim x dim covariance reaches
-    the driver.
+    the driver.  Rows without a vector are passed over; an empty table has no components.
     """
+    table = table.filter("emb IS NOT NULL")
     rows = sample_rows(table, key, sample, seed) if sample else table
-    dim = rows.select(F.size("emb").alias("n")).first().n
+    first = rows.select(F.size("emb").alias("n")).first()
+    if first is None:
+        return table.sparkSession.createDataFrame([], "component int, ratio double")
+    dim = first.n
     fitted = PCA(k=min(k, dim), inputCol="v", outputCol="unused").fit(rows.select(array_to_vector("emb").alias("v")))
     values = [(i + 1, float(v)) for i, v in enumerate(fitted.explainedVariance.toArray())]
     return table.sparkSession.createDataFrame(values, "component int, ratio double")
@@ -258,9 +261,12 @@ def mean_pair_cosine(table: DataFrame) -> DataFrame:
 
 
 def norm_spread(table: DataFrame) -> DataFrame:
-    """Median (interpolated) and population standard deviation of the vector length, over the whole table."""
-    size = table.select(vectors.norm(F.col("emb")).alias("size"))
-    n = size.filter("size IS NOT NULL").count()
+    """Median (interpolated) and population standard deviation of the vector length, over the whole table.
+
+    Rows without a vector, or with a number in it that is not finite, are passed over.
+    """
+    size = table.select(vectors.norm(F.col("emb")).alias("size")).filter(F.col("size") < float("inf"))
+    n = size.count()
     low, high = (value_at_rank(size, "size", rank) if n else None for rank in ((n - 1) // 2, n // 2))
     median = F.lit((low + high) / 2 if n else None).cast("double")
     return size.agg(F.any_value(median).alias("norm_median"), F.stddev_pop("size").alias("norm_std"))

@@ -102,3 +102,19 @@ def predict(
     train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "distance", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     return vote(neighbours(train, queries, k, block_rows=block_rows), weights)
+
+
+def predict_indexed(
+    train: DataFrame, queries: DataFrame, k: int = 5, weights: str = "distance", measured: DataFrame | None = None, least_recall: float = 0.9
+) -> DataFrame:
+    """The vote over neighbours from an inverted-list index of the training rows.
+
+    As many lists are visited as reach the recall on the `measured` queries (all, unless given).
+    """
+    from flowloom.operators import neighbour_index as ni
+
+    index = ni.build(train)
+    lists, _ = ni.tuned(index, queries if measured is None else measured, k, least_recall)
+    found = ni.search(index, queries, k, lists).withColumnsRenamed({"id": "train_id", "value": "distance2"})
+    labelled = found.join(train.select(F.col("id").cast("string").alias("train_id"), "label"), "train_id")
+    return vote(labelled, weights)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators import checks, embeddings, features, hcg, metrics, models, skipgram, walks
+from flowloom.operators import checks, embeddings, features, hcg, metrics, models, neighbour_index, skipgram, walks
 from flowloom.operators import target_encoding as te
 from flowloom.plans import views
 from flowloom.plans.feature_queries import A_CTE, DERIVED, RAW_NAMES, _sql, table_a, table_b, table_d
@@ -303,9 +303,10 @@ def dummy_stratified(spark, sf_dir):
     return stratified(spark, sf_dir)
 
 
-SCALED = ["raw_flow_duration", "raw_total_fwd_packets", "raw_total_length_of_bwd_packets", "raw_hour"]
+SCALED = RAW_NAMES + DERIVED
 _STATS = ", ".join(f"avg({c}::DOUBLE) AS m_{c}, stddev_pop({c}::DOUBLE) AS s_{c}" for c in SCALED)
-_SCALED = ", ".join(f"(({c}::DOUBLE - m_{c}) / s_{c}) AS {c}" for c in SCALED)
+# A constant column is divided by 1.
+_SCALED = ", ".join(f"(({c}::DOUBLE - m_{c}) / coalesce(nullif(s_{c}, 0.0), 1.0)) AS {c}" for c in SCALED)
 
 
 @query(
@@ -322,8 +323,11 @@ def standardize(spark, sf_dir):
 
 
 _D2 = " + ".join(f"(t.{c} - q.{c}) * (t.{c} - q.{c})" for c in SCALED)
-_KNN = f"""st AS (SELECT {_STATS} FROM a WHERE split = 'train'),
-z AS MATERIALIZED (SELECT record_id, target, split, {_SCALED} FROM a, st),
+
+
+def _knn_sql(rows: str) -> str:
+    return f"""st AS (SELECT {_STATS} FROM {rows} WHERE split = 'train'),
+z AS MATERIALIZED (SELECT record_id, target, split, {_SCALED} FROM {rows}, st),
 knn AS MATERIALIZED (SELECT q.record_id, t.target AS label, round({_D2}, 6) AS d2 FROM z q JOIN z t ON q.split = 'test' AND t.split = 'train'
   QUALIFY row_number() OVER (PARTITION BY q.record_id ORDER BY round({_D2}, 6), t.record_id) <= 5),
 voted AS MATERIALIZED (SELECT record_id, label AS prediction FROM (
@@ -332,6 +336,9 @@ voted AS MATERIALIZED (SELECT record_id, label AS prediction FROM (
   QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY exact DESC, score DESC, label) = 1)"""
 
 
+_KNN = _knn_sql("a")
+
+
 def knn_predictions(spark, sf_dir) -> DataFrame:
     return models.predict_knn(table_a(spark, sf_dir), SCALED)
 
@@ -357,6 +364,56 @@ def knn_uniform(spark, sf_dir):
     return models.predict_knn(table_a(spark, sf_dir), SCALED, weights="uniform")
 
 
+KNN_SIZES = {"train": 3000, "valid": 500, "test": 500}
+_CAPPED = """capped AS MATERIALIZED (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY split ORDER BY
+  md5((CASE split WHEN 'train' THEN '42' WHEN 'valid' THEN '43' ELSE '44' END) || '|' || record_id), record_id)
+  <= CASE split WHEN 'train' THEN 3000 ELSE 500 END)"""
+
+
+@query(
+    "knn_capped",
+    _sql("SELECT record_id, target, split, prediction FROM capped JOIN voted USING (record_id)", A_CTE, _CAPPED, _knn_sql("capped")),
+)
+def knn_capped(spark, sf_dir):
+    """The vote on an exact sample of each split."""
+    return models.predict_knn(table_a(spark, sf_dir), SCALED, sizes=KNN_SIZES)
+
+
+@query("knn_indexed")
+def knn_indexed(spark, sf_dir):
+    """The vote of all test rows through the inverted-list index."""
+    return models.predict_knn(table_a(spark, sf_dir), SCALED, indexed=True)
+
+
+def _index_queries(table: DataFrame) -> DataFrame:
+    """Every fiftieth row by id is a query."""
+    return table.filter(F.col("id").cast("bigint") % 50 == 0)
+
+
+@query("neighbour_index")
+def indexed_neighbours(spark, sf_dir):
+    """The five most similar rows of every fiftieth row, through the inverted-list index."""
+    table = vector_table(spark, sf_dir).select("id", F.col("emb").alias("v"))
+    index = neighbour_index.build(table, cosine=True)
+    lists, _ = neighbour_index.tuned(index, _index_queries(table), 5)
+    found = neighbour_index.search(index, _index_queries(table), 5, lists)
+    return found.select(F.col("query_id").alias("query"), F.col("id").alias("neighbour"), (-F.col("value")).alias("similarity"))
+
+
+@query(
+    "index_recall",
+    "SELECT count(*) AS indexed, count(*) FILTER (vec_id % 50 = 0) AS queries, true AS reached FROM embeddings",
+)
+def index_recall(spark, sf_dir):
+    """Rows in the index, and whether its recall against all rows reaches nine tenths."""
+    table = vector_table(spark, sf_dir).select("id", F.col("emb").alias("v"))
+    index = neighbour_index.build(table, cosine=True)
+    queries = _index_queries(table)
+    _, recall = neighbour_index.tuned(index, queries, 5)
+    asked = queries.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return index.rows.agg(F.count(F.lit(1)).alias("indexed")).select("indexed", asked.alias("queries"), F.lit(recall >= 0.9).alias("reached"))
+
+
 # ---------------------------------------------------------------- MLlib models (rows only)
 
 
@@ -650,34 +707,25 @@ def result_divergence(spark, sf_dir):
     return rounded(metrics.divergence(results_table(spark, sf_dir)), "weighted_minus_macro")
 
 
-@query(
-    "importance_family",
-    _sql(
-        """SELECT CASE WHEN feature LIKE '%emb_missing' THEN 'hcg_missing_flags' WHEN feature LIKE 'raw%' THEN 'raw_*'
-    WHEN feature LIKE 'hcg_src%' THEN 'hcg_src_emb_*' WHEN feature LIKE 'hcg_dst%' THEN 'hcg_dst_emb_*' ELSE 'other' END AS family,
-  round(sum(v), 4) AS importance FROM ("""
-        + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, avg({c}::DOUBLE) AS v FROM a" for c in RAW_NAMES
-        )
-        + """
-  UNION ALL SELECT 'hcg_src_emb_missing', avg((s.endpoint_id IS NULL)::INT) FROM a LEFT JOIN endpoint_vectors s ON s.endpoint_id = a.src_endpoint
-  UNION ALL SELECT 'hcg_dst_emb_missing', avg((s.endpoint_id IS NULL)::INT) FROM a LEFT JOIN endpoint_vectors s ON s.endpoint_id = a.dst_endpoint
-  UNION ALL SELECT 'hcg_src_emb_000', avg(coalesce(s.emb[1]::DOUBLE, 0.0)) FROM a LEFT JOIN endpoint_vectors s ON s.endpoint_id = a.src_endpoint
-  UNION ALL SELECT 'hcg_dst_emb_000', avg(coalesce(s.emb[1]::DOUBLE, 0.0)) FROM a LEFT JOIN endpoint_vectors s ON s.endpoint_id = a.dst_endpoint)
-GROUP BY 1""",
-        A_CTE,
-        base=("endpoint_vectors",),
-    ),
-)
-def importance_family(spark, sf_dir):
-    """Family sums over a per-feature score; here each feature's mean stands for a model's gain."""
+def _forest_on_c(spark, sf_dir) -> DataFrame:
+    """`feature`, `importance` of a forest trained on the raw and graph features."""
     a = table_a(spark, sf_dir)
-    b = features.widen(table_b(spark, sf_dir, a), features.hcg_layout(DIM))
-    raw = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("importance")) for c in RAW_NAMES]
-    graph_columns = ["hcg_src_emb_missing", "hcg_dst_emb_missing", "hcg_src_emb_000", "hcg_dst_emb_000"]
-    graph = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("importance")) for c in graph_columns]
-    scores = a.agg(F.array(*raw).alias("s")).unionAll(b.agg(F.array(*graph).alias("s"))).select(F.inline("s"))
-    return rounded(metrics.importance_by_family(scores), "importance", digits=4)
+    c = cut_lineage(features.widen(features.fuse(a, table_b(spark, sf_dir, a)), features.hcg_layout(DIM)))
+    classes, columns = te.class_list(a), features.feature_columns(c)
+    trained = models.train("forest", models.assemble(c, columns, classes), classes)
+    return models.importance_table(trained, spark, columns)
+
+
+@query("importance_family")
+def importance_family(spark, sf_dir):
+    """Gains of a trained forest summed by feature family."""
+    return metrics.importance_by_family(_forest_on_c(spark, sf_dir))
+
+
+@query("importance_top")
+def importance_top(spark, sf_dir):
+    """The 30 features that a trained forest gained most from."""
+    return metrics.top_importances(_forest_on_c(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- checks

@@ -15,7 +15,7 @@ from flowloom.plans.view_queries import _HOST_WALKS, host_walks
 from flowloom.plans.views import with_ctes
 from flowloom.session import shared_folder
 from flowloom.sources import flows as sources
-from flowloom.sources import tables
+from flowloom.sources import publish, tables
 
 
 def _folder(spark) -> str:
@@ -74,3 +74,13 @@ def vector_ops(spark, sf_dir):
         vectors.squared_distance(x, y).alias("distance2"),
     )
     return rounded(out, "norm", "dot", "cosine", "absdiff", "distance2")
+
+
+@query("edges_published", with_ctes(["flows"], "SELECT * FROM causes", CAUSES))
+def edges_published(spark, sf_dir):
+    """The causal graph published over an older version and read back."""
+    path = _folder(spark)
+    edges = causes(spark, sf_dir)
+    publish.publish(edges.filter("relation_type = 'SHR'"), path)
+    publish.publish(edges, path, codec="zstd", partition_by=["relation_type"])
+    return publish.read_published(spark, path)
