@@ -30,6 +30,7 @@ from flowloom.sources.flows import ROW_NUMBER, with_order_row_number
 
 CHUNK_ROWS = 4096
 SECOND_ORDER_TRIES = 6
+MOST_TRIES = 400  # of a walk at once
 CUT_EVERY = 5
 WALK = ["round", "start"]
 
@@ -56,7 +57,7 @@ def prepare_graph(weighted: DataFrame, second_order: bool = False, chunk_rows: i
     """Write the adjacency, laid out by join key, to the checkpoint folder.
 
     Later steps shuffle only the walks: the checkpoint keeps the partitioning.  Runs the
-    jobs that write it and one count.
+    jobs that write it and one count.  `weighted` is read several times, so give a stored table.
     """
     heavy = cut_lineage(_busy_vertices(weighted))
     partitions = int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -192,6 +193,8 @@ def _retry(
     pq: tuple[float, float] | None,
 ) -> DataFrame:
     """Take each walk's first accepted try; draw again for walks that have none yet."""
+    # Each round tries more often than the one before: few walks are left, and a round is a shuffle whatever
+    # its size.  Tries are numbered, so the walk that comes out does not depend on it.
     per_round = SECOND_ORDER_TRIES if pq else 1
     settled: DataFrame | None = None
     first_try = 0
@@ -206,6 +209,7 @@ def _retry(
         if left.isEmpty():
             return settled
         first_try += per_round
+        per_round = min(4 * per_round, MOST_TRIES)
         numbers = F.explode(F.sequence(F.lit(first_try), F.lit(first_try + per_round - 1)))
         state = left
         tried = _propose(left.withColumn("try", numbers), graph, seed, step, chunk_rows)

@@ -10,6 +10,7 @@ from flowloom.plans import views
 from flowloom.plans.graph_queries import CAUSES, causes, rounded
 from flowloom.plans.registry import query
 from flowloom.plans.views import SEED, with_ctes
+from flowloom.session import cut_lineage
 
 VIEW_DELTA = 43200
 _ORDER = "relation_priority, delta_seconds, src_record_id, dst_record_id"
@@ -232,7 +233,7 @@ def host_weights(spark, sf_dir, field: str = "flow_count", transform: str = "log
 
 
 def host_walks(spark, sf_dir, rounds: int = 2, length: int = 8) -> DataFrame:
-    weighted = host_weights(spark, sf_dir)
+    weighted = cut_lineage(host_weights(spark, sf_dir))
     starts = walks.fan_out(walks.start_nodes(weighted), rounds)
     return walks.walk(walks.prepare_graph(weighted), starts, length, SEED)
 
@@ -285,7 +286,7 @@ def walks_first_order(spark, sf_dir):
     with_ctes(["flows"], _LINES.format(last=6), CAUSES.replace("causes AS (", "causes AS MATERIALIZED (", 1), _TW, _ADJ, *_walk_sql(1, 7)),
 )
 def walks_uniform(spark, sf_dir):
-    weighted = walks.uniform_edges(causes(spark, sf_dir))
+    weighted = cut_lineage(walks.uniform_edges(causes(spark, sf_dir)))
     starts = walks.fan_out(walks.start_nodes(weighted), 1)
     return _lines(walks.walk(walks.prepare_graph(weighted), starts, 7, SEED))
 
@@ -298,7 +299,7 @@ def walks_uniform(spark, sf_dir):
 )
 def walks_filtered(spark, sf_dir):
     kept = walks.filter_edges(causes(spark, sf_dir), ["PR", "SHR"], VIEW_DELTA)
-    weighted = walks.uniform_edges(kept)
+    weighted = cut_lineage(walks.uniform_edges(kept))
     starts = walks.fan_out(walks.start_nodes(weighted), 2)
     return _lines(walks.walk(walks.prepare_graph(weighted), starts, 5, SEED))
 
@@ -315,7 +316,7 @@ def walks_filtered(spark, sf_dir):
     ),
 )
 def walks_node2vec(spark, sf_dir):
-    weighted = host_weights(spark, sf_dir)
+    weighted = cut_lineage(host_weights(spark, sf_dir))
     starts = walks.fan_out(walks.start_nodes(weighted), 1)
     graph = walks.prepare_graph(weighted, second_order=True)
     return _lines(walks.walk(graph, starts, 5, SEED, p=0.5, q=2.0))
