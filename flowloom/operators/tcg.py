@@ -18,19 +18,31 @@ in exactly one bucket and nothing has to be de-duplicated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import hashing
 from flowloom.schema import CAUSES_FIELDS, DEFAULT_WINDOWS, FALLBACK_WINDOW, RELATION_PRIORITY
+from flowloom.session import cut_lineage
 
 # A bucket where one side has more rows than this is cut into a grid of cells.
 CELL_ROWS = 4096
 # Up to this many hot buckets are broadcast; beyond it they are joined by shuffle.
 MAX_BROADCAST_CELLS = 100_000
+# Flows of an endpoint in one block of time that a task still takes; then flows are cut by rank.
+DENSE_ROWS = 1_000_000
+RANK_ROWS = 65_536
+# Counters of the sketch that looks for crowded buckets: rows of hashed counters, and their least and
+# largest length.  Above about 4 billion flows it can rule out ever fewer buckets.
+SKETCH_ROWS = 2
+SKETCH_LEAST, SKETCH_MOST = 1 << 12, 1 << 22
 
 _COLUMNS = {
     "id": "record_id",
@@ -153,12 +165,16 @@ def _cell_keys(band: _Band) -> list[str]:
     return [f"k{i}" for i in range(len(band.a_keys))] + ["bucket"]
 
 
-def _hot_cells(flows: DataFrame, band: _Band, cell_rows: int) -> DataFrame:
-    """Buckets that need a grid: their keys and its size `na` x `nb`."""
+def _hot_cells(flows: DataFrame, band: _Band, number: int, cell_rows: int, possible: list[np.ndarray]) -> DataFrame:
+    """Buckets that need a grid: their keys and its size `na` x `nb`, counted exactly among the possible ones."""
     keys = _cell_keys(band)
-    a = _side(flows, "a", band.a_keys, band.window).select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b"))
-    b = _side(flows, "b", band.b_keys, band.window).select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = a.unionAll(b).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sides = []
+    for prefix, names in (("a", band.a_keys), ("b", band.b_keys)):
+        side = _side(flows, prefix, names, band.window)
+        cell = F.xxhash64(F.lit(number), *[F.col(f"k{i}") for i in range(len(names))], F.col("bucket"))
+        marked = side.filter(_marked(possible)(cell))
+        sides.append(marked.select(*keys, F.lit(int(prefix == "a")).alias("a"), F.lit(int(prefix == "b")).alias("b")))
+    counts = sides[0].unionAll(sides[1]).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return counts.filter(_crowded(cell_rows)).select(
         *keys,
         F.ceil(F.col("a") / cell_rows).cast("int").alias("na"),
@@ -170,34 +186,72 @@ def _crowded(cell_rows: int) -> Column:
     return (F.greatest("a", "b") > cell_rows) & (F.least("a", "b") > 0)
 
 
-def _find_hot_cells(flows: DataFrame, bands: list[_Band], cell_rows: int) -> None:
-    """Count the hot buckets of all bands in one pass; one number per band comes back.
+def _slots(cells: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Counter of each cell hash in one row of a sketch; the width is a power of two."""
+    mixed = cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * row)
+    return (mixed >> np.uint64(64 - int(width).bit_length() + 1)).astype(np.int64)
+
+
+def _marked(possible: list[np.ndarray]):
+    """Whether a cell's counters are all among those of crowded buckets."""
+
+    @F.pandas_udf("boolean")
+    def marked(cells: pd.Series) -> pd.Series:
+        values = cells.to_numpy(np.int64).view(np.uint64)
+        return pd.Series(np.logical_and.reduce([bits[_slots(values, i, len(bits))] for i, bits in enumerate(possible)]))
+
+    return marked
 
-    Every flow is expanded to its buckets on both sides of every band, keyed by a hash, and
-    counted map-side.  A hash collision can only make a bucket look fuller than it is.
+
+def _sketch(flows: DataFrame, bands: list[_Band], width: int) -> np.ndarray:
+    """Count-min sketch of the visits of all flows to the buckets of all bands: (row, side, counter).
+
+    A task sums its flows' visits into counters and sends those that are not 0; sketches add up.
     """
-    visits = []
+    visits, of_a = [], []
     for i, band in enumerate(bands):
         for side, keys in ((1, band.a_keys), (0, band.b_keys)):
             own = F.lit(0).cast("bigint")
             if band.window is not None:
                 own = F.floor(F.col("timestamp_epoch") / F.lit(band.window)).cast("bigint")
-            buckets = (own, own + 1) if side and band.window is not None else (own,)
-            for bucket in buckets:
-                cell = F.xxhash64(*[F.col(k) for k in keys], bucket)
-                visits.append(F.struct(F.lit(i).alias("band"), F.lit(side).alias("a"), cell.alias("cell")))
-    counted = (
-        flows.select(F.explode(F.array(*visits)).alias("v"))
-        .groupBy("v.band", "v.cell")
-        .agg(F.sum("v.a").alias("a"), F.sum(1 - F.col("v.a")).alias("b"))
-        .filter(_crowded(cell_rows))
-        .groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    found = {row.band: row.n for row in counted.collect()}
+            for bucket in (own, own + 1) if side and band.window is not None else (own,):
+                visits.append(F.xxhash64(F.lit(i), *[F.col(k) for k in keys], bucket))
+                of_a.append(side)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SKETCH_ROWS, 2, width), np.int64)
+        for batch in batches:
+            for name, side in zip(batch.schema.names, of_a):
+                cells = batch[name].to_numpy(zero_copy_only=False).view(np.uint64)
+                for row in range(SKETCH_ROWS):
+                    np.add.at(total[row, side], _slots(cells, row, width), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+
+    named = flows.select(*[v.alias(f"v{i}") for i, v in enumerate(visits)])
+    added = named.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SKETCH_ROWS * 2 * width, np.int64)
+    out[added["at"].to_numpy(np.int64)] = added["n"].to_numpy(np.int64)
+    return out.reshape(SKETCH_ROWS, 2, width)
+
+
+def _find_hot_cells(flows: DataFrame, bands: list[_Band], cell_rows: int) -> None:
+    """Find the crowded buckets of all bands and count them.
+
+    A count-min sketch never counts too little, so a bucket that is not crowded in it is not
+    crowded; only flows of the other buckets are counted again, exactly.  The sketch has a few
+    counters per crowded bucket that there can be, and at most SKETCH_MOST a row.
+    """
+    wanted = 64 * len(bands) * flows.count() // max(1, cell_rows)
+    width = 1 << (min(max(wanted, SKETCH_LEAST), SKETCH_MOST) - 1).bit_length()
+    sketch = _sketch(flows, bands, width)
+    a, b = sketch[:, 1], sketch[:, 0]
+    possible = list((np.maximum(a, b) > cell_rows) & (np.minimum(a, b) > 0))
+    if not all(bits.any() for bits in possible):
+        return
     for i, band in enumerate(bands):
-        band.hot_rows = found.get(i, 0)
-        band.hot = _hot_cells(flows, band, cell_rows) if band.hot_rows else None
+        band.hot = cut_lineage(_hot_cells(flows, band, i, cell_rows, possible))
+        band.hot_rows = band.hot.count()
 
 
 def _pairs(flows: DataFrame, band: _Band) -> DataFrame:
@@ -251,7 +305,7 @@ def edges(
 ) -> DataFrame:
     """CAUSES edges of the selected relations.
 
-    Runs one counting job to find buckets too crowded for one task, then returns the
+    Runs a sketch of the buckets to find those too crowded for one task, then returns the
     lazy union of at most five equi-joins.
     """
     windows = windows or DEFAULT_WINDOWS
@@ -262,14 +316,15 @@ def edges(
 
 
 def capped_shr_edges(
-    flows: DataFrame, k: int = 15, window: int = 5, block_seconds: int | None = None
+    flows: DataFrame, k: int = 15, window: int = 5, block_seconds: int | None = None, dense_rows: int = DENSE_ROWS
 ) -> DataFrame:
     """Each flow to the next k flows of its source endpoint within `window` seconds.
 
     No join: a look-ahead of k rows per endpoint.  The endpoint's rows are cut into time
     blocks (eight windows long by default), and flows within `window` after a block's end
     are repeated into it as candidates, so a busy endpoint is spread over many tasks.
-    A window of 0 is unlimited: then all flows of an endpoint are one block.
+    Time does not cut a dense second, nor anything where a window of 0 is unlimited: when a block
+    has more than `dense_rows` flows (one counting job), flows are cut by their rank instead.
     """
     limited = window > 0
     width = max(block_seconds or 8 * window, window, 1)
@@ -278,6 +333,9 @@ def capped_shr_edges(
     def block(seconds: Column) -> Column:
         return F.floor(seconds / F.lit(width)).cast("bigint") if limited else F.lit(0).cast("bigint")
 
+    fullest = flows.groupBy("src_ip", "src_port", block(ts)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+    if (fullest or 0) > dense_rows:
+        return _project(_ranked_pairs(flows, k, window), "SHR")
     placed = flows.select(
         "src_ip",
         "src_port",
@@ -301,6 +359,36 @@ def capped_shr_edges(
     return _project(pairs, "SHR")
 
 
+def _ranked_pairs(flows: DataFrame, k: int, window: int) -> DataFrame:
+    """Each flow with the next k of its endpoint, by way of the rank of every flow among all.
+
+    Flows are sorted by (endpoint, time, id) over range partitions and written; the counts of the
+    partitions before give ranks, and ranks are cut into chunks of a fixed size.  The first k flows of a chunk are also
+    seen by the chunk before.  So a task holds one chunk, whatever endpoint or second its flows are of.
+    """
+    order = ["src_ip", "src_port", "timestamp_epoch", "record_id"]
+    rows = flows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(rows.withColumn("place", F.monotonically_increasing_id()))
+    part, place = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row a partition
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["part"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "part int, before long")
+    ranked = rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + place)
+    chunk = F.floor(F.col("rank") / RANK_ROWS)
+    seen = F.when((F.col("rank") % RANK_ROWS < k) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    flow = F.struct("src_ip", "src_port", F.col("timestamp_epoch").alias("ts"), F.col("record_id").alias("id"))
+    placed = ranked.select("rank", flow.alias("flow"), chunk.alias("own"), F.explode(seen).alias("chunk"))
+    ahead = Window.partitionBy("chunk").orderBy("rank").rowsBetween(1, k)
+    pairs = placed.withColumn("next", F.collect_list("flow").over(ahead)).filter("own = chunk").select("flow", F.explode("next").alias("next"))
+    delta = F.col("next.ts") - F.col("flow.ts")
+    keep = F.expr("flow.src_ip = next.src_ip AND flow.src_port = next.src_port")
+    keep = keep & (delta <= window) if window > 0 else keep
+    return pairs.filter(keep).select(F.col("flow.id").alias("a_id"), F.col("next.id").alias("b_id"), delta.alias("delta"))
+
+
 def capped_edges(
     flows: DataFrame, k: int = 15, shr_window: int = 5, cr_window: int | None = 5, cell_rows: int = CELL_ROWS
 ) -> DataFrame:

@@ -231,6 +231,18 @@ def hcg_edges_dense(spark, sf_dir):
     return _rounded_edges(hcg.edges(views.dense_flows(spark, sf_dir)))
 
 
+_UNNAMED = """, unnamed AS (
+  SELECT * REPLACE (CASE WHEN l7_protocol % 2 = 0 THEN l7_protocol::VARCHAR ELSE protocol_name END AS protocol_name) FROM dense)"""
+
+
+@query("hcg_edges_unnamed", "WITH " + views.CTE["dense"] + _UNNAMED + _HCG_EDGE_BODY.format(f="unnamed"))
+def hcg_edges_unnamed(spark, sf_dir):
+    """Flows of some protocols come without a name and are counted under their l7 number."""
+    nameless = F.when(F.col("l7_protocol") % 2 == 0, F.lit("")).otherwise(F.col("protocol_name"))
+    flows = views.dense_flows(spark, sf_dir).withColumn("protocol_name", nameless)
+    return _rounded_edges(hcg.edges(sources.with_graph_protocol_names(flows)))
+
+
 @query(
     "hcg_edge_protocols",
     with_ctes(

@@ -751,9 +751,55 @@ _GRAPH_CHECKS = [
     "SELECT * FROM (VALUES " + ", ".join(f"('{c}', true, 0.0::DOUBLE)" for c in _GRAPH_CHECKS) + ') t("check", ok, value)',
 )
 def check_graph(spark, sf_dir):
-    flows = views.flows(spark, sf_dir)
+    flows = views.stored_flows(spark, sf_dir)
     stored = cut_lineage(causes(spark, sf_dir))
-    return checks.check_graph(flows, stored, hcg.endpoints(flows), hcg.edges(flows), WINDOWS)
+    return checks.check_graph(flows, stored, hcg.endpoints(flows), cut_lineage(hcg.edges(flows)), WINDOWS)
+
+
+# Faults by the number of an edge's earlier flow: what is changed, and the check that must see it.
+_FAULTY = """faulty AS MATERIALIZED (SELECT CASE WHEN n % 101 = 0 THEN 'same' ELSE relation_id END AS relation_id, src_record_id,
+    CASE WHEN n % 97 = 0 THEN src_record_id WHEN n % 89 = 0 THEN 'rec_none' ELSE dst_record_id END AS dst_record_id,
+    CASE WHEN n % 83 = 0 THEN 'XXX' ELSE relation_type END AS relation_type,
+    relation_priority + (n % 79 = 0)::BIGINT AS relation_priority,
+    CASE WHEN n % 73 = 0 THEN -1 WHEN n % 71 = 0 THEN 700000 ELSE delta_seconds END AS delta_seconds, same_timestamp
+  FROM (SELECT *, regexp_extract(src_record_id, '([0-9]+)$', 1)::BIGINT AS n FROM causes))"""
+
+
+@query(
+    "check_graph_faults",
+    with_ctes(
+        ["flows"],
+        """SELECT "check", value = 0 AS ok, value::DOUBLE AS value FROM (
+  SELECT 'no_self_loop' AS "check", count(*) FILTER (src_record_id = dst_record_id) AS value FROM faulty
+  UNION ALL SELECT 'relation_type_known', count(*) FILTER (relation_type = 'XXX') FROM faulty
+  UNION ALL SELECT 'priority_matches_type', count(*) FILTER (relation_type <> 'XXX' AND relation_priority <>
+    CASE relation_type WHEN 'CR' THEN 1 WHEN 'PR' THEN 2 WHEN 'DHR' THEN 3 ELSE 4 END) FROM faulty
+  UNION ALL SELECT 'delta_within_window', count(*) FILTER (delta_seconds < 0 OR (relation_type <> 'XXX' AND delta_seconds >
+    CASE relation_type WHEN 'CR' THEN 604800 WHEN 'PR' THEN 7200 WHEN 'DHR' THEN 86400 ELSE 259200 END)) FROM faulty
+  UNION ALL SELECT 'same_timestamp_flag', count(*) FILTER (same_timestamp <> (delta_seconds = 0)) FROM faulty
+  UNION ALL SELECT 'relation_id_unique', count(*) - count(DISTINCT relation_id) FROM faulty
+  UNION ALL SELECT 'no_dangling_flow', (SELECT count(*) FROM (SELECT src_record_id AS r FROM faulty UNION SELECT dst_record_id FROM faulty)
+    WHERE r NOT IN (SELECT record_id FROM flows))
+  UNION ALL SELECT 'record_id_unique', 0 UNION ALL SELECT 'endpoint_id_unique', 0 UNION ALL SELECT 'edge_id_unique', 0
+  UNION ALL SELECT 'totals_add_up', 0 UNION ALL SELECT 'no_dangling_endpoint', 0)""",
+        CAUSES,
+        _FAULTY,
+    ),
+)
+def check_graph_faults(spark, sf_dir):
+    """The graph's checks on edges with planted faults: each must count its own."""
+    flows = views.stored_flows(spark, sf_dir)
+    n = F.regexp_extract("src_record_id", "([0-9]+)$", 1).cast("bigint")
+    faulty = causes(spark, sf_dir).withColumns(
+        {
+            "relation_id": F.when(n % 101 == 0, F.lit("same")).otherwise(F.col("relation_id")),
+            "dst_record_id": F.when(n % 97 == 0, F.col("src_record_id")).when(n % 89 == 0, F.lit("rec_none")).otherwise(F.col("dst_record_id")),
+            "relation_type": F.when(n % 83 == 0, F.lit("XXX")).otherwise(F.col("relation_type")),
+            "relation_priority": F.col("relation_priority") + (n % 79 == 0).cast("bigint"),
+            "delta_seconds": F.when(n % 73 == 0, F.lit(-1)).when(n % 71 == 0, F.lit(700000)).otherwise(F.col("delta_seconds")),
+        }
+    )
+    return checks.check_graph(flows, cut_lineage(faulty), hcg.endpoints(flows), cut_lineage(hcg.edges(flows)), WINDOWS)
 
 
 @query(

@@ -158,9 +158,10 @@ def normalize_flows(df: DataFrame) -> DataFrame:
     return df.select(*[fields[name].alias(name) for name in FLOW_FIELDS])
 
 
-def graph_protocol_name(df: DataFrame) -> Column:
-    """Name the endpoint graph counts: falls back to a normalised `l7_protocol` column."""
-    return _field(df, *ALIASES["protocol_name"], "l7_protocol")
+def with_graph_protocol_names(flows: DataFrame) -> DataFrame:
+    """Flows as the endpoint graph counts them: one without a protocol name goes by its l7 number."""
+    name = F.coalesce(F.nullif("protocol_name", F.lit("")), F.col("l7_protocol").cast("string"), F.lit(""))
+    return flows.withColumn("protocol_name", name)
 
 
 def flows_from_features(features: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def test_estimates_equal_pair_counts(spark, window):
     assert estimate.guard(frame(spark, rows), dict.fromkeys(PRIORITY, w), ["SHR"], 0, force=True) == {"SHR": expected["SHR"]}
 
 
-def test_capped_edges_equal_the_loop(spark):
+def test_capped_edges_equal_the_loop(spark, monkeypatch):
     rows = random_flows(5, 200, span=9000, hot=0.6)
     groups = {}
     for r in rows:
@@ -143,6 +143,11 @@ def test_capped_edges_equal_the_loop(spark):
                     expected.add((a[0], b[0], "SHR", b[10] - a[10]))
     for block in (700, 3600):
         assert got_edges(tcg.capped_shr_edges(frame(spark, rows), 3, 700, block)) == expected
+        for rank_rows in (4, 7, 65_536):
+            monkeypatch.setattr(tcg, "RANK_ROWS", rank_rows)
+            assert got_edges(tcg.capped_shr_edges(frame(spark, rows), 3, 700, block, dense_rows=10)) == expected
+    unlimited = got_edges(tcg.capped_shr_edges(frame(spark, rows), 3, 0))
+    assert len(unlimited) > len(expected) and got_edges(tcg.capped_shr_edges(frame(spark, rows), 3, 0, dense_rows=10)) == unlimited
     both = got_edges(tcg.capped_edges(frame(spark, rows), 3, 700, 700))
     assert {e for e in both if e[2] == "SHR"} == expected
     assert len({e[:2] for e in both}) == len(both)
@@ -195,3 +200,24 @@ def test_adjacency_pieces_hold_every_edge_once(spark):
     for p in pieces:
         assert p.total == sum(n.w for n in p.nbrs) == p.nbrs[-1].upto
     assert weighted.select(F.sum("w")).first()[0] == sum(int(w * 1_000_000) for *_, w in edges)
+
+
+def test_sketch_finds_every_crowded_bucket(spark, monkeypatch):
+    """Whatever collides in the sketch, crowded buckets are counted exactly."""
+    rows = random_flows(3, 300, span=400, hot=0.7)
+    windows = {"CR": 50, "PR": 50, "DHR": 50, "SHR": 50}
+    want = got_edges(tcg.edges(frame(spark, rows), windows, cell_rows=10**6))
+    for least, most in ((4, 4), (64, 64), (4096, 4096)):
+        monkeypatch.setattr(tcg, "SKETCH_LEAST", least)
+        monkeypatch.setattr(tcg, "SKETCH_MOST", most)
+        bands = tcg._bands(list(PRIORITY), windows)
+        tcg._find_hot_cells(frame(spark, rows), bands, 5)
+        by_host = {}
+        for r in rows:
+            by_host.setdefault((r[4], r[10] // 50), []).append(r)
+        (dhr,) = [b for b in bands if b.name == "DHR"]
+        # A bucket's own flows on one side, those and the ones of the bucket before on the other.
+        sizes = {(h, t): (len(m) + len(by_host.get((h, t - 1), [])), len(m)) for (h, t), m in by_host.items()}
+        crowded = {key: (-(-a // 5), -(-b // 5)) for key, (a, b) in sizes.items() if max(a, b) > 5 and min(a, b) > 0}
+        assert {(r["k0"], r["bucket"]): (r["na"], r["nb"]) for r in dhr.hot.collect()} == crowded
+        assert got_edges(tcg.edges(frame(spark, rows), windows, cell_rows=5)) == want
