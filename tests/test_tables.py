@@ -126,14 +126,28 @@ def test_skipgram_brings_communities_together(spark):
     rng = random.Random(4)
     corpus = [([f"g{g}_{rng.randrange(8)}" for _ in range(10)],) for g in range(3) for _ in range(120)]
     df = spark.createDataFrame(corpus, "tokens array<string>")
-    for block_tokens in (1000, 7):
-        learned = skipgram.train_skipgram(df, 8, 3, epochs=6, sample=0, seed=3, rate=0.2, block_tokens=block_tokens)
-        vectors = {r.token: np.array(r.emb) for r in learned.collect()}
-        assert len(vectors) == 24 and all(np.isfinite(v).all() for v in vectors.values())
-        unit = {t: v / np.linalg.norm(v) for t, v in vectors.items()}
-        for a in unit:
-            near = sorted((b for b in unit if b != a), key=lambda b: -(unit[a] @ unit[b]))[:7]
-            assert sum(b[:2] == a[:2] for b in near) >= 6, (block_tokens, a, near)
+    found = []
+    for how in ({}, {"block_tokens": 4, "group_pairs": 20}):
+        learned = skipgram.train_skipgram(df, 8, 3, epochs=4, sample=0, seed=3, rate=0.3, rounds=2, **how)
+        found.append({r.token: tuple(r.emb) for r in learned.collect()})
+    # The vectors are the same with one block as with seven.
+    assert found[0] == found[1]
+    vectors = {t: np.array(v) for t, v in found[0].items()}
+    assert len(vectors) == 24 and all(np.isfinite(v).all() for v in vectors.values())
+    unit = {t: v / np.linalg.norm(v) for t, v in vectors.items()}
+    for a in unit:
+        near = sorted((b for b in unit if b != a), key=lambda b: -(unit[a] @ unit[b]))[:7]
+        assert sum(b[:2] == a[:2] for b in near) >= 6, (a, near)
+
+
+def test_negative_slots_follow_the_weights(spark):
+    counts = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([1, 16, 81, 256] * 50)], "token string, n long")
+    total = sum(n**0.75 for n in [1, 16, 81, 256] * 50)
+    slots, n = skipgram.negative_slots(counts, total, 200, 1)
+    rows = slots.collect()
+    assert sorted(r.slot for r in rows) == list(range(n)) and abs(n - 8 * 200) < 100
+    share = [sum(int(r.noise[1:]) % 4 == k for r in rows) / n for k in range(4)]
+    assert np.allclose(share, np.array([1, 8, 27, 64]) / 100, atol=0.02)
 
 
 def test_metrics_with_a_label_never_true(spark):
