@@ -13,16 +13,16 @@ Every decision is predicted by several context predictors at the same node:
 
 Their logits are combined by weights, one set per depth of the tree (the gate), and the weights are
 refined after every decision by the gradient of the coding cost.  Weights and the adapting
-predictor go through a whole text; many texts run side by side, and when few are left, each
-runs alone.  Bits over bytes of a text is `bits_per_byte`.
+predictor go through a whole text; many texts run side by side.  Bits over bytes of a text is `bits_per_byte`.
 
 What is gathered from the corpus grows with it: each task sends the distinct tokens of its
 blocks, packed, to buckets by hash; a bucket sums the counts and hands back to each block
 the counts of its tokens.  No task or driver holds the vocabulary.  The group tables are of fixed size:
-at most 1 / FREQUENT frequent tokens, GROUPS hashed groups, 2^SLOT_BITS and 2^REST_SLOT_BITS slots.
+at most 1 / FREQUENT frequent tokens, GROUPS hashed groups, 2^SLOT_BITS and 2^REST_SLOT_BITS slots,
+alike at every size of the corpus.
 
 Defined results: a null text is empty and has one token, the end.  Null ids count as empty
-text in the split.  Repeated rows get equal scores.  Other columns play no part.  An
+text in the split.  Repeated rows get equal scores, bit for bit.  Other columns play no part.  An
 empty table gives no rows.  Without training rows every token is unknown.
 
 Tokens are compared by 64-bit hashes.
@@ -50,9 +50,10 @@ FREQUENT = 1 / 1024  # a token of at least this share of the training tokens is
 GROUPS = 512
 SLOT_BITS = 19
 REST_SLOT_BITS = 21
-REST_CELL_BITS = 10  # cells of the adapting predictor of the hash bits, for each text
-NARROW = 12  # texts that are left run alone
-LANES = 4096
+REST_BITS = 12  # hash bits of a token that are coded within its hashed group
+REST_CELL_BITS = 7  # cells of the adapting predictor of each hash bit, for each text
+LANES = 4096  # texts side by side
+STEP_TOKENS = 8192  # tokens whose logits are looked up at once
 SMOOTHING = 0.1
 RATE = 0.02
 START_WEIGHT = 0.35
@@ -125,7 +126,8 @@ def _block_tokens(texts: DataFrame, buckets: int) -> DataFrame:
             hashes, first, inverse = np.unique(b.hash, return_index=True, return_inverse=True)
             counts = np.bincount(inverse, train, len(hashes)).astype("<i4")
             suffix = b.suffix[first].astype("<i2")
-            to = (hashes & np.uint64(buckets - 1)).astype(np.int64)
+            # By leaf, so that a bucket has all tokens of its leaves.
+            to = (arrays.mix(_leaf(suffix, hashes, REST_BITS)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             used, cut = np.unique(to[order], return_index=True)
             parts = np.split(order, cut[1:])
@@ -160,7 +162,7 @@ def _leaf(suffix: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 def _summed(tokens: DataFrame, bits: int) -> DataFrame:
     """Per bucket the summed counts for each block (kind 0) and, once, all tokens of the bucket (kind 1).
 
-    A bucket is given by low bits of the hash, so it has all tokens that share a leaf: `others` is the count
+    A bucket is given by a hash of the leaf, so it has all tokens that share a leaf: `others` is the count
     of the other tokens of each token's leaf and `types` the number of its tokens.
     """
 
@@ -295,6 +297,12 @@ def _rest_node(leaf: np.ndarray, level: int) -> np.ndarray:
     return ((leaf >> np.uint64(32) << np.uint64(32)) | np.uint64(1 << level) | prefix) * _NODE
 
 
+def _rest_nodes(leaf: np.ndarray, levels: int) -> np.ndarray:
+    """`_rest_node` of all levels, [leaf, level]."""
+    below = np.uint64(1) << np.arange(levels, dtype=np.uint64)
+    return ((leaf >> np.uint64(32) << np.uint64(32))[:, None] | below | (leaf[:, None] & (below - np.uint64(1)))) * _NODE
+
+
 def _rest_slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((context + node) >> np.uint64(64 - REST_SLOT_BITS)).view(np.int64)
 
@@ -307,7 +315,7 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scrambled = model["nodes"].ravel().astype(np.uint64) * _NODE
-        counts = np.zeros(4 * slots + 6 * rest_slots, np.uint32)
+        counts, one = np.zeros(4 * slots + 6 * rest_slots, np.uint32), np.uint32(1)
         for batch in batches:
             for _, _, b in _blocks(batch):
                 group = _groups_of(b, model)
@@ -319,16 +327,15 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
                 path = group[at] * model["nodes"].shape[1] + step
                 node, bit = scrambled[path], model["bits"].ravel()[path].astype(np.int64) * slots
                 for c, context in enumerate(contexts):
-                    counts[2 * c * slots : 2 * (c + 1) * slots] += np.bincount(bit + _slot(context[at], node), minlength=2 * slots).astype(np.uint32)
+                    np.add.at(counts[2 * c * slots : 2 * (c + 1) * slots], bit + _slot(context[at], node), one)
                 rest = np.flatnonzero(group < GROUPS)
                 leaf = _leaf(group[rest], b.hash[rest], model["rest_bits"])
-                levels = range(model["rest_bits"])
-                node = np.concatenate([_rest_node(leaf, k) for k in levels])
-                bit = np.concatenate([(leaf >> np.uint64(k)) & np.uint64(1) for k in levels]).astype(np.int64) * rest_slots
+                levels = np.arange(model["rest_bits"], dtype=np.uint64)
+                node = _rest_nodes(leaf, model["rest_bits"])
+                bit = ((leaf[:, None] >> levels) & np.uint64(1)).astype(np.int64) * rest_slots
                 for c, context in enumerate(_word_contexts(b)):
                     low = 4 * slots + 2 * c * rest_slots
-                    found = np.bincount(bit + _rest_slot(np.tile(context[rest], len(levels)), node), minlength=2 * rest_slots)
-                    counts[low : low + 2 * rest_slots] += found.astype(np.uint32)
+                    np.add.at(counts[low : low + 2 * rest_slots], (bit + _rest_slot(context[rest][:, None], node)).ravel(), one)
         ranges = counts.reshape(-1, chunk)
         used = np.flatnonzero(ranges.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(ranges[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], ["range", "counts"])
@@ -345,138 +352,166 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
     return counts[: 4 * slots].reshape(2, 2, slots), counts[4 * slots :].reshape(3, 2, rest_slots)
 
 
-_PACE = (4.0 / (np.arange(256) + 3.0)).astype(np.float32)
+class Decisions:
+    """The binary decisions of some tokens, the group's path first and then the hash bits: where they lie among
+    the cells of the adapting predictor and among the gated weights of their lane, the bit, and the logits."""
 
+    def __init__(self, total: int):
+        self.x = np.empty((total, 4), np.float32)  # node, one before, two before, adapting
+        self.bit = np.empty(total, np.float32)
+        self.cell = np.empty(total, np.int64)
+        self.gate = np.empty(total, np.int64)
 
-def _alone(x: list[np.ndarray], bit: np.ndarray, cell: np.ndarray, level: np.ndarray, weights: np.ndarray, own: np.ndarray, seen: np.ndarray) -> list[float]:
-    """Probabilities of the decisions of one text, one after the other.
 
-    `x`: logits of the three fixed predictors; an adapting cell that was not used starts as the first.
+class Mixer:
+    """Codes the tokens of texts side by side, one text a lane.
+
+    The decisions of one token lie at different depths and nodes, so they share neither a weight nor an adapting
+    cell, and taking them at once is the same as one after the other.  All numbers are
+    32-bit and every operation is by element, so a text's score does not depend on what is coded beside it.
     """
-    weights, own, seen, pace, exp = weights.tolist(), own.tolist(), seen.tolist(), _PACE.tolist(), math.exp
-    out = []
-    for a, b, c, y, i, j in zip(x[0].tolist(), x[1].tolist(), x[2].tolist(), bit.tolist(), cell.tolist(), level.tolist()):
-        w, times = weights[j], seen[i]
-        d = own[i] if times else a
-        p = 1 / (1 + exp(-min(max(w[0] * a + w[1] * b + w[2] * c + w[3] * d, -12.0), 12.0)))
-        out.append(p if y else 1 - p)
-        e = RATE * (y - p)
-        weights[j] = (w[0] + e * a, w[1] + e * b, w[2] + e * c, w[3] + e * d)
-        own[i] = min(max(d + (y - 1 / (1 + exp(-d))) * pace[times], -8.0), 8.0)
-        seen[i] = min(times, 250) + 1
-    return out
-
-
-def _step(w: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of one decision of many texts and the adapting predictor after it; refines the weights."""
-    own = x[3].copy()
-    p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->j", w, x), -12, 12)))
-    # Gradient of the coding cost.
-    x *= np.float32(RATE) * (bit - p)
-    w += x
-    # The adapting predictor moves by its own error, less as it has seen more.
-    q = 1 / (1 + np.exp(-own))
-    return np.abs(1 - bit - p), np.clip(own + (bit - q) * _PACE.take(times), -8, 8)
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.levels = model["rest_bits"] if "rest" in model else 0
+        self.coded = "logits" in model
+        if self.coded:
+            self.depth, self.n_nodes = model["nodes"].shape[1], len(model["ones"])
+            self.nodes, self.bits = model["nodes"].ravel().astype(np.int64), model["bits"].ravel().astype(np.float32)
+            self.scrambled = self.nodes.astype(np.uint64) * _NODE
+        else:
+            self.depth = self.n_nodes = 0
+        self.gates = self.depth + self.levels
+        self.cells = self.n_nodes + (self.levels << REST_CELL_BITS)
+
+    def decisions(self, lane: np.ndarray, group: np.ndarray, outer: tuple, rest: np.ndarray, leaf: np.ndarray, inner: tuple) -> tuple[Decisions, np.ndarray]:
+        """Decisions of tokens in order, and how many each token has; `rest` are the tokens that `leaf` and `inner` are of."""
+        model, n = self.model, len(lane)
+        deep = model["length"][group].astype(np.int64) if self.coded else np.zeros(n, np.int64)
+        size = deep.copy()
+        size[rest] += self.levels
+        start = np.cumsum(size) - size
+        d = Decisions(int(size.sum()))
+        if self.coded:
+            token = np.repeat(np.arange(n), deep)
+            level = np.arange(len(token)) - np.repeat(np.cumsum(deep) - deep, deep)
+            at = start[token] + level
+            path = group[token].astype(np.int64) * self.depth + level
+            node, hashed = self.nodes.take(path), self.scrambled.take(path)
+            x = np.empty((len(token), 4), np.float32)
+            x[:, 0] = model["ones"].take(node)
+            for c, (context, logits) in enumerate(zip(outer, model["logits"])):
+                x[:, c + 1] = logits.take(_slot(context.take(token), hashed))
+            d.x.view(np.complex128).ravel()[at] = x.view(np.complex128).ravel()
+            d.bit[at] = self.bits.take(path)
+            mine = lane.take(token)
+            d.cell[at] = mine * self.cells + node
+            d.gate[at] = mine * self.gates + level
+        if self.levels:
+            level = np.arange(self.levels)
+            at = ((start + deep)[rest][:, None] + level).ravel()
+            node = _rest_nodes(leaf, self.levels)
+            x = np.empty((*node.shape, 4), np.float32)
+            for c, (context, logits) in enumerate(zip(inner, model["rest"])):
+                x[:, :, c] = logits.take(_rest_slot(context[:, None], node))
+            d.x.view(np.complex128).ravel()[at] = x.view(np.complex128).ravel()
+            d.bit[at] = ((leaf[:, None] >> level.astype(np.uint64)) & np.uint64(1)).astype(np.float32).ravel()
+            mine = lane[rest][:, None]
+            d.cell[at] = (mine * self.cells + self.n_nodes + (level << REST_CELL_BITS) + (node >> np.uint64(64 - REST_CELL_BITS)).view(np.int64)).ravel()
+            d.gate[at] = (mine * self.gates + self.depth + level).ravel()
+        return d, size
+
+    def code(self, cuts: list[tuple[int, int]], group: np.ndarray, outer: tuple, rest: np.ndarray, leaf: np.ndarray, inner: tuple) -> np.ndarray:
+        """Natural log probability of the coded part of each token; `cuts` are the texts, `rest` the tokens with a leaf."""
+        out = np.zeros(len(group))
+        place = np.full(len(group), -1, np.int64)
+        place[rest] = np.arange(len(rest))
+        cuts = sorted((c for c in cuts if c[1] > c[0]), key=lambda c: c[0] - c[1])  # longest first: those that still run are a prefix
+        for low in range(0, len(cuts), LANES):
+            start, end = np.array(cuts[low : low + LANES], np.int64).T
+            length = end - start
+            weights = np.full((len(start) * self.gates, 4), START_WEIGHT, np.float32)
+            weights[:, 3] = 0.15
+            state = np.zeros((len(start) * self.cells, 2), np.float32)
+            running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+            upto = np.concatenate([[0], np.cumsum(running)])
+            step = 0
+            while step < len(running):
+                # Tokens of some steps, step by step; logits and places of all their decisions at once.
+                last = max(step + 1, int(np.searchsorted(upto, upto[step] + STEP_TOKENS, side="right")) - 1)
+                many = running[step:last]
+                first = upto[step : last + 1] - upto[step]
+                lane = np.arange(first[-1]) - np.repeat(first[:-1], many)
+                token = start[lane] + np.repeat(np.arange(step, last), many)
+                with_leaf = place[token]
+                own = np.flatnonzero(with_leaf >= 0)
+                which = with_leaf[own]
+                d, size = self.decisions(lane, group[token], tuple(c[token] for c in outer), own, leaf[which], tuple(c[which] for c in inner))
+                ends = np.concatenate([[0], np.cumsum(size)])
+                probability = _refined(d, ends[first].tolist(), weights, state)
+                some = np.flatnonzero(size)
+                if len(some):
+                    out[token[some]] = np.log(np.multiply.reduceat(probability, ends[some], dtype=np.float64))
+                step = last
+        return out
+
+
+def _refined(d: Decisions, steps: list[int], weights: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Probability of each decision; `weights` and `state` (adapting logit, times used) are refined after every token of a text."""
+    probability = np.empty(len(d.bit), np.float32)
+    # Rows of four and of two 32-bit numbers as one number each, so that a row is read and written at once.
+    weight_rows, state_rows = weights.view(np.complex128).ravel(), state.view(np.complex64).ravel()
+    one, rate, most = np.float32(1), np.float32(RATE), np.float32(250)
+    for low, high in zip(steps[:-1], steps[1:]):
+        if low == high:
+            continue
+        x, bit, cell, gate = d.x[low:high], d.bit[low:high], d.cell[low:high], d.gate[low:high]
+        n = high - low
+        now = state_rows.take(cell).view(np.float32).reshape(n, 2)
+        own, times = now[:, 0], now[:, 1]
+        # An adapting cell that was not used starts as the node's logit.
+        np.copyto(own, x[:, 0], where=times == 0)
+        x[:, 3] = own
+        w = weight_rows.take(gate).view(np.float32).reshape(n, 4)
+        z = w * x
+        logit = np.empty((2, n), np.float32)
+        np.add(z[:, 0] + z[:, 1], z[:, 2] + z[:, 3], out=logit[0])
+        logit[1] = own
+        np.minimum(logit, np.float32(12), out=logit)
+        np.maximum(logit, np.float32(-12), out=logit)
+        np.negative(logit, out=logit)
+        np.exp(logit, out=logit)
+        logit += one
+        np.divide(one, logit, out=logit)
+        error = bit - logit
+        np.subtract(one, np.abs(error[0]), out=probability[low:high])
+        # Gradient of the coding cost.
+        x *= (rate * error[0])[:, None]
+        w += x
+        weight_rows[gate] = w.view(np.complex128).ravel()
+        # The adapting predictor moves by its own error, less as it has seen more.
+        own += error[1] * (np.float32(4) / (times + np.float32(3)))
+        np.minimum(own, np.float32(8), out=own)
+        np.maximum(own, np.float32(-8), out=own)
+        np.minimum(times, most, out=times)
+        times += one
+        state_rows[cell] = now.view(np.complex64).ravel()
+    return probability
+
+
+_NOTHING = np.zeros(0, np.int64)
 
 
 def mixed_rest(leaf: np.ndarray, contexts: tuple[np.ndarray, ...], cuts: list[tuple[int, int]], model: dict) -> np.ndarray:
     """Natural log probability of the hash bits of each token within its group; cuts are the texts."""
-    out = np.zeros(len(leaf))
-    depth, tables = model["rest_bits"], model["rest"]
-    shift = np.uint64(64 - REST_CELL_BITS)
-    cells = 1 << REST_CELL_BITS
-    cuts = sorted((c for c in cuts if c[1] > c[0]), key=lambda c: c[0] - c[1])
-    for low in range(0, len(cuts), LANES):
-        start, length = np.array(cuts[low : low + LANES]).T
-        length = length - start
-        weights = np.full((depth, 4, len(start)), START_WEIGHT, np.float32)
-        weights[:, 3] = 0.15
-        adapting, seen = np.zeros(len(start) * cells, np.float32), np.zeros(len(start) * cells, np.uint8)
-        for step in range(int(length.max())):
-            running = int(np.searchsorted(-length, -step, side="left"))
-            if running <= NARROW:
-                for lane in range(running):
-                    span = slice(int(start[lane]) + step, int(start[lane] + length[lane]))
-                    here = leaf[span]
-                    node = np.stack([_rest_node(here, k) for k in range(depth)], axis=1)
-                    bit = np.stack([(here >> np.uint64(k)) & np.uint64(1) for k in range(depth)], axis=1).astype(np.int8)
-                    x = [t[_rest_slot(c[span, None], node)].ravel() for t, c in zip(tables, contexts)]
-                    mine = slice(lane * cells, (lane + 1) * cells)
-                    p = _alone(x, bit.ravel(), (node >> shift).ravel(), np.tile(np.arange(depth), len(here)), weights[:, :, lane], adapting[mine], seen[mine])
-                    out[span] = np.log(p).reshape(-1, depth).sum(axis=1)
-                break
-            at = start[:running] + step
-            here, before = leaf[at], [c[at] for c in contexts]
-            probability = np.ones(running)
-            base = np.arange(running) * cells
-            for k in range(depth):
-                node = _rest_node(here, k)
-                bit = ((here >> np.uint64(k)) & np.uint64(1)).astype(np.float32)
-                cell = base + (node >> shift).view(np.int64)
-                times = seen.take(cell)
-                x = np.empty((4, running), np.float32)
-                for t, c, line in zip(tables, before, x):
-                    t.take(_rest_slot(c, node), out=line, mode="clip")
-                x[3] = np.where(times > 0, adapting.take(cell), x[0])
-                p, adapting[cell] = _step(weights[k, :, :running], x, bit, times)
-                probability *= p
-                seen[cell] = np.minimum(times, 250) + np.uint8(1)
-            out[at] = np.log(probability)
-    return out
+    only = {k: v for k, v in model.items() if k != "logits"}
+    return Mixer(only).code(cuts, np.zeros(len(leaf), np.int32), (), np.arange(len(leaf)), leaf, contexts)
 
 
 def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts: list[tuple[int, int]], model: dict) -> np.ndarray:
     """Natural log probability of the group of each token; cuts are the texts."""
-    out = np.zeros(len(group))
-    ones, n_nodes, depth = model["ones"], len(model["ones"]), model["nodes"].shape[1]
-    table1, table2 = model["logits"]
-    nodes, bits = np.ascontiguousarray(model["nodes"].T), np.ascontiguousarray(model["bits"].T.astype(np.float32))
-    scrambled = np.arange(n_nodes, dtype=np.uint64) * _NODE
-    cuts = sorted(cuts, key=lambda c: c[0] - c[1])  # longest first: those that still run are a prefix
-    for low in range(0, len(cuts), LANES):
-        lanes = cuts[low : low + LANES]
-        start, length = np.array([a for a, _ in lanes]), np.array([b - a for a, b in lanes])
-        weights = np.full((depth, 4, len(lanes)), START_WEIGHT, np.float32)
-        weights[:, 3] = 0.15
-        adapting = np.tile(ones, len(lanes))
-        seen = np.zeros(len(adapting), np.uint8)
-        for step in range(int(length.max())):
-            running = int(np.searchsorted(-length, -step, side="left"))
-            if running <= NARROW:
-                for lane in range(running):
-                    span = np.arange(start[lane] + step, start[lane] + length[lane])
-                    deep = model["length"][group[span]]
-                    which = np.repeat(np.arange(len(span)), deep)
-                    level = np.arange(len(which)) - np.repeat(np.cumsum(deep) - deep, deep)
-                    node, bit = model["nodes"][group[span][which], level], model["bits"][group[span][which], level]
-                    x = [ones[node], table1[_slot(contexts[0][span][which], scrambled[node])], table2[_slot(contexts[1][span][which], scrambled[node])]]
-                    mine = slice(lane * n_nodes, (lane + 1) * n_nodes)
-                    p = _alone(x, bit, node, level, weights[:, :, lane], adapting[mine], seen[mine])
-                    out[span] = np.bincount(which, np.log(p), len(span))
-                break
-            at = start[:running] + step
-            g = group[at]
-            deep = model["length"][g]
-            c1, c2 = contexts[0][at], contexts[1][at]
-            probability = np.ones(running)
-            for j in range(int(deep.max(initial=0))):
-                lane = np.flatnonzero(deep > j)
-                here = g.take(lane)
-                node, bit = nodes[j].take(here), bits[j].take(here)
-                hashed, cell = scrambled.take(node), lane * n_nodes + node
-                own, times = adapting.take(cell), seen.take(cell)
-                w = weights[j].take(lane, axis=1)
-                x = np.empty((4, len(lane)), np.float32)
-                ones.take(node, out=x[0], mode="clip")
-                table1.take(_slot(c1.take(lane), hashed), out=x[1], mode="clip")
-                table2.take(_slot(c2.take(lane), hashed), out=x[2], mode="clip")
-                x[3] = own
-                p, adapting[cell] = _step(w, x, bit, times)
-                probability[lane] *= p
-                weights[j][:, lane] = w
-                seen[cell] = np.minimum(times, 250) + np.uint8(1)
-            out[at] = np.log(probability)
-    return out
+    only = {k: v for k, v in model.items() if k != "rest"}
+    return Mixer(only).code(cuts, group, contexts, _NOTHING, _NOTHING.view(np.uint64), ())
 
 
 def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.DataFrame:
@@ -505,10 +540,8 @@ def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.Data
     # Tokens of one leaf share it by count, with room for unknown ones.
     inner = np.zeros(len(group))
     inner[rest] = np.log((count[rest] + SMOOTHING) / (total + SMOOTHING * (types + 1)))
-    first = np.searchsorted(rest, b.first)
-    inner[rest] += mixed_rest(leaf, tuple(c[rest] for c in _word_contexts(b)), list(zip(first[:-1].tolist(), first[1:].tolist())), model)
     cuts = list(zip(b.first[:-1].tolist(), b.first[1:].tolist()))
-    outer = mixed_bits(group, _contexts(group, b.first), cuts, model)
+    outer = Mixer(model).code(cuts, group, _contexts(group, b.first), rest, leaf, tuple(c[rest] for c in _word_contexts(b)))
     score = np.bincount(b.doc, inner + outer, n) / math.log(10)
     size = rows["bytes"].to_numpy()
     return pd.DataFrame({
@@ -526,12 +559,9 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts_by_block(docs)
     total = texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    # A power of two: buckets go by low bits of the hash, of which a leaf has some more.
-    bucket_bits = max(4, math.ceil(math.log2(max(1, total / 25_000_000))))
-    rest_bits = max(12, bucket_bits + 8)
-    summed = cut_lineage(_summed(_block_tokens(texts, 1 << bucket_bits), rest_bits))
+    summed = cut_lineage(_summed(_block_tokens(texts, max(16, math.ceil(total / 25_000_000))), REST_BITS))
     model = _group_statistics(summed)
-    model["rest_bits"] = rest_bits
+    model["rest_bits"] = REST_BITS
     model |= _huffman(model["total"])
     counts, rest = _context_counts(texts, spark.sparkContext.broadcast(model))
     # Slots of few counts say little: their logits are drawn to none.

@@ -227,18 +227,119 @@ def test_context_mixing(spark, texts, edge, empty):
     assert context_mixing.score(empty).count() == 0
 
 
-def test_mixed_rest_is_a_distribution(monkeypatch):
+def test_mixed_rest_is_a_distribution():
     rng = np.random.default_rng(2)
     model = {"rest_bits": 5, "rest": rng.normal(0, 1, (3, 1 << context_mixing.REST_SLOT_BITS)).astype(np.float32)}
     history = (np.uint64(7) << np.uint64(32)) | rng.integers(0, 32, 600).astype(np.uint64)
     contexts = tuple(rng.integers(0, 2**63, 601).astype(np.uint64) for _ in range(3))
-    found = []
-    for narrow in (0, 12):  # side by side and alone
-        monkeypatch.setattr(context_mixing, "NARROW", narrow)
-        ends = [(np.uint64(7) << np.uint64(32)) | np.uint64(x) for x in range(32)]
-        found.append([context_mixing.mixed_rest(np.append(history, x), contexts, [(0, 601)], model)[-1] for x in ends])
-        assert np.exp(found[-1]).sum() == pytest.approx(1, rel=1e-4)
-    assert found[0] == pytest.approx(found[1], rel=1e-3)
+    ends = [(np.uint64(7) << np.uint64(32)) | np.uint64(x) for x in range(32)]
+    found = [context_mixing.mixed_rest(np.append(history, x), contexts, [(0, 601)], model)[-1] for x in ends]
+    assert np.exp(found).sum() == pytest.approx(1, rel=1e-4)
+
+
+def plain_scores(rows):
+    """Scores of (doc_id, text) by one loop over decisions, one after the other, in 64-bit numbers."""
+    mask = (1 << 64) - 1
+    coded, count = [], collections.Counter()
+    for i, text in rows:
+        words = split(text)
+        hashes = [int(arrays.word_hash(w)) for w in words] + [int(context_mixing._END)]
+        coded.append((i, hashes))
+    suffix = {int(context_mixing._END): 0}
+    for _, text in rows:
+        b = context_mixing.Block([text.encode()])
+        suffix.update({int(h): int(x) for h, x in zip(b.hash, b.suffix) if int(h) != int(context_mixing._END)})
+    train = [(i, h) for i, h in coded if zlib.crc32(str(i).encode()) % 10]
+    for _, hashes in train:
+        count.update(hashes)
+    n = sum(count.values())
+    often = sorted({h for h, c in count.items() if c >= max(1, math.ceil(n / 1024))} | {int(context_mixing._END)})
+    total = [0] * context_mixing.GROUPS + [count[h] for h in often]
+    for h, c in count.items():
+        if h not in often:
+            total[suffix[h]] += c
+    tree = context_mixing._huffman(np.array(total, float))
+    group = {h: context_mixing.GROUPS + often.index(h) if h in often else suffix[h] for h in suffix}
+    mix = lambda x: int(arrays.mix(np.array([x & mask], np.uint64))[0])
+    scramble = int(context_mixing._NODE)
+
+    def decisions(hashes):
+        """For each token (kind, node, level, bit, slots) of each decision."""
+        for at, h in enumerate(hashes):
+            g1, g2 = (group[hashes[at - j]] + 1 if at >= j else 0 for j in (1, 2))
+            w1, w2 = (hashes[at - j] if at >= j else 0 for j in (1, 2))
+            outer = [mix(g1 + (1 << 20)), mix(g1 * 4099 + g2 + (1 << 40))]
+            inner = [0, mix(w1 + 1), mix(w1 * 4099 + mix((w2 if at >= 2 else 0) + 2))]
+            g = group[h]
+            out = []
+            for level in range(tree["length"][g]):
+                node = int(tree["nodes"][g, level])
+                slots = [((c + node * scramble) & mask) >> (64 - context_mixing.SLOT_BITS) for c in outer]
+                out.append(("group", node, level, int(tree["bits"][g, level]), slots))
+            if g < context_mixing.GROUPS:
+                for level in range(context_mixing.REST_BITS):
+                    node = (((g << 32) | (1 << level) | (h & ((1 << level) - 1))) * scramble) & mask
+                    slots = [((c + node) & mask) >> (64 - context_mixing.REST_SLOT_BITS) for c in inner]
+                    cell = (level, node >> (64 - context_mixing.REST_CELL_BITS))
+                    out.append(("bits", cell, level, h >> level & 1, slots))
+            yield h, g, out
+
+    table = collections.Counter()
+    for _, hashes in train:
+        for _, _, path in decisions(hashes):
+            for kind, _, _, bit, slots in path:
+                table.update((kind, c, s, bit) for c, s in enumerate(slots))
+    logit = lambda kind, c, s: math.log((table[kind, c, s, 1] + 0.4) / (table[kind, c, s, 0] + 0.4))
+    leaf = lambda h: (suffix[h], h & ((1 << context_mixing.REST_BITS) - 1))
+    scores = {}
+    for i, hashes in coded:
+        weights, own, times, score = {}, {}, collections.Counter(), 0.0
+        for h, g, path in decisions(hashes):
+            for kind, cell, level, bit, slots in path:
+                x = [float(tree["ones"][cell])] if kind == "group" else []
+                x += [logit(kind, c, s) for c, s in enumerate(slots)]
+                x.append(own.get((kind, cell), x[0]))
+                w = weights.setdefault((kind, level), [0.35, 0.35, 0.35, 0.15])
+                p = 1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(w, x)), -12), 12)))
+                score += math.log(p if bit else 1 - p)
+                for k in range(4):
+                    w[k] += 0.02 * (bit - p) * x[k]
+                pace = 4 / (times[kind, cell] + 3)
+                own[kind, cell] = min(max(x[3] + (bit - 1 / (1 + math.exp(-x[3]))) * pace, -8), 8)
+                times[kind, cell] = min(times[kind, cell], 250) + 1
+            if g < context_mixing.GROUPS:
+                same = [t for t in count if t not in often and leaf(t) == leaf(h)]
+                score += math.log((count[h] + 0.1) / (sum(count[t] for t in same) + 0.1 * (len(same) + 1)))
+        scores[i] = score / math.log(10)
+    return scores
+
+
+def test_scores_against_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "kuvwxyz" for b in range(300)]
+    rows = [(i, " ".join(words[j] for j in rng.zipf(1.3, rng.integers(0, 90)) % len(words))) for i in range(60)]
+    got = {r["doc_id"]: r["score"] for r in context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = plain_scores(rows)
+    assert len(got) == 60 and all(got[i] == pytest.approx(plain[i], rel=1e-4, abs=1e-4) for i in plain)
+
+
+def test_score_of_a_text_is_the_same_beside_others():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x}q" for x in rng.integers(0, 400, n)).encode() for n in (700, 3, 0, 90, 91, 92, 5)]
+    b = context_mixing.Block(texts)
+    model = context_mixing._huffman(np.append(np.bincount(b.suffix, minlength=context_mixing.GROUPS), 7))
+    model |= {"frequent": np.array([context_mixing._END]), "rest_bits": context_mixing.REST_BITS}
+    model["logits"] = rng.normal(0, 1, (2, 1 << context_mixing.SLOT_BITS)).astype(np.float32)
+    model["rest"] = rng.normal(0, 1, (3, 1 << context_mixing.REST_SLOT_BITS)).astype(np.float32)
+    cuts = list(zip(b.first[:-1].tolist(), b.first[1:].tolist()))
+    group = context_mixing._groups_of(b, model)
+    rest = np.flatnonzero(group < context_mixing.GROUPS)
+    leaf = context_mixing._leaf(group[rest], b.hash[rest], context_mixing.REST_BITS)
+    contexts = context_mixing._contexts(group, b.first), tuple(c[rest] for c in context_mixing._word_contexts(b))
+    together = context_mixing.Mixer(model).code(cuts, group, contexts[0], rest, leaf, contexts[1])
+    for low, high in cuts:
+        alone = context_mixing.Mixer(model).code([(low, high)], group, contexts[0], rest, leaf, contexts[1])
+        assert np.array_equal(alone[low:high], together[low:high])
 
 
 def test_mixing_of_rare_words(spark):
