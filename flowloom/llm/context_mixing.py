@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,12 @@ REST_SLOT_BITS = 21
 REST_BITS = 12  # hash bits of a token that are coded within its hashed group
 REST_CELL_BITS = 7  # cells of the adapting predictor of each hash bit, for each text
 LANES = 4096  # texts side by side
-STEP_TOKENS = 8192  # tokens whose logits are looked up at once
+STEP_TOKENS = 32768  # tokens whose logits are looked up at once
 SMOOTHING = 0.1
 RATE = 0.02
 START_WEIGHT = 0.35
 BLOCK_BYTES = 4_000_000
+TABLE_BYTES = 100_000_000  # texts for which a task sends one set of context tables
 WORK_BYTES = 1_000_000  # what a task has as arrays at once
 _END = np.uint64(0x2545F4914F6CDD1D)  # hash of the end token
 
@@ -89,66 +91,83 @@ class Block:
         self.first = np.concatenate([[0], ends + 1])
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Block]]:
-    texts = arrays.byte_list(batch["text"])
-    for low, high in arrays.pieces(texts, WORK_BYTES):
-        yield low, high, Block(texts[low:high])
+def _packed(rows: list[pa.RecordBatch]) -> bytes:
+    """Rows of a block as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in rows:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows_of(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def _texts_by_block(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, bytes, train, text): texts in blocks of bounded bytes, written once so that blocks are fixed."""
+    """(block, bytes, data): texts in blocks of bounded bytes, one compressed row each, written once so that blocks are fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, size = TaskContext.get().partitionId(), 0, 0
+        part, count, size, rows = TaskContext.get().partitionId(), 0, 0, []
+
+        def block() -> pa.RecordBatch:
+            n = sum(pc.sum(r["bytes"]).as_py() for r in rows)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + count], pa.int64()), pa.array([n], pa.int64()), pa.array([_packed(rows)], pa.binary())], ["block", "bytes", "data"])
+
         for batch in batches:
-            block = []
-            for n in batch["bytes"].to_pylist():
+            low = 0
+            for i, n in enumerate(batch["bytes"].to_pylist()):
                 if size and size + n > BLOCK_BYTES:
-                    count, size = count + 1, 0
+                    if i > low:
+                        rows.append(batch.slice(low, i - low))
+                    yield block()
+                    low, count, size, rows = i, count + 1, 0, []
                 size += n + 1
-                block.append((part << 32) + count)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch["doc_id"], batch["bytes"], batch["train"], batch["text"]], ["block", "doc_id", "bytes", "train", "text"])
+            if batch.num_rows > low:
+                rows.append(batch.slice(low))
+        if rows:
+            yield block()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
         (~held_out(F.col("doc_id"))).alias("train"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return cut_lineage(rows.mapInArrow(run, "block long, doc_id long, bytes long, train boolean, text string"))
+    return cut_lineage(rows.mapInArrow(run, "block long, bytes long, data binary"))
+
+
+def _distinct(b: Block, buckets: int) -> tuple[np.ndarray, ...]:
+    """Distinct tokens of a block: hash, suffix, place of each token among them, and for each bucket in use which they are.
+
+    Buckets go by leaf, so that a bucket has all tokens of its leaves.
+    """
+    hashes, first, inverse = np.unique(b.hash, return_index=True, return_inverse=True)
+    suffix = b.suffix[first]
+    to = (arrays.mix(_leaf(suffix, hashes, REST_BITS)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    used, cut = np.unique(to[order], return_index=True)
+    return hashes, suffix, inverse, dict(zip(used.tolist(), np.split(order, cut[1:])))
 
 
 def _block_tokens(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, hashes, suffixes, counts): distinct tokens of each block with their training counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(block: int, rows: list[tuple[bytes, bool]]) -> pa.RecordBatch:
-            b = Block([t for t, _ in rows])
-            train = np.array([t for _, t in rows])[b.doc]
-            hashes, first, inverse = np.unique(b.hash, return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, train, len(hashes)).astype("<i4")
-            suffix = b.suffix[first].astype("<i2")
-            # By leaf, so that a bucket has all tokens of its leaves.
-            to = (arrays.mix(_leaf(suffix, hashes, REST_BITS)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            used, cut = np.unique(to[order], return_index=True)
-            parts = np.split(order, cut[1:])
-            return pa.RecordBatch.from_pydict(
-                {"bucket": used, "block": [block] * len(used), "hashes": [hashes[p].tobytes() for p in parts], "suffixes": [suffix[p].tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]},
-                schema=_TOKENS,
-            )
-
-        now, rows = None, []
         for batch in batches:
-            for block, text, train in zip(batch["block"].to_pylist(), arrays.byte_list(batch["text"]), batch["train"].to_pylist()):
-                if block != now and rows:
-                    yield packed(now, rows)
-                    rows = []
-                now = block
-                rows.append((text, train))
-        if rows:
-            yield packed(now, rows)
+            for block, data in zip(batch["block"].to_pylist(), batch["data"]):
+                rows = _rows_of(data.as_py())
+                b = Block(arrays.byte_list(rows["text"]))
+                hashes, suffix, inverse, parts = _distinct(b, buckets)
+                counts = np.bincount(inverse, np.array(rows["train"].to_pylist())[b.doc], len(hashes)).astype("<i4")
+                suffix = suffix.astype("<i2")
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": list(parts), "block": [block] * len(parts), "hashes": [hashes[p].tobytes() for p in parts.values()],
+                        "suffixes": [suffix[p].tobytes() for p in parts.values()], "counts": [counts[p].tobytes() for p in parts.values()],
+                    },
+                    schema=_TOKENS,
+                )
 
-    # A block cut by a file split sends its tokens twice with partial counts; sums are the same.
-    return texts.select("block", "train", "text").mapInArrow(run, "bucket long, block long, hashes binary, suffixes binary, counts binary")
+    return texts.select("block", "data").mapInArrow(run, "bucket long, block long, hashes binary, suffixes binary, counts binary")
 
 
 _TOKENS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
@@ -159,8 +178,12 @@ def _leaf(suffix: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (suffix.astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64((1 << bits) - 1))
 
 
+_COUNTS = np.dtype([("total", "<i8"), ("others", "<i8"), ("types", "<i4")])
+
+
 def _summed(tokens: DataFrame, bits: int) -> DataFrame:
-    """Per bucket the summed counts for each block (kind 0) and, once, all tokens of the bucket (kind 1).
+    """(block, bucket, data): per bucket the summed counts for each block, in the block's order, and, once, with
+    block -1, its `_statistics`.
 
     A bucket is given by a hash of the leaf, so it has all tokens that share a leaf: `others` is the count
     of the other tokens of each token's leaf and `types` the number of its tokens.
@@ -171,17 +194,29 @@ def _summed(tokens: DataFrame, bits: int) -> DataFrame:
         counts = np.concatenate([np.frombuffer(c, "<i4") for c in rows["counts"]])
         suffix = np.concatenate([np.frombuffer(s, "<i2") for s in rows["suffixes"]])
         hashes, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, counts).astype("<i8")
+        suffix = suffix[first].astype(np.int64)
+        found = np.zeros(len(hashes), _COUNTS)
+        found["total"] = np.bincount(inverse, counts)
+        _, of = np.unique(_leaf(suffix, hashes, bits), return_inverse=True)
+        found["others"] = np.bincount(of, found["total"])[of] - found["total"]
+        found["types"] = np.bincount(of, found["total"] > 0)[of]
         cut = np.cumsum([len(p) for p in parts])[:-1]
-        _, of = np.unique(_leaf(suffix[first], hashes, bits), return_inverse=True)
-        others = (np.bincount(of, total)[of] - total).astype("<i8")
-        types = np.bincount(of, total > 0)[of].astype("<i4")
-        out = [(0, int(b), p.tobytes(), total[i].tobytes(), others[i].tobytes(), types[i].tobytes()) for b, p, i in zip(rows["block"], parts, np.split(inverse, cut))]
-        known = total > 0
-        out.append((1, 0, np.stack([hashes[known], suffix[first][known].astype(np.uint64)]).tobytes(), total[known].tobytes(), b"", b""))
-        return pd.DataFrame(out, columns=["kind", "block", "hashes", "counts", "others", "types"])
+        bucket = int(rows["bucket"].iloc[0])
+        out = [(int(b), bucket, pa.compress(b"".join(found[name][i].tobytes() for name in _COUNTS.names), "zstd", asbytes=True)) for b, i in zip(rows["block"], np.split(inverse, cut))]
+        out.append((-1, bucket, _statistics(hashes, suffix, found["total"])))
+        return pd.DataFrame(out, columns=["block", "bucket", "data"])
+
+    return tokens.groupBy("bucket").applyInPandas(run, "block long, bucket long, data binary")
 
-    return tokens.groupBy("bucket").applyInPandas(run, "kind int, block long, hashes binary, counts binary, others binary, types binary")
+
+def _statistics(hashes: np.ndarray, suffix: np.ndarray, total: np.ndarray) -> bytes:
+    """Tokens and kinds of tokens of a bucket, the same for each hashed group, and hash, suffix and count of
+    all that may be frequent: who has a share of all tokens has it of the bucket's too."""
+    known = total > 0
+    may = known & ((total >= total.sum() * FREQUENT) | (hashes == _END))
+    sums = np.bincount(suffix, total, GROUPS), np.bincount(suffix[known], minlength=GROUPS)
+    columns = [total.sum(), known.sum()], *sums, hashes[may].view(np.int64), suffix[may], total[may]
+    return b"".join(np.asarray(c).astype("<i8").tobytes() for c in columns)
 
 
 def _group_statistics(summed: DataFrame) -> dict:
@@ -189,26 +224,27 @@ def _group_statistics(summed: DataFrame) -> dict:
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int(np.frombuffer(c, "<i8").sum()) for c in batch["counts"].to_pylist()]
-            v = [len(c) // 8 for c in batch["counts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["n", "v"])
+            heads = np.array([np.frombuffer(x, "<i8", 2) for x in batch["data"].to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(heads[:, 0], pa.int64()), pa.array(heads[:, 1], pa.int64())], ["n", "v"])
 
-    whole = summed.where("kind = 1")
-    sums = whole.select("counts").mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    whole = summed.where("block = -1").select("data")
+    sums = whole.mapInArrow(totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     least = max(1, math.ceil(n * FREQUENT))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist()):
-                counts = np.frombuffer(c, "<i8")
-                hashes, suffix = np.frombuffer(h, np.uint64).reshape(2, -1)
-                often = (counts >= least) | (hashes == _END)
-                g = suffix[~often].astype(np.int64)
-                total, types = np.bincount(g, counts[~often], GROUPS), np.bincount(g, minlength=GROUPS)
-                keys = [*np.arange(GROUPS), *hashes[often].astype(np.int64)]
+            for data in batch["data"].to_pylist():
+                x = np.frombuffer(data, "<i8")[2:]
+                total, types = x[:GROUPS].copy(), x[GROUPS : 2 * GROUPS].copy()
+                hashes, suffix, counts = x[2 * GROUPS :].reshape(3, -1)
+                often = (counts >= least) | (hashes.view(np.uint64) == _END)
+                # The frequent ones are no part of a hashed group.
+                np.subtract.at(total, suffix[often], counts[often])
+                np.subtract.at(types, suffix[often], 1)
+                keys = [*np.arange(GROUPS), *hashes[often]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([False] * GROUPS + [True] * int(often.sum())), pa.array(keys, pa.int64()), pa.array([*total.astype(np.int64), *counts[often]], pa.int64()), pa.array([*types, *[1] * int(often.sum())], pa.int64()), pa.array([*[0] * GROUPS, *suffix[often].astype(np.int64)], pa.int64())],
+                    [pa.array([False] * GROUPS + [True] * int(often.sum())), pa.array(keys, pa.int64()), pa.array([*total, *counts[often]], pa.int64()), pa.array([*types, *[1] * int(often.sum())], pa.int64()), pa.array([*[0] * GROUPS, *suffix[often]], pa.int64())],
                     ["frequent", "key", "n", "types", "suffix"],
                 )
 
@@ -282,23 +318,17 @@ def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((context + node) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
-def _word_contexts(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of no word, the word before and the two words before; nothing reaches across texts."""
+def _word_contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word before and the two words before; nothing reaches across texts."""
     before = np.concatenate([np.zeros(1, np.uint64), b.hash[:-1]])
     before[b.first[:-1]] = 0
     two = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
     two[b.first[:-1]] = 0
-    return np.zeros(len(before), np.uint64), arrays.mix(before + np.uint64(1)), arrays.mix(before * np.uint64(4099) + arrays.mix(two + np.uint64(2)))
-
-
-def _rest_node(leaf: np.ndarray, level: int) -> np.ndarray:
-    """Scrambled node of each leaf's path at a level: the group, the level and the bits before it."""
-    prefix = leaf & np.uint64((1 << level) - 1)
-    return ((leaf >> np.uint64(32) << np.uint64(32)) | np.uint64(1 << level) | prefix) * _NODE
+    return arrays.mix(before + np.uint64(1)), arrays.mix(before * np.uint64(4099) + arrays.mix(two + np.uint64(2)))
 
 
 def _rest_nodes(leaf: np.ndarray, levels: int) -> np.ndarray:
-    """`_rest_node` of all levels, [leaf, level]."""
+    """Scrambled nodes [leaf, level] of each leaf's path: the group, the level and the bits before it."""
     below = np.uint64(1) << np.arange(levels, dtype=np.uint64)
     return ((leaf >> np.uint64(32) << np.uint64(32))[:, None] | below | (leaf[:, None] & (below - np.uint64(1)))) * _NODE
 
@@ -307,7 +337,14 @@ def _rest_slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((context + node) >> np.uint64(64 - REST_SLOT_BITS)).view(np.int64)
 
 
-def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+def _training_blocks(data: bytes) -> Iterator[Block]:
+    rows = _rows_of(data)
+    texts = arrays.byte_list(rows.filter(rows["train"])["text"])
+    for low, high in arrays.pieces(texts, WORK_BYTES):
+        yield Block(texts[low:high])
+
+
+def _context_counts(texts: DataFrame, parts: int, shared) -> tuple[np.ndarray, np.ndarray]:
     """Counts [context, bit, slot] of the decisions of all training texts, of groups and of hash bits; tables of fixed size."""
     slots, rest_slots = 1 << SLOT_BITS, 1 << REST_SLOT_BITS
     chunk = 1 << 14
@@ -317,7 +354,7 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         scrambled = model["nodes"].ravel().astype(np.uint64) * _NODE
         counts, one = np.zeros(4 * slots + 6 * rest_slots, np.uint32), np.uint32(1)
         for batch in batches:
-            for _, _, b in _blocks(batch):
+            for b in (b for data in batch["data"] for b in _training_blocks(data.as_py())):
                 group = _groups_of(b, model)
                 contexts = _contexts(group, b.first)
                 # All decisions of the block at once: each token as often as its path is long.
@@ -331,9 +368,14 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
                 rest = np.flatnonzero(group < GROUPS)
                 leaf = _leaf(group[rest], b.hash[rest], model["rest_bits"])
                 levels = np.arange(model["rest_bits"], dtype=np.uint64)
-                node = _rest_nodes(leaf, model["rest_bits"])
-                bit = ((leaf[:, None] >> levels) & np.uint64(1)).astype(np.int64) * rest_slots
-                for c, context in enumerate(_word_contexts(b)):
+                distinct, which, times = np.unique(leaf, return_inverse=True, return_counts=True)
+                node = _rest_nodes(distinct, len(levels))
+                bit = ((distinct[:, None] >> levels) & np.uint64(1)).astype(np.int64) * rest_slots
+                # The leaf alone: each distinct one as often as it is there.
+                own = counts[4 * slots : 4 * slots + 2 * rest_slots]
+                np.add.at(own, (bit + _rest_slot(np.uint64(0), node)).ravel(), np.repeat(times.astype(np.uint32), len(levels)))
+                node, bit = node[which], bit[which]
+                for c, context in enumerate(_word_contexts(b), 1):
                     low = 4 * slots + 2 * c * rest_slots
                     np.add.at(counts[low : low + 2 * rest_slots], (bit + _rest_slot(context[rest][:, None], node)).ravel(), one)
         ranges = counts.reshape(-1, chunk)
@@ -344,7 +386,8 @@ def _context_counts(texts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
         total = sum(np.frombuffer(zlib.decompress(c), "<u4").astype("<i8") for c in rows["counts"])
         return pd.DataFrame({"range": [rows["range"].iloc[0]], "counts": [total.astype("<f4").tobytes()]})
 
-    found = texts.where("train").select("text").mapInArrow(run, "range int, counts binary").groupBy("range").applyInPandas(add, "range int, counts binary")
+    # Few tasks, as each sends its tables.
+    found = texts.select("data").coalesce(parts).mapInArrow(run, "range int, counts binary").groupBy("range").applyInPandas(add, "range int, counts binary")
     counts = np.zeros(((4 * slots + 6 * rest_slots) // chunk, chunk), np.float32)
     for r in found.toLocalIterator():  # 4 * 2^SLOT_BITS + 6 * 2^REST_SLOT_BITS numbers in all
         counts[r["range"]] = np.frombuffer(r["counts"], "<f4")
@@ -384,8 +427,20 @@ class Mixer:
         self.gates = self.depth + self.levels
         self.cells = self.n_nodes + (self.levels << REST_CELL_BITS)
 
+    def leaves(self, leaf: np.ndarray) -> np.ndarray:
+        """Tables of what each distinct leaf brings to its decisions, and the place of each leaf in them."""
+        distinct, which = np.unique(leaf, return_inverse=True)
+        level = np.arange(self.levels, dtype=np.uint64)
+        self.leaf_node = _rest_nodes(distinct, self.levels)
+        self.leaf_x = self.model["rest"][0].take(_rest_slot(np.uint64(0), self.leaf_node))
+        self.leaf_bit = ((distinct[:, None] >> level) & np.uint64(1)).astype(np.float32)
+        hashed = (self.leaf_node >> np.uint64(64 - REST_CELL_BITS)).view(np.int64)
+        self.leaf_cell = self.n_nodes + (level.view(np.int64) << REST_CELL_BITS) + hashed
+        return which
+
     def decisions(self, lane: np.ndarray, group: np.ndarray, outer: tuple, rest: np.ndarray, leaf: np.ndarray, inner: tuple) -> tuple[Decisions, np.ndarray]:
-        """Decisions of tokens in order, and how many each token has; `rest` are the tokens that `leaf` and `inner` are of."""
+        """Decisions of tokens in order, and how many each token has; `rest` are the tokens that `leaf`, a place in
+        the table of leaves, and `inner` are of."""
         model, n = self.model, len(lane)
         deep = model["length"][group].astype(np.int64) if self.coded else np.zeros(n, np.int64)
         size = deep.copy()
@@ -410,20 +465,23 @@ class Mixer:
         if self.levels:
             level = np.arange(self.levels)
             at = ((start + deep)[rest][:, None] + level).ravel()
-            node = _rest_nodes(leaf, self.levels)
+            node = self.leaf_node[leaf]
             x = np.empty((*node.shape, 4), np.float32)
-            for c, (context, logits) in enumerate(zip(inner, model["rest"])):
-                x[:, :, c] = logits.take(_rest_slot(context[:, None], node))
+            x[:, :, 0] = self.leaf_x[leaf]
+            for c, (context, logits) in enumerate(zip(inner, model["rest"][1:])):
+                x[:, :, c + 1] = logits.take(_rest_slot(context[:, None], node))
             d.x.view(np.complex128).ravel()[at] = x.view(np.complex128).ravel()
-            d.bit[at] = ((leaf[:, None] >> level.astype(np.uint64)) & np.uint64(1)).astype(np.float32).ravel()
+            d.bit[at] = self.leaf_bit[leaf].ravel()
             mine = lane[rest][:, None]
-            d.cell[at] = (mine * self.cells + self.n_nodes + (level << REST_CELL_BITS) + (node >> np.uint64(64 - REST_CELL_BITS)).view(np.int64)).ravel()
+            d.cell[at] = (mine * self.cells + self.leaf_cell[leaf]).ravel()
             d.gate[at] = (mine * self.gates + self.depth + level).ravel()
         return d, size
 
     def code(self, cuts: list[tuple[int, int]], group: np.ndarray, outer: tuple, rest: np.ndarray, leaf: np.ndarray, inner: tuple) -> np.ndarray:
         """Natural log probability of the coded part of each token; `cuts` are the texts, `rest` the tokens with a leaf."""
         out = np.zeros(len(group))
+        if self.levels:
+            leaf = self.leaves(leaf)
         place = np.full(len(group), -1, np.int64)
         place[rest] = np.arange(len(rest))
         cuts = sorted((c for c in cuts if c[1] > c[0]), key=lambda c: c[0] - c[1])  # longest first: those that still run are a prefix
@@ -516,15 +574,17 @@ def mixed_bits(group: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], cuts:
 
 def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.DataFrame:
     """Scores of the texts of one block, given the counts of its tokens."""
-    b = Block([t.encode() for t in rows["text"]])
-    n = len(rows)
-    known_hash = np.concatenate([np.frombuffer(h, np.uint64) for h in words["hashes"]])
-    known_count = np.concatenate([np.frombuffer(c, "<i8") for c in words["counts"]])
-    order = np.argsort(known_hash)
-    place = order[np.searchsorted(known_hash[order], b.hash)]
-    count = known_count[place].astype(np.float64)
-    others = np.concatenate([np.frombuffer(c, "<i8") for c in words["others"]])[place].astype(np.float64)
-    types = np.concatenate([np.frombuffer(c, "<i4") for c in words["types"]])[place].astype(np.float64)
+    texts = _rows_of(rows["data"].iloc[0])
+    b = Block(arrays.byte_list(texts["text"]))
+    n = texts.num_rows
+    hashes, _, place, parts = _distinct(b, model["buckets"])
+    known = np.zeros(len(hashes), _COUNTS)
+    for bucket, data in zip(words["bucket"], words["data"]):
+        at = parts[bucket]
+        packed = pa.decompress(data, len(at) * _COUNTS.itemsize, "zstd", asbytes=True)
+        for name, low in zip(_COUNTS.names, (0, 8, 16)):
+            known[name][at] = np.frombuffer(packed, _COUNTS[name], len(at), low * len(at))
+    count, others, types = (known[name][place].astype(np.float64) for name in _COUNTS.names)
     tokens = np.diff(b.first)
     base = np.log10((count + 0.1) / (model["n"] + 0.1 * (model["v"] + 1)))
     group = _groups_of(b, model)
@@ -543,9 +603,9 @@ def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.Data
     cuts = list(zip(b.first[:-1].tolist(), b.first[1:].tolist()))
     outer = Mixer(model).code(cuts, group, _contexts(group, b.first), rest, leaf, tuple(c[rest] for c in _word_contexts(b)))
     score = np.bincount(b.doc, inner + outer, n) / math.log(10)
-    size = rows["bytes"].to_numpy()
+    size = texts["bytes"].to_numpy()
     return pd.DataFrame({
-        "doc_id": rows["doc_id"], "n_tokens": tokens, "n_known": np.bincount(b.doc, count > 0, n).astype(np.int64), "train_tokens": model["n"],
+        "doc_id": texts["doc_id"].to_pandas(types_mapper=pd.ArrowDtype).astype("Int64"), "n_tokens": tokens, "n_known": np.bincount(b.doc, count > 0, n).astype(np.int64), "train_tokens": model["n"],
         "base_score": np.bincount(b.doc, base, n), "score": score, "bits_per_byte": np.where(size > 0, -score * math.log2(10) / np.maximum(size, 1), 0.0),
     })
 
@@ -559,11 +619,12 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts_by_block(docs)
     total = texts.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    summed = cut_lineage(_summed(_block_tokens(texts, max(16, math.ceil(total / 25_000_000))), REST_BITS))
+    buckets = max(16, math.ceil(total / 25_000_000))
+    summed = cut_lineage(_summed(_block_tokens(texts, buckets), REST_BITS))
     model = _group_statistics(summed)
-    model["rest_bits"] = REST_BITS
+    model["rest_bits"], model["buckets"] = REST_BITS, buckets
     model |= _huffman(model["total"])
-    counts, rest = _context_counts(texts, spark.sparkContext.broadcast(model))
+    counts, rest = _context_counts(texts, max(8, math.ceil(total / TABLE_BYTES)), spark.sparkContext.broadcast(model))
     # Slots of few counts say little: their logits are drawn to none.
     model["logits"] = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)).astype(np.float32)
     model["rest"] = np.log((rest[:, 1] + 0.4) / (rest[:, 0] + 0.4)).astype(np.float32)
@@ -572,11 +633,11 @@ def score(docs: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        return score_block(rows.sort_values(["doc_id", "text"]), words, shared.value)
+        return score_block(rows, words, shared.value)
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    words = summed.where("kind = 0").select("block", "hashes", "counts", "others", "types")
-    return texts.select("block", "doc_id", "bytes", "text").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, schema)
+    words = summed.where("block >= 0")
+    return texts.select("block", "data").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, schema)
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

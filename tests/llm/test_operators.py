@@ -231,7 +231,7 @@ def test_mixed_rest_is_a_distribution():
     rng = np.random.default_rng(2)
     model = {"rest_bits": 5, "rest": rng.normal(0, 1, (3, 1 << context_mixing.REST_SLOT_BITS)).astype(np.float32)}
     history = (np.uint64(7) << np.uint64(32)) | rng.integers(0, 32, 600).astype(np.uint64)
-    contexts = tuple(rng.integers(0, 2**63, 601).astype(np.uint64) for _ in range(3))
+    contexts = tuple(rng.integers(0, 2**63, 601).astype(np.uint64) for _ in range(2))
     ends = [(np.uint64(7) << np.uint64(32)) | np.uint64(x) for x in range(32)]
     found = [context_mixing.mixed_rest(np.append(history, x), contexts, [(0, 601)], model)[-1] for x in ends]
     assert np.exp(found).sum() == pytest.approx(1, rel=1e-4)
