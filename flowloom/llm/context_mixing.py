@@ -92,16 +92,16 @@ class Block:
 
 
 def _packed(rows: list[pa.RecordBatch]) -> bytes:
-    """Rows of a block as one compressed value."""
+    """Rows of a block as one compressed value, without threads: a forked Python worker has none of its parent's."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
         for batch in rows:
             out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def _rows_of(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+    return pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False)).read_all()
 
 
 def _texts_by_block(docs: DataFrame) -> DataFrame:
