@@ -605,7 +605,7 @@ def score_block(rows: pd.DataFrame, words: pd.DataFrame, model: dict) -> pd.Data
     score = np.bincount(b.doc, inner + outer, n) / math.log(10)
     size = texts["bytes"].to_numpy()
     return pd.DataFrame({
-        "doc_id": texts["doc_id"].to_pandas(types_mapper=pd.ArrowDtype).astype("Int64"), "n_tokens": tokens, "n_known": np.bincount(b.doc, count > 0, n).astype(np.int64), "train_tokens": model["n"],
+        "doc_id": pd.array(texts["doc_id"].to_pylist(), "Int64"), "n_tokens": tokens, "n_known": np.bincount(b.doc, count > 0, n).astype(np.int64), "train_tokens": model["n"],
         "base_score": np.bincount(b.doc, base, n), "score": score, "bits_per_byte": np.where(size > 0, -score * math.log2(10) / np.maximum(size, 1), 0.0),
     })
 
