@@ -142,11 +142,14 @@ def _plain(data: bytes) -> bytes:
 
 
 def _sent_chunks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
-    """(block, bucket, chunks): distinct chunks of every block, joined as one text."""
+    """(block, bucket, chunks): distinct chunks of every block, joined as one text.
+
+    The marker is between them, as no chunk has it: a chunk of spaces alone would run into the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in _blocks(batches, block_bytes):
-            dealt = [(b, _compressed("".join(c).encode())) for b, c in _dealt(_distinct(rows["text"].to_pylist()), buckets)]
+            dealt = [(b, _compressed(MARKER.join(c).encode())) for b, c in _dealt(_distinct(rows["text"].to_pylist()), buckets)]
             if dealt:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(dealt)), pa.array([b for b, _ in dealt], pa.int32()), pa.array([c for _, c in dealt], pa.binary())], ["block", "bucket", "chunks"]
@@ -169,7 +172,7 @@ def _segmented(sent: DataFrame, path: str, table_chunks: int) -> DataFrame:
             for bucket, packed in zip(batch["bucket"].to_pylist(), batch["chunks"].to_pylist()):
                 if bucket != of or len(ids) > table_chunks:
                     ids, of = {}, bucket
-                chunks = _CHUNK.findall(_plain(packed).decode())
+                chunks = _plain(packed).decode().split(MARKER)
                 new = [c for c in chunks if c not in ids]
                 for low in range(0, len(new), CHUNKS_AT_ONCE):
                     some = new[low : low + CHUNKS_AT_ONCE]

@@ -61,6 +61,14 @@ def test_small_tables_give_equal_ids(spark, library):
         assert (bytes(r["ids"]), r["decoded"]) == plain(library, r["text"])
 
 
+def test_spaces_at_the_end_of_texts(spark, library):
+    texts = ["a ", "b", "c  d ", "e   ", "f\n ", " g", "▁", "h▁▁ ", " ", "   ", "i" + " " * 40, "j"]
+    docs = cut_lineage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    for buckets in (1, 3):
+        got = piece_encoding.encode(docs, PATH, buckets=buckets).collect()
+        assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got) == [(i, *plain(library, t)) for i, t in enumerate(texts)]
+
+
 def test_query(spark, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     got = piece_encoding.op12_piece_encoding(spark, SF_DIR).collect()
