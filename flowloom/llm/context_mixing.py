@@ -53,14 +53,14 @@ SLOT_BITS = 19
 REST_SLOT_BITS = 21
 REST_BITS = 12  # hash bits of a token that are coded within its hashed group
 REST_CELL_BITS = 7  # cells of the adapting predictor of each hash bit, for each text
-LANES = 4096  # texts side by side
-STEP_TOKENS = 32768  # tokens whose logits are looked up at once
+LANES = 512  # texts side by side
+STEP_TOKENS = 8192  # tokens whose logits are looked up at once
 SMOOTHING = 0.1
 RATE = 0.02
 START_WEIGHT = 0.35
 BLOCK_BYTES = 4_000_000
 TABLE_BYTES = 100_000_000  # texts for which a task sends one set of context tables
-WORK_BYTES = 1_000_000  # what a task has as arrays at once
+WORK_BYTES = 250_000  # what a task has as arrays at once
 _END = np.uint64(0x2545F4914F6CDD1D)  # hash of the end token
 
 
@@ -105,7 +105,10 @@ def _rows_of(data: bytes) -> pa.Table:
 
 
 def _texts_by_block(docs: DataFrame) -> DataFrame:
-    """(block, bytes, data): texts in blocks of bounded bytes, one compressed row each, written once so that blocks are fixed."""
+    """(block, bytes, data): texts in blocks of bounded bytes, one compressed row each, written once so that blocks are fixed.
+
+    Texts of like length share a block: coding one takes as many steps as its longest text has tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, size, rows = TaskContext.get().partitionId(), 0, 0, []
@@ -131,7 +134,7 @@ def _texts_by_block(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
         (~held_out(F.col("doc_id"))).alias("train"), F.coalesce("text", F.lit("")).alias("text"),
-    )
+    ).sortWithinPartitions("bytes")
     return cut_lineage(rows.mapInArrow(run, "block long, bytes long, data binary"))
 
 
@@ -351,20 +354,21 @@ def _context_counts(texts: DataFrame, parts: int, shared) -> tuple[np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scrambled = model["nodes"].ravel().astype(np.uint64) * _NODE
+        depth, scrambled = model["nodes"].shape[1], model["nodes"].ravel().astype(np.uint64) * _NODE
+        half = model["bits"].ravel().astype(np.int64) * slots
         counts, one = np.zeros(4 * slots + 6 * rest_slots, np.uint32), np.uint32(1)
         for batch in batches:
             for b in (b for data in batch["data"] for b in _training_blocks(data.as_py())):
                 group = _groups_of(b, model)
                 contexts = _contexts(group, b.first)
                 # All decisions of the block at once: each token as often as its path is long.
-                length = model["length"][group]
-                at = np.repeat(np.arange(len(group)), length)
-                step = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-                path = group[at] * model["nodes"].shape[1] + step
-                node, bit = scrambled[path], model["bits"].ravel()[path].astype(np.int64) * slots
+                length = model["length"][group].astype(np.int64)
+                upto = np.cumsum(length)
+                path = np.repeat(group * np.int64(depth) - (upto - length), length)
+                path += np.arange(len(path))
+                node, bit = scrambled.take(path), half.take(path)
                 for c, context in enumerate(contexts):
-                    np.add.at(counts[2 * c * slots : 2 * (c + 1) * slots], bit + _slot(context[at], node), one)
+                    np.add.at(counts[2 * c * slots : 2 * (c + 1) * slots], bit + _slot(np.repeat(context, length), node), one)
                 rest = np.flatnonzero(group < GROUPS)
                 leaf = _leaf(group[rest], b.hash[rest], model["rest_bits"])
                 levels = np.arange(model["rest_bits"], dtype=np.uint64)
@@ -400,7 +404,7 @@ class Decisions:
     the cells of the adapting predictor and among the gated weights of their lane, the bit, and the logits."""
 
     def __init__(self, total: int):
-        self.x = np.empty((total, 4), np.float32)  # node, one before, two before, adapting
+        self.x = np.empty((4, total), np.float32)  # node, one before, two before, adapting
         self.bit = np.empty(total, np.float32)
         self.cell = np.empty(total, np.int64)
         self.gate = np.empty(total, np.int64)
@@ -453,11 +457,9 @@ class Mixer:
             at = start[token] + level
             path = group[token].astype(np.int64) * self.depth + level
             node, hashed = self.nodes.take(path), self.scrambled.take(path)
-            x = np.empty((len(token), 4), np.float32)
-            x[:, 0] = model["ones"].take(node)
-            for c, (context, logits) in enumerate(zip(outer, model["logits"])):
-                x[:, c + 1] = logits.take(_slot(context.take(token), hashed))
-            d.x.view(np.complex128).ravel()[at] = x.view(np.complex128).ravel()
+            d.x[0][at] = model["ones"].take(node)
+            for x, context, logits in zip(d.x[1:], outer, model["logits"]):
+                x[at] = logits.take(_slot(context.take(token), hashed))
             d.bit[at] = self.bits.take(path)
             mine = lane.take(token)
             d.cell[at] = mine * self.cells + node
@@ -466,11 +468,9 @@ class Mixer:
             level = np.arange(self.levels)
             at = ((start + deep)[rest][:, None] + level).ravel()
             node = self.leaf_node[leaf]
-            x = np.empty((*node.shape, 4), np.float32)
-            x[:, :, 0] = self.leaf_x[leaf]
-            for c, (context, logits) in enumerate(zip(inner, model["rest"][1:])):
-                x[:, :, c + 1] = logits.take(_rest_slot(context[:, None], node))
-            d.x.view(np.complex128).ravel()[at] = x.view(np.complex128).ravel()
+            d.x[0][at] = self.leaf_x[leaf].ravel()
+            for x, context, logits in zip(d.x[1:], inner, model["rest"][1:]):
+                x[at] = logits.take(_rest_slot(context[:, None], node)).ravel()
             d.bit[at] = self.leaf_bit[leaf].ravel()
             mine = lane[rest][:, None]
             d.cell[at] = (mine * self.cells + self.leaf_cell[leaf]).ravel()
@@ -520,20 +520,30 @@ def _refined(d: Decisions, steps: list[int], weights: np.ndarray, state: np.ndar
     # Rows of four and of two 32-bit numbers as one number each, so that a row is read and written at once.
     weight_rows, state_rows = weights.view(np.complex128).ravel(), state.view(np.complex64).ravel()
     one, rate, most = np.float32(1), np.float32(RATE), np.float32(250)
+    widest = max((high - low for low, high in zip(steps[:-1], steps[1:])), default=0)
+    # Room that every step uses anew.
+    now_room, weight_room = np.empty(widest, np.complex64), np.empty(widest, np.complex128)
+    z_room, logit_room, error_room = np.empty((4, widest), np.float32), np.empty((2, widest), np.float32), np.empty((2, widest), np.float32)
     for low, high in zip(steps[:-1], steps[1:]):
         if low == high:
             continue
-        x, bit, cell, gate = d.x[low:high], d.bit[low:high], d.cell[low:high], d.gate[low:high]
+        x, bit, cell, gate = d.x[:, low:high], d.bit[low:high], d.cell[low:high], d.gate[low:high]
         n = high - low
-        now = state_rows.take(cell).view(np.float32).reshape(n, 2)
+        now_row, w_row = now_room[:n], weight_room[:n]
+        state_rows.take(cell, out=now_row, mode="clip")
+        now = now_row.view(np.float32).reshape(n, 2)
         own, times = now[:, 0], now[:, 1]
         # An adapting cell that was not used starts as the node's logit.
-        np.copyto(own, x[:, 0], where=times == 0)
-        x[:, 3] = own
-        w = weight_rows.take(gate).view(np.float32).reshape(n, 4)
-        z = w * x
-        logit = np.empty((2, n), np.float32)
-        np.add(z[:, 0] + z[:, 1], z[:, 2] + z[:, 3], out=logit[0])
+        np.multiply(x[0], times == 0, out=x[3])
+        own += x[3]
+        x[3] = own
+        weight_rows.take(gate, out=w_row, mode="clip")
+        w = w_row.view(np.float32).reshape(n, 4).T
+        z, logit, error = z_room[:, :n], logit_room[:, :n], error_room[:, :n]
+        np.multiply(w, x, out=z)
+        np.add(z[0], z[1], out=logit[0])
+        np.add(z[2], z[3], out=z[2])
+        logit[0] += z[2]
         logit[1] = own
         np.minimum(logit, np.float32(12), out=logit)
         np.maximum(logit, np.float32(-12), out=logit)
@@ -541,19 +551,26 @@ def _refined(d: Decisions, steps: list[int], weights: np.ndarray, state: np.ndar
         np.exp(logit, out=logit)
         logit += one
         np.divide(one, logit, out=logit)
-        error = bit - logit
-        np.subtract(one, np.abs(error[0]), out=probability[low:high])
+        np.subtract(bit, logit, out=error)
+        shown = probability[low:high]
+        np.abs(error[0], out=shown)
+        np.subtract(one, shown, out=shown)
         # Gradient of the coding cost.
-        x *= (rate * error[0])[:, None]
+        error[0] *= rate
+        x *= error[0]
         w += x
-        weight_rows[gate] = w.view(np.complex128).ravel()
+        weight_rows[gate] = w_row
         # The adapting predictor moves by its own error, less as it has seen more.
-        own += error[1] * (np.float32(4) / (times + np.float32(3)))
-        np.minimum(own, np.float32(8), out=own)
-        np.maximum(own, np.float32(-8), out=own)
+        speed = z[0]
+        np.add(times, np.float32(3), out=speed)
+        np.divide(np.float32(4), speed, out=speed)
+        speed *= error[1]
+        speed += own
+        np.minimum(speed, np.float32(8), out=speed)
+        np.maximum(speed, np.float32(-8), out=own)
         np.minimum(times, most, out=times)
         times += one
-        state_rows[cell] = now.view(np.complex64).ravel()
+        state_rows[cell] = now_row
     return probability
 
 

@@ -208,6 +208,16 @@ def test_toxicity(spark, edge, empty):
     assert (none["predicted"] == 0).all()
 
 
+def test_context_mixing_blocks_hold_texts_of_like_length(spark):
+    """Coding a block takes as many steps as its longest text has tokens."""
+    sizes = [100_000 if i % 40 == 0 else 9_000 for i in range(1200)]
+    docs = spark.createDataFrame([(i, "x " * (n // 2)) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    blocks = context_mixing._texts_by_block(docs).collect()
+    found = [context_mixing._rows_of(r["data"]).column("bytes").to_pylist() for r in blocks]
+    assert sorted(n for b in found for n in b) == sorted(sizes) and len(found) >= 4
+    assert sum(max(b) == 100_000 for b in found) <= 2
+
+
 def test_context_mixing(spark, texts, edge, empty):
     got = queries.QUERIES["op4_context_mixing"](spark, SF_DIR).toPandas()
     tokens = {i: [*split(t), "\0"] for i, t in texts.items()}
