@@ -18,7 +18,7 @@ in exactly one bucket and nothing has to be de-duplicated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -43,6 +43,8 @@ RANK_ROWS = 65_536
 # largest length.  Above about 4 billion flows it can rule out ever fewer buckets.
 SKETCH_ROWS = 2
 SKETCH_LEAST, SKETCH_MOST = 1 << 12, 1 << 22
+# Counters, of both sides, that a task sends together; at most 65,536, as places in them have 16 bits.
+SENT_COUNTERS = 8192
 
 _COLUMNS = {
     "id": "record_id",
@@ -165,15 +167,15 @@ def _cell_keys(band: _Band) -> list[str]:
     return [f"k{i}" for i in range(len(band.a_keys))] + ["bucket"]
 
 
-def _hot_cells(flows: DataFrame, band: _Band, number: int, cell_rows: int, possible: list[np.ndarray]) -> DataFrame:
+def _hot_cells(flows: DataFrame, band: _Band, number: int, cell_rows: int, marked: Callable) -> DataFrame:
     """Buckets that need a grid: their keys and its size `na` x `nb`, counted exactly among the possible ones."""
     keys = _cell_keys(band)
     sides = []
     for prefix, names in (("a", band.a_keys), ("b", band.b_keys)):
         side = _side(flows, prefix, names, band.window)
         cell = F.xxhash64(F.lit(number), *[F.col(f"k{i}") for i in range(len(names))], F.col("bucket"))
-        marked = side.filter(_marked(possible)(cell))
-        sides.append(marked.select(*keys, F.lit(int(prefix == "a")).alias("a"), F.lit(int(prefix == "b")).alias("b")))
+        crowded = side.filter(marked(cell))
+        sides.append(crowded.select(*keys, F.lit(int(prefix == "a")).alias("a"), F.lit(int(prefix == "b")).alias("b")))
     counts = sides[0].unionAll(sides[1]).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return counts.filter(_crowded(cell_rows)).select(
         *keys,
@@ -192,21 +194,25 @@ def _slots(cells: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - int(width).bit_length() + 1)).astype(np.int64)
 
 
-def _marked(possible: list[np.ndarray]):
-    """Whether a cell's counters are all among those of crowded buckets."""
+def _marked(possible: bytes, width: int):
+    """Whether a cell's counters are all among those of crowded buckets, given as bits."""
 
     @F.pandas_udf("boolean")
     def marked(cells: pd.Series) -> pd.Series:
         values = cells.to_numpy(np.int64).view(np.uint64)
-        return pd.Series(np.logical_and.reduce([bits[_slots(values, i, len(bits))] for i, bits in enumerate(possible)]))
+        bits = np.frombuffer(possible, np.uint8)
+        slots = [row * width + _slots(values, row, width) for row in range(SKETCH_ROWS)]
+        return pd.Series(np.logical_and.reduce([(bits[at >> 3] >> (at & 7)) & 1 == 1 for at in slots]))
 
     return marked
 
 
-def _sketch(flows: DataFrame, bands: list[_Band], width: int) -> np.ndarray:
-    """Count-min sketch of the visits of all flows to the buckets of all bands: (row, side, counter).
+def _sketch(flows: DataFrame, bands: list[_Band], width: int, cell_rows: int) -> bytes:
+    """Counters that a crowded bucket may have, as bits, row after row of a count-min sketch.
 
-    A task sums its flows' visits into counters and sends those that are not 0; sketches add up.
+    The sketch holds the visits of all flows to the buckets of all bands, counted for both sides.  A
+    task sends the counters that are not 0, in chunks; chunks are added up and judged in
+    Spark, so the driver gets one bit a counter, whatever the number of flows.
     """
     visits, of_a = [], []
     for i, band in enumerate(bands):
@@ -219,20 +225,35 @@ def _sketch(flows: DataFrame, bands: list[_Band], width: int) -> np.ndarray:
                 of_a.append(side)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SKETCH_ROWS, 2, width), np.int64)
+        total = np.zeros(SKETCH_ROWS * width * 2, np.int32)
         for batch in batches:
             for name, side in zip(batch.schema.names, of_a):
                 cells = batch[name].to_numpy(zero_copy_only=False).view(np.uint64)
                 for row in range(SKETCH_ROWS):
-                    np.add.at(total[row, side], _slots(cells, row, width), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+                    np.add.at(total, 2 * (row * width + _slots(cells, row, width)) + side, 1)
+        for low in range(0, len(total), 64 * SENT_COUNTERS):
+            at = low + np.flatnonzero(total[low : low + 64 * SENT_COUNTERS])
+            chunk, first = np.unique(at // SENT_COUNTERS, return_index=True)
+            parts = [at[i:j] for i, j in zip(first, [*first[1:], len(at)])]
+            places = [(x % SENT_COUNTERS).astype(np.uint16).tobytes() for x in parts]
+            sent = [pa.array(chunk, pa.int32()), pa.array(places, pa.binary()), pa.array([total[x].tobytes() for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(sent, ["chunk", "at", "n"])
+
+    def judge(found: pa.Table) -> pa.Table:
+        total = np.zeros(SENT_COUNTERS, np.int64)
+        for at, n in zip(found["at"], found["n"]):
+            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int32)
+        b, a = total.reshape(-1, 2).T
+        bits = np.packbits((np.maximum(a, b) > cell_rows) & (np.minimum(a, b) > 0), bitorder="little")
+        return pa.table({"chunk": found["chunk"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     named = flows.select(*[v.alias(f"v{i}") for i, v in enumerate(visits)])
-    added = named.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH_ROWS * 2 * width, np.int64)
-    out[added["at"].to_numpy(np.int64)] = added["n"].to_numpy(np.int64)
-    return out.reshape(SKETCH_ROWS, 2, width)
+    sums = named.mapInArrow(count, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(judge, "chunk int, bits binary")
+    size = SENT_COUNTERS // 16  # bytes of the bits of a chunk
+    out = bytearray(size * -(-SKETCH_ROWS * width * 2 // SENT_COUNTERS))
+    for r in sums.collect():
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    return bytes(out)
 
 
 def _find_hot_cells(flows: DataFrame, bands: list[_Band], cell_rows: int) -> None:
@@ -244,13 +265,11 @@ def _find_hot_cells(flows: DataFrame, bands: list[_Band], cell_rows: int) -> Non
     """
     wanted = 64 * len(bands) * flows.count() // max(1, cell_rows)
     width = 1 << (min(max(wanted, SKETCH_LEAST), SKETCH_MOST) - 1).bit_length()
-    sketch = _sketch(flows, bands, width)
-    a, b = sketch[:, 1], sketch[:, 0]
-    possible = list((np.maximum(a, b) > cell_rows) & (np.minimum(a, b) > 0))
-    if not all(bits.any() for bits in possible):
+    possible = _sketch(flows, bands, width, cell_rows)
+    if not any(possible):
         return
     for i, band in enumerate(bands):
-        band.hot = cut_lineage(_hot_cells(flows, band, i, cell_rows, possible))
+        band.hot = cut_lineage(_hot_cells(flows, band, i, cell_rows, _marked(possible, width)))
         band.hot_rows = band.hot.count()
 
 

@@ -221,3 +221,18 @@ def test_sketch_finds_every_crowded_bucket(spark, monkeypatch):
         crowded = {key: (-(-a // 5), -(-b // 5)) for key, (a, b) in sizes.items() if max(a, b) > 5 and min(a, b) > 0}
         assert {(r["k0"], r["bucket"]): (r["na"], r["nb"]) for r in dhr.hot.collect()} == crowded
         assert got_edges(tcg.edges(frame(spark, rows), windows, cell_rows=5)) == want
+
+
+def test_sketch_sends_bits_to_the_driver(spark, monkeypatch):
+    """However many counters are in use, the driver gets a bit for each, and no table of counts."""
+    flows = frame(spark, random_flows(4, 60, span=4000, hot=0.3))
+
+    def refused(self):
+        raise AssertionError("counts sent to the driver")
+
+    monkeypatch.setattr(type(flows), "toPandas", refused)
+    bands = tcg._bands(["SHR"], {"CR": 50, "PR": 50, "DHR": 50, "SHR": 50})
+    monkeypatch.setattr(tcg, "SKETCH_LEAST", 1 << 16)
+    tcg._find_hot_cells(flows, bands, 1)
+    bits = tcg._sketch(flows, bands, 1 << 16, 1)
+    assert any(bits) and len(bits) == tcg.SKETCH_ROWS * (1 << 16) // 8
