@@ -104,6 +104,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+def _k_largest(score: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the k largest finite scores of each row after rounding; equal ones go by column.
+
+    The k-th largest of the maxima over runs of columns is no more than the k-th largest score, so only
+    scores from there on are rounded and sorted.
+    """
+    maxima = np.fmax.reduceat(score, np.arange(0, score.shape[1], RUN_COLUMNS), axis=1)
+    if maxima.shape[1] > k:
+        limit = -np.partition(-np.where(np.isnan(maxima), -np.inf, maxima), k - 1, axis=1)[:, k - 1]
+        # Rounding moves two scores towards each other by one unit of the last digit at most.
+        line, column = np.nonzero(score >= (limit - 2 * 10.0**-digits)[:, None])
+    else:
+        line, column = np.nonzero(score > -np.inf)
+    value = score[line, column]
+    finite = np.isfinite(value)
+    line, column, value = line[finite], column[finite], np.round(value[finite], digits) + 0.0
+    order = np.lexsort((column, -value, line))
+    line, column, value = line[order], column[order], value[order]
+    kept = np.arange(len(line)) - np.searchsorted(line, line) < k
+    return line[kept], column[kept], value[kept]
+
+
 def nearest(
     queries: DataFrame, table: DataFrame, key: str, k: int = 5, digits: int = 6, block_numbers: int = MAX_QUERY_NUMBERS
 ) -> DataFrame:
@@ -123,16 +145,17 @@ def nearest(
         if len(q) and len(t):
             t = t.sort_values("q", kind="stable", ignore_index=True)
             names, ids = q["q"].to_numpy(dtype=object), t["q"].to_numpy(dtype=object)
+            numbers = pd.factorize(np.concatenate([names, ids]), use_na_sentinel=False)[0]
+            own, others = numbers[: len(names)], numbers[len(names) :]
+            shared = len(np.intersect1d(own, others)) > 0
             a, b = _unit(_matrix(q["emb"], 0)), _unit(_matrix(t["emb"], 0))
             rows = max(1, MAX_SCORES // len(t))
             for first in range(0, len(a), rows):
-                mine = names[first : first + rows]
-                score = np.round(a[first : first + rows] @ b.T, digits) + 0.0
-                score[mine[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                line = np.repeat(np.arange(len(mine)), top.shape[1])
-                out = pd.DataFrame({"query": mine[line], "neighbour": ids[top.ravel()], "similarity": score[line, top.ravel()]})
-                parts.append(out[np.isfinite(out["similarity"])])
+                score = a[first : first + rows] @ b.T
+                if shared:
+                    score[own[first : first + rows, None] == others[None, :]] = -np.inf
+                line, column, value = _k_largest(score, k, digits)
+                parts.append(pd.DataFrame({"query": names[first + line], "neighbour": ids[column], "similarity": value}))
         return pd.concat(parts[1:] or parts, ignore_index=True)
 
     def step(low: int, high: int) -> DataFrame:
@@ -146,8 +169,9 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
 
 
-# Scores that a task has at once (32 MB).
+# Scores that a task has at once (32 MB); columns whose largest score is looked at first.
 MAX_SCORES = 4_000_000
+RUN_COLUMNS = 64
 
 
 def _blocked(table: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame, int]:
@@ -192,6 +216,11 @@ def pca_variance(
     return table.sparkSession.createDataFrame(values, "component int, ratio double")
 
 
+def _place_counts(cosines: np.ndarray, scale: int) -> np.ndarray:
+    """Counts of the cosines times `scale`, as whole numbers from -scale - 1 to scale + 1: nothing is sorted."""
+    return np.bincount(np.rint(cosines * scale).astype(np.int64) + (scale + 1), minlength=2 * scale + 3)
+
+
 def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6, block_numbers: int = MAX_QUERY_NUMBERS) -> DataFrame:
     """Median and mean cosine over all pairs of the table, and the pair count.
 
@@ -200,20 +229,26 @@ def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6, block_number
     that of all pairs: give a sample (`sample_rows`) where that is too much.
     """
     rows, blocks = _blocked(table, key, block_numbers)
+    scale = 10**digits  # a task counts 2 * scale + 3 rounded cosines (16 MB of counts for 6 digits)
 
     def count_values(pair: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"cosine": np.zeros(0), "pairs": np.zeros(0, np.int64)})]
         if len(q) and len(t):
             names, ids = q["q"].to_numpy(dtype=object), t["q"].to_numpy(dtype=object)
             a, b = _unit(_matrix(q["emb"], 0)), _unit(_matrix(t["emb"], 0))
+            # A row without finite numbers at unit length has no cosine with any other.
+            at_q, at_t = np.isfinite(a).all(axis=1), np.isfinite(b).all(axis=1)
+            names, a, ids, b = names[at_q], a[at_q], ids[at_t], b[at_t]
             lines = max(1, MAX_SCORES // len(t))
+            total = np.zeros(2 * scale + 3, np.int64)
             for first in range(0, len(a), lines):
-                score = np.round(a[first : first + lines] @ b.T, digits) + 0.0
+                score = a[first : first + lines] @ b.T
                 # Within a block each pair once; rows of different blocks have different keys.
-                wanted = score[ids[None, :] > names[first : first + lines, None]] if pair[0] == pair[1] else score
-                values, counts = np.unique(wanted, return_counts=True)
-                parts.append(pd.DataFrame({"cosine": values, "pairs": counts}))
-        return pd.concat(parts[1:] or parts).groupby("cosine", as_index=False)["pairs"].sum()
+                wanted = score[ids[None, :] > names[first : first + lines, None]] if pair[0] == pair[1] else score.ravel()
+                total += _place_counts(wanted, scale)
+            seen = np.flatnonzero(total)
+            parts.append(pd.DataFrame({"cosine": (seen - (scale + 1)) / float(scale), "pairs": total[seen]}))
+        return parts[-1]
 
     def step(low: int, high: int) -> DataFrame:
         mine = rows.filter(F.col("block").between(low, high))

@@ -69,3 +69,36 @@ def test_trained_at_defaults(spark, monkeypatch, name):
     monkeypatch.setattr(model_queries, "host_walks", walks)
     assert {r["dim"] for r in getattr(model_queries, {"skipgram": "skipgram_vectors"}.get(name, name))(spark, "").collect()} == {64}
     assert asked == {"rounds": 5, "length": 20}
+
+
+def test_largest_scores_equal_a_sort_of_all(spark):
+    """Few scores are sorted, with ties after rounding, missing numbers and short rows as in a sort of all."""
+    rng = np.random.default_rng(3)
+    for columns in (1, 3, 64, 700):
+        score = np.round(rng.standard_normal((40, columns)), 1) + rng.uniform(-4e-7, 4e-7, (40, columns))
+        score[rng.random(score.shape) < 0.1] = -np.inf
+        score[5], score[6, ::2] = np.nan, np.nan
+        rounded = np.where(np.isfinite(score), np.round(score, 6) + 0.0, -np.inf)
+        top = np.argsort(-rounded, axis=1, kind="stable")[:, :5]
+        want = [(i, j, rounded[i, j]) for i in range(40) for j in top[i] if np.isfinite(rounded[i, j])]
+        assert list(zip(*(x.tolist() for x in embeddings._k_largest(score, 5, 6)))) == want
+
+
+def test_cosines_are_counted_without_a_sort(spark, monkeypatch):
+    """The counts equal those of rounded and sorted cosines; vectors of no length or no finite numbers as before."""
+    rng = np.random.default_rng(4)
+    cosines = np.append(rng.uniform(-1, 1, 5000), [-1.0, 1.0, 1.0 + 1e-15, 0.0, -0.0, 5e-7])
+    values, counts = np.unique(np.round(cosines, 3) + 0.0, return_counts=True)
+    with monkeypatch.context() as patched:
+        patched.setattr(np, "unique", None)
+        patched.setattr(np, "sort", None)
+        total = embeddings._place_counts(cosines, 1000)
+    seen = np.flatnonzero(total)
+    assert ((seen - 1001) / 1000.0).tolist() == values.tolist() and total[seen].tolist() == counts.tolist()
+
+    rows = [(f"k{i:02d}", [float(x) for x in rng.standard_normal(8)]) for i in range(60)] + [("zero", [0.0] * 8), ("inf", [float("inf")] + [1.0] * 7)]
+    unit = [np.array(v) / (np.linalg.norm(v) or 1.0) for _, v in rows[:61]]
+    every = np.array([np.round(unit[i] @ unit[j], 6) for i in range(61) for j in range(i)])
+    got = embeddings.pair_cosine_spread(spark.createDataFrame(rows, "id string, emb array<double>"), "id", block_numbers=64).first()
+    assert got["pairs"] == len(every)
+    assert abs(got["cosine_median"] - np.median(every)) < 2e-6 and abs(got["cosine_mean"] - every.mean()) < 1e-6
