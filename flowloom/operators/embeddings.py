@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, Word2Vec
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import hashing, vectors
 from flowloom.operators.skew import heavy_keys, histogram_positions, lookup_join, top_k_per_key
-from flowloom.session import cut_lineage, shared_folder
+from flowloom.session import cut_lineage, in_steps
 
 # MLlib keeps the whole vector table on the driver while it learns.  Above this many
 # numbers (2 GB) use `skipgram.train_skipgram`, which has no such limit.
@@ -165,7 +162,7 @@ def nearest(
         found = mine.groupBy("qb", "tb").cogroup(met.groupBy("qb", "tb")).applyInPandas(best, "query string, neighbour string, similarity double")
         return top_k_per_key(found, "query", order, k)
 
-    found = _in_steps(n_query, step)
+    found = in_steps(n_query, step, STEP_BLOCKS)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
 
 
@@ -182,16 +179,6 @@ def _blocked(table: DataFrame, key: str, block_numbers: int) -> tuple[DataFrame,
     return rows.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), blocks
 
 
-def _in_steps(blocks: int, step: Callable[[int, int], DataFrame]) -> DataFrame:
-    """What `step(first block, last block)` gives for all blocks, written step by step into one table."""
-    for low in range(0, blocks, STEP_BLOCKS):
-        found = step(low, min(low + STEP_BLOCKS, blocks) - 1)
-        if not low:
-            path = f"{shared_folder(found.sparkSession)}/flowloom/{uuid.uuid4().hex}"
-        found.write.mode("append").parquet(path)
-    return found.sparkSession.read.schema(found.schema).parquet(path)
-
-
 def sample_rows(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows with the smallest seeded hashes: the same sample on any cluster."""
     return table.orderBy(hashing.draw_int(F.lit(seed), F.col(key)), key).limit(n)
@@ -258,7 +245,7 @@ def pair_cosine_spread(table: DataFrame, key: str, digits: int = 6, block_number
         found = mine.groupBy("a", "b").cogroup(met.groupBy("a", "b")).applyInPandas(count_values, "cosine double, pairs long")
         return found.groupBy("cosine").agg(F.sum("pairs").alias("pairs"))
 
-    counts = _in_steps(blocks, step).groupBy("cosine").agg(F.sum("pairs").alias("n"))
+    counts = in_steps(blocks, step, STEP_BLOCKS).groupBy("cosine").agg(F.sum("pairs").alias("n"))
     return _weighted_median(counts, "cosine", "cosine").withColumnRenamed("total", "pairs")
 
 

@@ -83,6 +83,30 @@ def test_knn_equals_brute_force(spark, block_rows):
     assert knn.vote(votes, "uniform").first().prediction == "a"
 
 
+def test_knn_measures_near_boxes_only(spark, monkeypatch):
+    """Far boxes are not visited, in any number of steps, and ties, equal rows and far rows come out as from all pairs."""
+    rng = np.random.default_rng(5)
+    spots = rng.normal(size=(12, 3)) * 100
+    train = [(f"t{i:03d}", "ab"[i % 2], [float(x) for x in np.round(spots[i % 12] + rng.normal(size=3), 1)]) for i in range(300)]
+    train += [(f"u{i:02d}", "c", [5.0, 5.0, 5.0]) for i in range(40)]
+    queries = [(f"q{i:02d}", [float(x) for x in np.round(spots[i % 12] + rng.normal(size=3), 1)]) for i in range(50)] + [("far", [1e4] * 3), ("same", [5.0] * 3)]
+    t = spark.createDataFrame(train, "id string, label string, v array<double>")
+    q = spark.createDataFrame(queries, "id string, v array<double>")
+    points = np.array([v for *_, v in train])
+    cells, _, sizes = knn._build_cells(t, len(train), 16)
+    asked = np.array([v for _, v in queries])
+    fifth = np.sort(((asked[:, None] - points[None]) ** 2).sum(2), axis=1)[:, 4]
+    assert sum(sizes) == len(train) and len(cells.reached(asked, fifth, 6)[0]) < len(queries) * len(sizes) / 4
+    for visits in (10**6, 60):
+        monkeypatch.setattr(knn, "MOST_VISITS", visits)
+        got = defaultdict(list)
+        for r in knn.neighbours(t, q, 5, block_rows=16).collect():
+            got[r.query_id].append((r.distance2, r.train_id, r.label))
+        for name, v in queries:
+            want = sorted((round(float(((np.array(v) - np.array(x)) ** 2).sum()), 6), i, y) for i, y, x in train)[:5]
+            assert sorted(got[name]) == want
+
+
 def test_nearest_and_pair_cosine(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(80, 6))
