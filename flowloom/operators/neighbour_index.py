@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import hashing
+from flowloom.operators import knn
 from flowloom.operators.knn import _k_smallest
 from flowloom.operators.skew import top_k_per_key
-from flowloom.session import cut_lineage
+from flowloom.session import cut_lineage, in_steps
 
 SAMPLE_ROWS = 65_536  # rows the centres are learned on
 MOST_LISTS = 4096  # centres every task holds
 PART_ROWS = 4096
+MOST_VISITS = 4_000_000  # visits of queries to lists in a step, each with its vector
 
 
 @dataclass
@@ -116,23 +118,19 @@ def search(index: Index, queries: DataFrame, k: int, lists: int, digits: int = 6
     """`query_id`, `id`, `value`: the k nearest rows of each query in its nearest lists; a row is no neighbour of itself.
 
     The value is the squared distance, or the cosine less than zero, rounded; ties go to the smaller id.
+    Queries go in steps of a bounded number of visits, whose neighbours are written.
     """
     asked = _usable(queries, index.cosine)
     if not index.parts:
         return asked.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("value"))
-    visits = cut_lineage(_nearest_lists(asked, index.centres, min(lists, len(index.centres))))
-    blocks = [1] * len(index.centres)
-    for r in visits.groupBy("list").count().collect():
-        blocks[r["list"]] = math.ceil(r["count"] / block_rows)
-
+    lists = min(lists, len(index.centres))
+    slices = max(1, math.ceil(asked.count() * lists / MOST_VISITS))
     def of(numbers: list[int]):
         return F.array(*[F.lit(x) for x in numbers])[F.col("list")]
 
     def every(numbers: list[int]):
         return F.explode(F.sequence(F.lit(0), of(numbers) - 1))
 
-    left = visits.select("id", "v", "list", F.pmod(F.xxhash64("id"), of(blocks)).cast("int").alias("block"), every(index.parts).alias("part"))
-    right = index.rows.select("id", "v", "list", "part", every(blocks).alias("block"))
     cosine = index.cosine
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -154,8 +152,19 @@ def search(index: Index, queries: DataFrame, k: int, lists: int, digits: int = 6
         return pd.DataFrame({n: pd.Series(x, dtype=t) for n, x, t in zip(["query_id", "id", "value"], columns, [object, object, float])})
 
     keys = ["list", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id string, id string, value double")
-    return top_k_per_key(found, "query_id", [F.col("value"), F.col("id")], k)
+
+    def step(low: int, high: int) -> DataFrame:
+        mine = asked.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(slices)).between(low, high))
+        visits = _nearest_lists(mine, index.centres, lists)
+        blocks = [1] * len(index.centres)
+        for r in visits.groupBy("list").count().collect():
+            blocks[r["list"]] = math.ceil(r["count"] / block_rows)
+        left = visits.select("id", "v", "list", F.pmod(F.xxhash64("id"), of(blocks)).cast("int").alias("block"), every(index.parts).alias("part"))
+        right = index.rows.select("id", "v", "list", "part", every(blocks).alias("block"))
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id string, id string, value double")
+        return top_k_per_key(found, "query_id", [F.col("value"), F.col("id")], k)
+
+    return in_steps(slices, step, 1)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
@@ -167,7 +176,11 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
 
 
 def exact_search(index: Index, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The same as `search` over all lists: every row is measured."""
+    """The same as `search` over all lists: every row is measured, or for distances known to lie too far."""
+    if not index.cosine and index.parts:
+        rows = index.rows.select("id", F.lit("").alias("label"), "v")
+        found = knn.neighbours(rows, _usable(queries, False), k, digits, own=False)
+        return found.select("query_id", F.col("train_id").alias("id"), F.col("distance2").alias("value"))
     return search(index, queries, k, max(1, len(index.centres)), digits)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import knn
 from flowloom.operators import neighbour_index as ni
+from flowloom.session import in_steps
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,25 @@ def test_empty(spark):
     assert ni.search(index, empty, 3, 1).count() == 0 and ni.tuned(index, empty, 3) == (1, 1.0)
     one = spark.createDataFrame([("a", [1.0, 2.0])], "id string, v array<double>")
     assert ni.search(ni.build(one), one, 3, 1).count() == 0
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_search_in_steps(spark, monkeypatch, cosine):
+    """Few visits at a time give the same neighbours, and no more of them are ever laid out at once."""
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "id string, v array<double>")
+    index = ni.build(table, cosine=cosine, lists=6)
+    want = sorted(map(tuple, ni.search(index, table, 3, 4).collect()))
+    exact = sorted(map(tuple, ni.exact_search(index, table, 3).collect()))
+    steps = []
+    monkeypatch.setattr(ni, "MOST_VISITS", 200)
+    monkeypatch.setattr(ni, "in_steps", lambda slices, step, width: steps.append((slices, width)) or in_steps(slices, step, width))
+    assert sorted(map(tuple, ni.search(index, table, 3, 4).collect())) == want
+    assert steps == [(3, 1)]
+    assert sorted(map(tuple, ni.exact_search(index, table, 3).collect())) == exact
+    points = np.array([v for _, v in rows])
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    value = np.round(-unit @ unit.T if cosine else ((points[:, None] - points[None]) ** 2).sum(2), 6)
+    np.fill_diagonal(value, np.inf)
+    assert {(a, b) for a, b, _ in exact} == {(rows[i][0], rows[j][0]) for i in range(120) for j in np.argsort(value[i], kind="stable")[:3]}
