@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
-from flowloom.operators import embeddings
+from flowloom.operators import embeddings, skipgram
+from flowloom.session import cut_lineage, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +105,15 @@ def test_cosines_are_counted_without_a_sort(spark, monkeypatch):
     got = embeddings.pair_cosine_spread(spark.createDataFrame(rows, "id string, emb array<double>"), "id", block_numbers=64).first()
     assert got["pairs"] == len(every)
     assert abs(got["cosine_median"] - np.median(every)) < 2e-6 and abs(got["cosine_mean"] - every.mean()) < 1e-6
+
+
+def test_training_keeps_no_old_states(spark):
+    """However many epochs are trained, as many tables are left on disk."""
+    corpus = cut_lineage(spark.createDataFrame([(["a", "b", "c", "a", "d"],), (["b", "d", "c"],)], "tokens array<string>"))
+    folder = f"{shared_folder(spark)}/flowloom".removeprefix("file://")
+    left = []
+    for epochs in (1, 2):
+        before = set(os.listdir(folder))
+        assert skipgram.train_skipgram(corpus, dim=4, epochs=epochs).count() == 4
+        left.append(len(set(os.listdir(folder)) - before))
+    assert left[0] == left[1]
